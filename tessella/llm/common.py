@@ -50,24 +50,6 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(LOWER).split()
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for up to `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (murmur3's finaliser)."""
     x = x ^ (x >> np.uint64(33))
@@ -77,13 +59,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that separate words: space and \\t to \\r. Another table may be given.
+BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15  # odd, and 1 minus it has few factors of two
+_LONG = 64
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out
+
+
+class WordHasher:
+    """64-bit hashes of all words of a text, computed over the whole byte array at once.
+
+    A word's hash is a polynomial in its bytes, from differences of prefix sums; words over 64 bytes, for which
+    such a hash is weak against crafted inputs, are hashed one by one."""
+
+    def __init__(self, blanks: np.ndarray = BLANKS):
+        self.blanks = blanks
+        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        self.grow(1 << 12)
+
+    def grow(self, n: int) -> None:
+        self.powers = _powers(_BASE, n)
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
+
+    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends) of the words."""
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~self.blanks[raw]
+        edge = np.diff(inside)
+        return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        if len(raw) > len(self.powers):
+            self.grow(len(raw))
+        out = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.table[raw] * self.powers[: len(raw)], out=out[1:])
+        return out
+
+    def pieces(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        raw, starts, ends = self.bounds(data)
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        out = self.pieces(self.sums(raw), starts, ends)
+        for i in np.flatnonzero(ends - starts > _LONG):
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+        return out
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, in order; of the whole sequence if it has fewer words; empty without words."""
     if not len(hashes):
         return hashes
     n = min(n, len(hashes))
     count = len(hashes) - n + 1
-    total = np.full(count, np.uint64(n) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    total = np.full(count, n * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for i in range(n):
         total = total * np.uint64(0x2545F4914F6CDD1D) + mix(hashes[i : i + count])
     return mix(total)

@@ -9,7 +9,8 @@ part that overlaps the item; the best segment (+1 for an equal word, -2 for anot
 The benchmark's hashes are broadcast in blocks of at most `block_words` words: a larger benchmark is dealt by item into
 several blocks and the corpus is read once per block, so the broadcast stays bounded however large the benchmark is.
 
-Words are runs of letters and digits after lower-casing, so case and punctuation don't hide a leak.
+Words are runs of letters, digits and non-ASCII characters after lower-casing, so case and ASCII punctuation don't hide
+a leak; other punctuation changes single words, which the masks tolerate.
 
 Defined cases: null or empty texts and items match nothing; items with fewer words than the shortest mask are matched
 by their whole word sequence; repeated rows and repeated items count each; empty tables give empty results; documents
@@ -18,7 +19,6 @@ with a null id keep it; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,16 +27,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, mix
+from tessella.llm.common import WordHasher, mix
 
 #: Marked positions. The first two allow a substitution in any one place of seven words, the last is for short items.
 MASKS = ("11101101", "1101011011", "111101")
-WORD = re.compile(r"[^\W_]+")
+#: ASCII bytes that are neither letters nor digits separate words.
+BLANKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LEAKS = "doc_id long, item_id long, start_word long, end_word long, matched_words long, item_words long, identity double, coverage double"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [x.encode() for x in WORD.findall(text.lower())] if text else []
+def word_hashes(hasher: WordHasher, text: str | None) -> np.ndarray:
+    return hasher((text or "").lower().encode("utf-8", "replace"))
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -58,12 +59,13 @@ class Items:
     ids: list
     words: list[np.ndarray]
     seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
+    present: np.ndarray  # by the low bits of a hash: whether any seed has them
 
 
 def index_items(rows: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS) -> Items:
-    hashes, ids, words = WordHashes(), [], []
+    hashes, ids, words = WordHasher(BLANKS), [], []
     for item_id, text in rows:
-        found = hashes.of(tokens(text))
+        found = word_hashes(hashes, text)
         if len(found):
             ids.append(item_id)
             words.append(found)
@@ -79,7 +81,11 @@ def index_items(rows: list[tuple[int | None, str | None]], masks: tuple[str, ...
         order = np.argsort(value, kind="stable")
         assert len(value) == count
         seeds.append((mask, value[order], item[order], place[order]))
-    return Items(ids, words, seeds)
+    bits = max(16, sum(len(v) for _, v, _, _ in seeds).bit_length() + 5)
+    present = np.zeros(1 << bits, bool)
+    for _, value, _, _ in seeds:
+        present[value & np.uint64(len(present) - 1)] = True
+    return Items(ids, words, seeds, present)
 
 
 def best_segment(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
@@ -93,16 +99,16 @@ def best_segment(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
 
 def scan(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(item, start, end, equal words, words of the item) of the best overlap of a document with each item it hits."""
-    diagonals = []
+    diagonals, few = [], np.uint64(len(items.present) - 1)
     for mask, value, item, place in items.seeds:
         own = seed_hashes(words, mask)
-        low = np.searchsorted(value, own, "left")
-        hit = np.flatnonzero((low < len(value)) & (value[np.minimum(low, len(value) - 1)] == own))
-        if not len(hit):
+        at = np.flatnonzero(items.present[own & few])
+        if not len(at):
             continue
-        many = np.searchsorted(value, own[hit], "right") - low[hit]
-        at = np.repeat(hit, many)
-        entry = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        low = np.searchsorted(value, own[at], "left")
+        many = np.searchsorted(value, own[at], "right") - low
+        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        at, entry = np.repeat(at, many), np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         diagonals.append(np.stack([item[entry], at - place[entry]], axis=1))
     best: dict[int, tuple[int, int, int, int, int]] = {}
     if diagonals:
@@ -130,13 +136,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, lea
         index = spark.sparkContext.broadcast(index_items([tuple(r) for r in mine.collect()], masks))  # at most about block_words
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            hashes, held = WordHashes(), index.value
+            hashes, held = WordHasher(BLANKS), index.value
             names = [x.split()[0] for x in LEAKS.split(", ")]
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                    found = tokens(text if isinstance(text, str) else None)
-                    for i, start, end, equal, size in scan(hashes.of(found), held) if found else ():
+                    found = word_hashes(hashes, text if isinstance(text, str) else None)
+                    for i, start, end, equal, size in scan(found, held) if len(found) else ():
                         if equal >= min(least_words, size) and equal >= least_identity * (end - start) and equal >= least_coverage * size:
                             rows.append((None if pd.isna(doc_id) else int(doc_id), held.ids[i], start, end, equal, size, equal / (end - start), equal / size))
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, tokens, warc
+from tessella.llm import audio, decontam, mixing, pii, tokens, warc
 
 QUERIES = {
     "op3_benchmark_decontamination": decontam.op3_query,
     "op5_warc_revisits": warc.op5_query,
     "op6_token_attribution": tokens.op6_query,
     "op7_mpeg_audio": audio.op7_query,
+    "op8_source_mixing": mixing.op8_query,
+    "op10_personal_data": pii.op10_query,
 }
-ORACLES = {"op5_warc_revisits": warc.OP5_SQL}
+ORACLES = {"op5_warc_revisits": warc.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}
