@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, mixing, pii, tokens, warc
+from tessella.llm import audio, decontam, mixing, pii, tokens, toxicity, warc
 
 QUERIES = {
     "op3_benchmark_decontamination": decontam.op3_query,
+    "op4_toxicity": toxicity.op4_query,
     "op5_warc_revisits": warc.op5_query,
     "op6_token_attribution": tokens.op6_query,
     "op7_mpeg_audio": audio.op7_query,
