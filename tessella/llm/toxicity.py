@@ -9,8 +9,8 @@ Search. A word's score is its log-odds less a fixed drift, so neutral words scor
 maximal scoring segments of a text (every passage that no extension or cut improves), whatever the text's length.
 
 Calibration. Best segments of clean labelled texts follow an extreme-value distribution P(S > x) = 1 - exp(-K n exp(-l x))
-for n words; l and K are fitted to labelled documents that were not counted. A document's evidence is the sum, over
-its segments with an expected chance count below one, of -ln of that count; a logistic curve, fitted to the same
+for n words; l and K are fitted to clean labelled documents that were not counted. A document's evidence is the sum,
+over its segments with a chance count K n exp(-l x) below 1 / e, of -ln of that count; a logistic curve, fitted to the same
 documents, turns it into a score between 0 and 1.
 
 At most about `most_labelled` labelled documents are used, chosen by a hash of their id: the only bound. Everything else
@@ -109,11 +109,12 @@ class Model:
         return len(found), maximal_segments(score)
 
     def log_chance(self, score: float, n: int) -> float:
-        """ln of the number of segments with such a score that chance puts into n clean words."""
-        return self.log_k + float(np.log(max(n, 1))) - self.decay * score
+        """ln of the number of segments with such a score that chance puts into n clean words; at score 0 one at
+        least, so that a rare but faint segment isn't evidence."""
+        return max(self.log_k + float(np.log(max(n, 1))), 0.0) - self.decay * score
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        return sum(max(0.0, -self.log_chance(s, n)) for _, _, s in found)
+        return sum(x for _, _, s in found if (x := -self.log_chance(s, n)) > 1)
 
     def score(self, evidence: float) -> float:
         return float(1 / (1 + np.exp(-(self.intercept + self.slope * min(evidence, 60.0))))) if self.trained else 0.0
@@ -189,17 +190,18 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         hasher = WordHasher(BLANKS)
         for batch in batches:
             found = [shared.value.segments(hasher, t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in found], "scores": [[s for _, _, s in x if s > 0.5] for _, x in found]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in found], "scores": [[s for _, _, s in x] for _, x in found]})
 
     held = rows.select("text", "toxic").mapInPandas(run, "toxic int, n long, scores array<double>").toPandas()
     if not len(held):
         return
-    best = np.array([max(s, default=0.0) for s in held["scores"]])
     n, label = held["n"].to_numpy(float), (held["toxic"] == 1).to_numpy(float)
     clean = (label == 0) & (n > 0)
-    if clean.sum() >= 20 and best[clean].std() > 0:
-        model.decay = float(np.clip(np.pi / (np.sqrt(6) * best[clean].std()), 0.3, 5.0))
-        model.log_k = float(model.decay * best[clean].mean() - np.log(n[clean]).mean() - np.euler_gamma)
+    chance = np.concatenate([np.asarray(s, float) for s, c in zip(held["scores"], clean, strict=True) if c] or [np.zeros(0)])
+    # chance segments are a Poisson process along the words with exponential scores; both rates by maximum likelihood,
+    # with one segment of mean score 1 as prior
+    model.decay = float(np.clip((len(chance) + 1) / (chance.sum() + 1), 0.3, 5.0))
+    model.log_k = float(np.log((len(chance) + 1) / max(n[clean].sum(), 1)))
     evidence = np.array([min(60.0, model.evidence(int(a), [(0, 0, x) for x in s])) for a, s in zip(n, held["scores"], strict=True)])
     design, beta = np.stack([np.ones(len(evidence)), evidence], axis=1), np.zeros(2)
     for _ in range(50):  # Newton's method with a small ridge, so that separable labels have a finite fit
@@ -224,7 +226,7 @@ def verdict(spark: SparkSession, model: Model, text: str = "text") -> Column:
             for t in batch:
                 n, found = own.segments(hasher, t if isinstance(t, str) else None)
                 weight = own.evidence(n, found)
-                rows.append((own.score(weight), weight, [{"start_word": a, "end_word": b, "score": s} for a, b, s in found if own.log_chance(s, n) < 0]))
+                rows.append((own.score(weight), weight, [{"start_word": a, "end_word": b, "score": s} for a, b, s in found if own.log_chance(s, n) < -1]))
             yield pd.DataFrame(rows, columns=["score", "evidence", "passages"])
 
     return judge(F.col(text))
