@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, mixing, pii, tokens, toxicity, warc
+from tessella.llm import audio, decontam, mixing, pii, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op3_benchmark_decontamination": decontam.op3_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_attribution": tokens.op6_query,
     "op7_mpeg_audio": audio.op7_query,
     "op8_source_mixing": mixing.op8_query,
+    "op9_size_tiered_sharding": sharding.op9_query,
     "op10_personal_data": pii.op10_query,
 }
 ORACLES = {"op5_warc_revisits": warc.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}
