@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, mixing, pii, sharding, tokens, toxicity, warc
+from tessella.llm import audio, decontam, jaccard, mixing, pii, sharding, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_query,
     "op3_benchmark_decontamination": decontam.op3_query,
     "op4_toxicity": toxicity.op4_query,
     "op5_warc_revisits": warc.op5_query,
@@ -14,4 +15,6 @@ QUERIES = {
     "op9_size_tiered_sharding": sharding.op9_query,
     "op10_personal_data": pii.op10_query,
 }
-ORACLES = {"op5_warc_revisits": warc.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}
+ORACLES = {
+    "op1_ngram_jaccard": jaccard.OP1_SQL,
+   "op5_warc_revisits": warc.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}
