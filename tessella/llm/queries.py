@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, jaccard, mixing, pii, sharding, tokens, toxicity, warc
+from tessella.llm import audio, decontam, jaccard, mixing, pii, sharding, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_query,
+    "op2_repeated_passages": substring.op2_query,
     "op3_benchmark_decontamination": decontam.op3_query,
     "op4_toxicity": toxicity.op4_query,
     "op5_warc_revisits": warc.op5_query,
