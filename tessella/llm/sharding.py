@@ -138,7 +138,8 @@ class ShardStore:
             columns = rows.columns
             marked = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1).alias("tsl_name"))
             placed = marked.join(self._small(places, len(names)), "tsl_name").select(*[F.col(f"`{c}`") for c in columns], "tsl_run")
-            placed.repartition(len(runs), "tsl_run").write.option("compression", "zstd").partitionBy("tsl_run").parquet(folder)
+            # the run's number is its task: each task writes one file, without sorting
+            placed.repartitionById(len(runs), "tsl_run").drop("tsl_run").write.option("compression", "zstd").parquet(folder)
             gone = {s["path"] for run in runs for s in run}
             kept = [s for s in base["shards"] if s["path"] not in gone]
             first = max(s["seq"] for s in base["shards"]) + 1
