@@ -1,6 +1,484 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables and the SQL that gives the same rows. All of them read whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import arrays, numbers, strings
+from tessella.operators import events, images, logs, similarity, stores, web
+from tessella.plans import image_pipeline, predicate
+from tessella.session import load
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+@query(
+    "dyn1_word_similarity",
+    """
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z'']+') AS ws FROM documents)
+), n AS (
+  SELECT doc_id, i, word, lead(word, 1) OVER o AS n1, lead(word, 2) OVER o AS n2,
+         CASE WHEN i > 1 THEN lag(word, 1) OVER o END AS p1, CASE WHEN i > 2 THEN lag(word, 2) OVER o END AS p2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), own AS (
+  SELECT doc_id, word, count(*) AS c, sum((n1 IS NOT DISTINCT FROM word)::INT + (n2 IS NOT DISTINCT FROM word)::INT + (p1 IS NOT DISTINCT FROM word)::INT + (p2 IS NOT DISTINCT FROM word)::INT) AS a FROM n GROUP BY ALL
+), near AS (
+  SELECT doc_id, sum(c * (c - 1)) AS s FROM (
+    SELECT doc_id, count(*) AS c FROM n WHERE n1 IS NOT NULL GROUP BY doc_id, word, n1 UNION ALL SELECT doc_id, count(*) FROM n WHERE n2 IS NOT NULL GROUP BY doc_id, word, n2
+    UNION ALL SELECT doc_id, count(*) FROM n WHERE p1 IS NOT NULL GROUP BY doc_id, word, p1 UNION ALL SELECT doc_id, count(*) FROM n WHERE p2 IS NOT NULL GROUP BY doc_id, word, p2)
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_words, CAST(63 * (sum(a * (c - 1)) + coalesce(any_value(s), 0)) AS BIGINT) AS strength FROM own LEFT JOIN near USING (doc_id) GROUP BY doc_id
+""",
+)
+def dyn1(spark: SparkSession, sf: str) -> DataFrame:
+    t = similarity.similarity_totals(load(spark, sf, "documents"))
+    return t.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("strength").cast("long").alias("strength"))
+
+
+@query("dyn2_edit_distance")
+def dyn2(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.col("p_name"), F.col("p_type")
+    return load(spark, sf, "part").select("p_partkey", strings.common_subsequence(a, b).cast("long").alias("lcs"), strings.edit_distance(a, b).cast("long").alias("distance"))
+
+
+@query("dyn4_common_subsequence")
+def dyn4(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select("p_partkey", strings.common_subsequence_text(F.col("p_name"), F.col("p_type")).alias("lcs"))
+
+
+@query("dyn5_subset_counts")
+def dyn5(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_quantity").cast("int"))).alias("items"))
+    return sizes.select("l_orderkey", F.size("items").cast("long").alias("n_items"), numbers.subset_counts(F.col("items"), 50).alias("ways"))
+
+
+@query("dyn6_fibonacci", "WITH RECURSIVE f(n, fib, nxt) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, nxt, fib + nxt FROM f WHERE n < 60) SELECT n, fib FROM f")
+def dyn6(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.fibonacci(spark, 60)
+
+
+_LINES = """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), '-0000 ', CASE event_type WHEN 'error' THEN 'E' WHEN 'signup' THEN 'W' ELSE 'I' END, ' ', CASE WHEN event_type = 'view' THEN '-' ELSE upper(event_type) END, ' [conn', user_id, '] event:', event_id, ' k.', get_json_object(props, '$.k'))"""
+
+
+def mongo_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as database server log lines."""
+    return load(spark, sf, "events").select("event_id", F.expr(_LINES).alias("value"))
+
+
+@query(
+    "log5_parse",
+    """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S:%g') AS clock, '-0000' AS zone, CASE event_type WHEN 'error' THEN 'Error' WHEN 'signup' THEN 'Warning' ELSE 'Informational' END AS severity,
+       CASE WHEN event_type = 'view' THEN 'UNKNOWN' ELSE upper(event_type) END AS component, 'conn' || user_id AS context, 'event : ' || event_id || ' k . ' || (props->>'$.k') AS message
+FROM events""",
+)
+def log5(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.parse_mongo(mongo_lines(spark, sf))
+    return r.select("event_id", F.array_join("date", "-").alias("day"), F.array_join("time", ":").alias("clock"), F.col("offset").alias("zone"), F.col("severity.name").alias("severity"), "component", "context", "message")
+
+
+@query(
+    "log11_find",
+    """
+SELECT '{"line_num":' || event_id || ',"severity":"(E, 4, Error)","component":"ERROR","context":"conn' || user_id || '","message":"event : ' || event_id || ' k . ' || (props->>'$.k') || '"}' AS json
+FROM events WHERE event_type = 'error' AND strftime(ts, '%Y-%m') = '2024-01' AND hour(ts) = 12""",
+)
+def log11(spark: SparkSession, sf: str) -> DataFrame:
+    records = logs.parse_mongo(mongo_lines(spark, sf)).withColumnRenamed("event_id", "line_num")
+    wanted = {"date": ("2024", "01"), "time": ("12",), "severity": {"name": "Error"}}
+    return logs.as_json(records.where(logs.mongo_filter(wanted)), "line_num", "severity", "component", "context", "message")
+
+
+@query(
+    "log1_tokens",
+    r"""
+WITH l AS (
+  SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '-0000 ' || CASE event_type WHEN 'error' THEN 'E' WHEN 'signup' THEN 'W' ELSE 'I' END || ' ' || CASE WHEN event_type = 'view' THEN '-' ELSE upper(event_type) END
+         || ' [conn' || user_id || '] event:' || event_id || ' k.' || (props->>'$.k') AS v FROM events
+), t AS (SELECT unnest(regexp_extract_all(v, '[0-9]+|[A-Za-z]+|[^ \t\n]')) AS x FROM l)
+SELECT CASE WHEN x SIMILAR TO '[0-9]+' THEN 'NUMBER' WHEN x SIMILAR TO '[A-Za-z]+' THEN 'WORD' WHEN x = '.' THEN 'DOT' WHEN x = '-' THEN 'HYPHEN' WHEN x = ':' THEN 'COLON' WHEN x IN ('[', ']') THEN 'SBRACKET' ELSE 'MISMATCH' END AS typ, count(*) AS n
+FROM t GROUP BY 1""",
+)
+def log1(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.tokens(mongo_lines(spark, sf), "value", "event_id").groupBy("typ").agg(F.count("*").alias("n"))
+
+
+@query(
+    "log7_severity",
+    """SELECT CASE event_type WHEN 'error' THEN 4 WHEN 'signup' THEN 3 ELSE 2 END AS severity, count(*) AS n, count(*) FILTER (event_type = 'signup') AS matched FROM events GROUP BY 1""",
+)
+def log7(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.parse_mongo(mongo_lines(spark, sf))
+    hit = logs.severity_filter(F.col("severity"), {"level": "W", "value": 5})  # the level decides
+    return r.groupBy(F.col("severity.value").alias("severity")).agg(F.count("*").alias("n"), F.count_if(hit).alias("matched"))
+
+
+@query(
+    "log12_node_entries",
+    """SELECT event_id, strftime(ts, '%H') AS hour, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN '404' ELSE 'UNKOWN' END AS status,
+       CASE WHEN event_type = 'error' THEN 'TypeError' END AS error, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS trace_user, CASE WHEN event_type = 'error' AND user_id % 2 = 1 THEN 2 END AS frames FROM events""",
+)
+def log12(spark: SparkSession, sf: str) -> DataFrame:
+    text = """concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), CASE WHEN event_type <> 'error' THEN concat(' info: event ', event_id)
+      WHEN user_id % 2 = 0 THEN concat(' error[404] failed\nTrace: {user: ', user_id, ', url: }\nStack: TypeError: no such page\n    at f (/a/b.js:1:2)')
+      ELSE ' error: failed\nTypeError [CODE]: x is null\n    at f (/a/b.js:10:2)\n    at g (/a/c.js:3:4)\nTrace: x\nStack: y' END)"""
+    r = logs.parse_node(load(spark, sf, "events").select("event_id", F.expr(text).alias("entry")))
+    return r.select("event_id", F.element_at("time", 1).alias("hour"), "level", "status", F.col("error.name").alias("error"), F.try_element_at("error.trace", F.lit("user")).alias("trace_user"), F.size("error.frames").alias("frames")).withColumn("frames", F.when(F.col("frames") >= 0, F.col("frames")))
+
+
+_EVT = "CASE c_custkey % 3 WHEN 0 THEN 'Reverse' WHEN 1 THEN 'COMPRESS' ELSE 'yell' END"
+
+
+@query(
+    "evt1_progress",
+    f"""
+WITH c AS (SELECT c_custkey AS id, lower({_EVT}) AS k, c_name AS m FROM customer), s AS (SELECT *, unnest(range(1, length(m) + 1)) AS step FROM c)
+SELECT id, 'RUNNING' AS status, CAST(step AS INT) AS step, CASE k WHEN 'yell' THEN upper(m[:step]) WHEN 'compress' THEN regexp_replace(lower(m[:step]), '[^a-z]', '', 'g') ELSE reverse(m[:step]) END AS message,
+       CAST(floor(step::DOUBLE / length(m) * 100) AS INT) AS percent, false AS complete FROM s
+UNION ALL SELECT id, 'DONE', CAST(length(m) + 1 AS INT), CASE k WHEN 'yell' THEN upper(m) WHEN 'compress' THEN regexp_replace(lower(m), '[^a-z]', '', 'g') ELSE reverse(m) END, NULL, true FROM c""",
+)
+def evt1(spark: SparkSession, sf: str) -> DataFrame:
+    r = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr(_EVT).alias("type"), F.col("c_name").alias("message"))
+    return events.progress(r).drop("name")
+
+
+@query("evt6_started", "SELECT user_id AS id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def evt6(spark: SparkSession, sf: str) -> DataFrame:
+    return events.started(load(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id"), "event_id").select("id", "event_id")
+
+
+@query("dsl5_predicate", "SELECT event_id FROM events WHERE (event_type = 'purchase' AND value > 50) OR NOT (user_id % 2 = 0)")
+def dsl5(spark: SparkSession, sf: str) -> DataFrame:
+    bind = {"bought": F.col("event_type") == "purchase", "high": F.col("value") > 50, "even": F.col("user_id") % 2 == 0}
+    return predicate.where(load(spark, sf, "events"), "run<50, high>: bought && high || !even stop", bind).select("event_id")
+
+
+@query("str1_caesar", "SELECT c_custkey, translate(lower(c_name), 'abcdefghijklmnopqrstuvwxyz', 'defghijklmnopqrstuvwxyzabc') AS shifted, translate(lower(c_name), 'abcdefghijklmnopqrstuvwxyz', 'juliscaertvwxyzbdfghkmnopq') AS keyed, lower(c_name) AS back FROM customer")
+def str1(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("c_name")
+    keyed = strings.caesar(name, phrase="Julius Caesar")
+    return load(spark, sf, "customer").select("c_custkey", strings.caesar(name).alias("shifted"), keyed.alias("keyed"), strings.caesar(keyed, phrase="Julius Caesar", encrypt=False).alias("back"))
+
+
+@query(
+    "str3_rail_fence",
+    r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g'), '') AS c FROM documents)
+SELECT doc_id, md5(array_to_string(c[1:len(c):3], '') || array_to_string(c[2:len(c):3], '') || array_to_string(c[3:len(c):3], '')) AS cipher FROM c""",
+)
+def str3(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select("doc_id", F.md5(strings.rail_fence(F.col("text"), 3, 1).cast("binary")).alias("cipher"))
+
+
+@query(
+    "str6_packets",
+    """WITH c AS (SELECT conv_id, turn, text, greatest(CAST(ceil(length(text) / 24.0) AS INT), 1) AS n FROM conversations), p AS (SELECT *, unnest(range(0, n)) AS i FROM c)
+SELECT conv_id, turn, CAST(i AS INT) AS pos, lpad(CAST(length(substr(text, i * 24 + 1, 24)) AS VARCHAR), 4, '0') || lpad(CAST(n - 1 - i AS VARCHAR), 4, '0') || substr(text, i * 24 + 1, 24) AS packet FROM p""",
+)
+def str6(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(strings.packets(F.col("text"))).alias("pos", "packet"))
+
+
+@query("str7_reassemble", "SELECT conv_id || ':' || turn AS message_key, text AS message, replace(text, ' ', '_') AS reply FROM conversations")
+def str7(spark: SparkSession, sf: str) -> DataFrame:
+    sent = load(spark, sf, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("message_key"), F.explode(strings.packets(F.col("text"))).alias("packet"))
+    return strings.reassemble(sent, "message_key", "packet").select("message_key", "message", strings.reply(F.col("message")).alias("reply"))
+
+
+@query("str9_author_slug", "SELECT s_suppkey, replace(lower(rtrim(s_name)), ' ', '-') AS slug FROM supplier")
+def str9(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "supplier").select("s_suppkey", strings.author_slug(F.col("s_name")).alias("slug"))
+
+
+@query(
+    "bit_functions",
+    """SELECT o_orderkey, o_orderkey | 8 AS set3, o_orderkey & ~8::BIGINT AS clear3, xor(o_orderkey, 8::BIGINT) AS toggle3, (o_orderkey & 240) >> 4 AS field, least(o_orderkey, o_custkey) AS low, greatest(o_orderkey, o_custkey) AS high,
+       (o_orderkey % 97 + o_custkey % 97) % 97 AS modsum, CAST(pow(2, ceil(log2(o_orderkey))) AS BIGINT) AS power, CAST(ceil(log2(o_orderkey)) AS INT) AS exponent, CAST(bit_count(o_orderkey) AS INT) AS ones FROM orders WHERE o_orderkey > 0""",
+)
+def bits(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    return load(spark, sf, "orders").where("o_orderkey > 0").select(
+        "o_orderkey",
+        numbers.kth_bit(n, 3).alias("set3"),
+        numbers.kth_bit(n, 3, "clear").alias("clear3"),
+        numbers.kth_bit(n, 3, "toggle").alias("toggle3"),
+        numbers.bit_field(n, 240, 4).alias("field"),
+        F.least("o_orderkey", "o_custkey").alias("low"),
+        F.greatest("o_orderkey", "o_custkey").alias("high"),
+        numbers.add_modulo(n % 97, F.col("o_custkey") % 97, F.lit(97)).cast("long").alias("modsum"),
+        numbers.next_power_of_two(n).alias("power"),
+        numbers.log2_of_power(numbers.next_power_of_two(n)).alias("exponent"),
+        F.bit_count(n).alias("ones"),
+    )
+
+
+@query(
+    "num_functions",
+    """SELECT p_partkey, CAST(2 * (p_size - pow(2, floor(log2(p_size)))) + 1 AS INT) AS survivor, CASE WHEN p_size > 1 THEN CAST(p_size * (p_size + 1) / 2 AS BIGINT) END AS total,
+       p_size > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 60) r(d) WHERE d < p_size AND p_size % d = 0) AS prime FROM part""",
+)
+def nums(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    return load(spark, sf, "part").select("p_partkey", numbers.survivor(F.sequence(F.lit(1), size)).alias("survivor"), numbers.integer_sum(F.lit(1).cast("long"), size.cast("long")).alias("total"), numbers.is_prime(size.cast("long")).alias("prime"))
+
+
+@query("num1_magic_triangle", "WITH s AS (SELECT l_orderkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, 60 * 3 - list_sum(a) BETWEEN list_sum(a[1:3]) AND list_sum(a[-3:]) AS possible FROM s WHERE len(a) >= 6")
+def num1(spark: SparkSession, sf: str) -> DataFrame:
+    lists = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("long")).alias("a")).where(F.size("a") >= 6)
+    return lists.select("l_orderkey", numbers.magic_triangle(F.col("a"), F.lit(60)).alias("possible"))
+
+
+@query("num4_cycles")
+def num4(spark: SparkSession, sf: str) -> DataFrame:
+    parts = load(spark, sf, "part")
+    n = parts.count()
+    step = 7 if n % 7 else 11  # keys run from 0 to n - 1; a factor without a common divisor permutes them
+    return numbers.cycles(parts.select(F.col("p_partkey").alias("node"), F.pmod(F.col("p_partkey") * step + 3, F.lit(n)).alias("next")))
+
+
+@query("num7_primes", "SELECT x AS prime FROM range(2, 10000) a(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 100) b(d) WHERE d < x AND x % d = 0)")
+def num7(spark: SparkSession, sf: str) -> DataFrame:
+    return numbers.primes(spark, 10_000)
+
+
+@query(
+    "num12_pendulum",
+    """WITH RECURSIVE s(n, a, v) AS (SELECT 0, 3.141592653589793::DOUBLE / 3, 0.0::DOUBLE UNION ALL SELECT n + 1, a + v * 0.01::DOUBLE, v + (-0.1::DOUBLE * v - 4.9::DOUBLE * sin(a)) * 0.01::DOUBLE FROM s WHERE n < 600)
+SELECT p_partkey, round(a, 6) AS angle FROM part JOIN s ON s.n = p_size * 10""",
+)
+def num12(spark: SparkSession, sf: str) -> DataFrame:
+    parts = load(spark, sf, "part")
+    # one integration per distinct size; the sizes are joined back
+    by_size = parts.select("p_size").distinct().select("p_size", F.round(numbers.pendulum(F.col("p_size") / 10.0), 6).alias("angle"))
+    return parts.join(by_size, "p_size").select("p_partkey", "angle")
+
+
+@query("num10_better_guess", "SELECT i AS guess, CAST([4, 4, 1, 1, 6, 6, 3, 3][i + 1] AS INT) AS answer FROM range(0, 8) r(i)")
+def num10(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(8).select(F.col("id").alias("guess"), numbers.better_guess(F.col("id")).alias("answer"))
+
+
+_E = "embedding"
+
+
+def _doubles(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "embeddings").select("vec_id", "label", F.transform(_E, lambda x: x.cast("double")).alias("e"))
+
+
+@query(
+    "vec_functions",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: e[i] * e[i + 32])), 6) AS dot, round(list_sum(list_transform(range(1, 33), lambda i: 2 * e[i] - 3 * e[i + 32])), 6) AS combined FROM e""",
+)
+def vec(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.slice("e", 1, 32), F.slice("e", 33, 32)
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return _doubles(spark, sf).select("vec_id", F.round(arrays.dot(a, b), 6).alias("dot"), F.round(add(arrays.linear_combination([2.0, -3.0], [a, b])), 6).alias("combined"))
+
+
+@query("vec2_span", "SELECT DISTINCT i * 1 + j * 2 AS x, i * 3 + j * 1 AS y FROM range(-5, 5) a(i), range(-5, 5) b(j)")
+def vec2(spark: SparkSession, sf: str) -> DataFrame:
+    one = spark.range(1).select(F.explode(arrays.vector_span(F.array(F.lit(1), F.lit(3)), F.array(F.lit(2), F.lit(1)))).alias("v"))
+    return one.select(F.element_at("v", 1).cast("long").alias("x"), F.element_at("v", 2).cast("long").alias("y"))
+
+
+def _rows(n: int, size: int = 8):
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice("e", i * size + 1, n))
+
+
+@query(
+    "vec3_matrix_times_vector",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), y AS (SELECT vec_id, e, unnest(range(0, 8)) AS i FROM e)
+SELECT vec_id, CAST(i AS INT) AS i, round(list_sum(list_transform(range(0, 8), lambda j: e[j * 8 + i + 1] * e[j + 1])), 6) AS y FROM y""",
+)
+def vec3(spark: SparkSession, sf: str) -> DataFrame:
+    y = arrays.matrix_times_vector(_rows(8), F.slice("e", 1, 8))
+    return _doubles(spark, sf).select("vec_id", F.posexplode(y).alias("i", "y")).withColumn("y", F.round("y", 6))
+
+
+@query(
+    "mat2_multiply",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), ij AS (SELECT vec_id, e, i, j FROM e, range(0, 8) a(i), range(0, 8) b(j))
+SELECT vec_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(list_sum(list_transform(range(0, 8), lambda k: e[i * 8 + k + 1] * e[j * 8 + k + 1])), 6) AS v FROM ij""",
+)
+def mat2(spark: SparkSession, sf: str) -> DataFrame:
+    m = _doubles(spark, sf).select("vec_id", _rows(8).alias("m"))
+    t = m.select("vec_id", arrays.transpose(F.col("m")).alias("m"))
+    return arrays.multiply(arrays.entries(m, "vec_id", "m"), arrays.entries(t, "vec_id", "m"), "vec_id").withColumn("v", F.round("v", 6))
+
+
+@query(
+    "mat3_determinant",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, round(e[1] * e[10] - e[2] * e[9], 6) AS det2, round(e[1] * (e[10] * e[19] - e[11] * e[18]) - e[2] * (e[9] * e[19] - e[11] * e[17]) + e[3] * (e[9] * e[18] - e[10] * e[17]), 6) AS det3, false AS is_identity FROM e""",
+)
+def mat3(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(spark, sf).select("vec_id", F.round(arrays.determinant(_rows(2), 2), 6).alias("det2"), F.round(arrays.determinant(_rows(3), 3), 6).alias("det3"), arrays.is_identity(_rows(3)).alias("is_identity"))
+
+
+@query("mat5_inverse")
+def mat5(spark: SparkSession, sf: str) -> DataFrame:
+    r = _doubles(spark, sf).select("vec_id", arrays.inverse(_rows(3)).alias("r"), arrays.determinant_any(_rows(8)).alias("det8"))
+    return r.select("vec_id", F.to_json("r.inverse").alias("inverse"), "r.error", "det8")
+
+
+@query(
+    "sig1_spectrum",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), k AS (SELECT vec_id, e, unnest(range(0, len(e))) AS k FROM e),
+s AS (SELECT vec_id, k, list_sum(list_transform(range(0, len(e)), lambda n: e[n + 1] * cos(k * n * 2 * pi() / len(e)))) AS re, list_sum(list_transform(range(0, len(e)), lambda n: e[n + 1] * sin(k * n * 2 * pi() / len(e)))) AS im FROM k)
+SELECT vec_id, CAST(k AS INT) AS k, round(sqrt(re * re + im * im), 3) AS magnitude FROM s""",
+)
+def sig1(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.spectrum(_doubles(spark, sf), "vec_id", "e").select("vec_id", "k", arrays.magnitude(F.col("re"), F.col("im")).alias("magnitude"))
+
+
+@query("sig2_fast_spectrum")
+def sig2(spark: SparkSession, sf: str) -> DataFrame:
+    r = _doubles(spark, sf).select("vec_id", arrays.fast_spectrum(F.col("e")).alias("s"))
+    return r.select("vec_id", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("k", "z")).select("vec_id", "k", arrays.magnitude(F.col("z.re"), F.col("z.im")).alias("magnitude"))
+
+
+@query("ml1_perceptron")
+def ml1(spark: SparkSession, sf: str) -> DataFrame:
+    point = F.struct(F.slice("e", 1, 8).alias("x"), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1).alias("y"))
+    groups = _doubles(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", point.alias("p")))).alias("g"))
+    return groups.select("label", F.to_json(arrays.perceptron(F.transform("g", lambda g: g["p"]), 5)).alias("weights"))
+
+
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return images.pixels(_doubles(spark, sf), "vec_id", "e")
+
+
+_PX = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), r AS (SELECT vec_id, list_min(e) AS lo, list_max(e) AS hi, unnest(e) AS raw, unnest(range(0, len(e))) AS p FROM e),
+px AS (SELECT vec_id, p % 8 AS x, p // 8 AS y, CASE WHEN hi > lo THEN CAST(floor((raw - lo) / (hi - lo) * 255) AS INT) ELSE 0 END AS v FROM r)"""
+
+
+@query("img4_histogram", f"{_PX} SELECT CAST(b AS INT) AS bin, count(v) AS n FROM range(0, 256) r(b) LEFT JOIN px ON px.v = b GROUP BY b")
+def img4(spark: SparkSession, sf: str) -> DataFrame:
+    return images.histogram(_pixels(spark, sf))
+
+
+@query("img5_threshold", f"{_PX} SELECT vec_id, CAST(sum(CASE WHEN v > 127 THEN 255 ELSE 0 END) AS BIGINT) AS bin, CAST(sum(CASE WHEN v > 127 THEN 127 ELSE v END) AS BIGINT) AS trunc, CAST(sum(CASE WHEN v > 127 THEN v ELSE 0 END) AS BIGINT) AS tozero, CAST(sum(255 - v) AS BIGINT) AS inverted FROM px GROUP BY vec_id")
+def img5(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("v")
+    return _pixels(spark, sf).groupBy("vec_id").agg(*[F.sum(images.threshold(v, k)).alias(a) for k, a in (("binary", "bin"), ("trunc", "trunc"), ("tozero", "tozero"))], F.sum(images.bitwise("not", v)).alias("inverted"))
+
+
+@query(
+    "img6_otsu",
+    f"""{_PX}, h AS (SELECT vec_id, v, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT vec_id, v, sum(n) OVER u AS n0, sum(n * v) OVER u AS s0, sum(n) OVER w AS n, sum(n * v) OVER w AS s FROM h WINDOW u AS (PARTITION BY vec_id ORDER BY v), w AS (PARTITION BY vec_id)),
+b AS (SELECT vec_id, v, CASE WHEN n > n0 THEN pow((s0 * (n - n0) - (s - s0) * n0)::DOUBLE, 2) / (n0 * (n - n0)) ELSE 0 END AS b FROM c)
+SELECT vec_id, v AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, v) = 1""",
+)
+def img6(spark: SparkSession, sf: str) -> DataFrame:
+    return images.otsu(_pixels(spark, sf), "vec_id")
+
+
+_NEAR = f"{_PX}, nb AS (SELECT a.vec_id, a.x, a.y, a.v AS own, b.v FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)"
+
+
+@query("img8_average_blur", f"{_NEAR} SELECT vec_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(floor(sum(v) / count(*)) AS INT) AS v FROM nb GROUP BY vec_id, x, y")
+def img8(spark: SparkSession, sf: str) -> DataFrame:
+    return images.average_blur(_pixels(spark, sf), "vec_id", 3)
+
+
+@query("img9_gradient", f"{_NEAR} SELECT vec_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, max(v) - min(v) AS v FROM nb GROUP BY vec_id, x, y")
+def img9(spark: SparkSession, sf: str) -> DataFrame:
+    return images.morph(_pixels(spark, sf), "vec_id", "gradient", 3)
+
+
+@query("img2_pipeline", f"{_PX} SELECT vec_id, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AND 255 - v > 100 THEN 255 ELSE 0 END AS v FROM px WHERE x % 2 = 0 AND y % 2 = 0")
+def img2(spark: SparkSession, sf: str) -> DataFrame:
+    return image_pipeline.run(_pixels(spark, sf), "vec_id", ["bitwise(op=not)", "mask(x=2, y=2, w=4, h=4)", "decimate()", "threshold(kind=binary, at=100)"]).select("vec_id", "x", "y", "v")
+
+
+@query("img15_contours")
+def img15(spark: SparkSession, sf: str) -> DataFrame:
+    return images.contours(_pixels(spark, sf).withColumn("v", images.threshold(F.col("v"))), "vec_id")
+
+
+
+
+def _config(spark: SparkSession, sf: str, half: int) -> DataFrame:
+    e = load(spark, sf, "events").where(F.col("event_id") % 2 == half)
+    return e.groupBy(F.col("event_type").alias("section"), F.concat(F.lit("U"), "user_id").alias("entry")).agg(F.max_by("event_id", "event_id").cast("string").alias("value"))
+
+
+_HALF = "SELECT upper(event_type) AS section, 'u' || user_id AS entry, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 2 = {} GROUP BY 1, 2"
+
+
+@query("cfg6_merge", f"WITH t AS ({_HALF.format(0)}), c AS ({_HALF.format(1)}) SELECT *, 'merged' AS part FROM t UNION ALL SELECT *, 'merged' FROM c ANTI JOIN t USING (section, entry) UNION ALL SELECT *, 'skipped' FROM c SEMI JOIN t USING (section, entry)")
+def cfg6(spark: SparkSession, sf: str) -> DataFrame:
+    merged, skipped = stores.merge(_config(spark, sf, 1), _config(spark, sf, 0))
+    return merged.withColumn("part", F.lit("merged")).unionByName(skipped.withColumn("part", F.lit("skipped")))
+
+
+@query("cfg2_upsert", f"WITH t AS ({_HALF.format(0)}), c AS ({_HALF.format(1)}) SELECT section, entry, coalesce(c.value, t.value) AS value FROM t FULL JOIN c USING (section, entry) WHERE NOT (section = 'ERROR')")
+def cfg2(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.delete(stores.upsert(_config(spark, sf, 0), _config(spark, sf, 1), overwrite=True), "error")
+
+
+@query("cfg9_json", "SELECT upper(event_type) AS section, 'k' AS entry, (props->>'$.k') AS value, count(*) AS n FROM events GROUP BY ALL")
+def cfg9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "events").select(F.concat(F.lit('{"'), "event_type", F.lit('":'), "props", F.lit("}")).alias("json"))
+    return stores.from_json(rows, "json").groupBy("section", "entry", "value").agg(F.count("*").alias("n"))
+
+
+@query("tree1_insert", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def tree1(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.tree_insert(load(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("tree3_shape")
+def tree3(spark: SparkSession, sf: str) -> DataFrame:
+    keys = load(spark, sf, "orders").groupBy(F.col("o_orderpriority")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("o_orderkey").alias("h"), "o_custkey"))), lambda s: s["o_custkey"]).alias("keys"))
+    s = keys.select("o_orderpriority", stores.tree_shape(F.col("keys")).alias("s"))
+    return s.select("o_orderpriority", "s.height", "s.nodes", "s.edges", F.get("s.pre", 0).alias("root"))
+
+
+@query(
+    "web2_anchors",
+    r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>')) AS a FROM pages), h AS (SELECT page_id, regexp_extract(a, '(?i)href\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM a)
+SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example.com' || href END AS link, count(*) AS n FROM h GROUP BY ALL""",
+)
+def web2(spark: SparkSession, sf: str) -> DataFrame:
+    links = web.anchors(load(spark, sf, "pages"), "html", "page_id")
+    return links.select("page_id", web.absolute(F.col("href"), "https://example.com").alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("web4_feature")
+def web4(spark: SparkSession, sf: str) -> DataFrame:
+    f = load(spark, sf, "pages").select("page_id", web.page_feature(F.col("html")).alias("f"))
+    return f.select("page_id", "f.title", F.size("f.body").alias("paragraphs"), F.aggregate(F.transform("f.body", lambda b: F.size(b["links"])), F.lit(0), lambda a, x: a + x).alias("links"))
+
+
+@query("web7_author", "SELECT c_custkey, c_mktsegment AS quote, c_name AS author FROM customer")
+def web7(spark: SparkSession, sf: str) -> DataFrame:
+    quote, author = web.split_author(F.concat("c_mktsegment", F.lit(" - "), "c_name"))
+    return load(spark, sf, "customer").select("c_custkey", quote.alias("quote"), author.alias("author"))
+
+
+@query("web11_insert_if_absent", "SELECT source AS author, md5(text) AS quote FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT source, md5(text) FROM documents WHERE doc_id % 2 = 0")
+def web11(spark: SparkSession, sf: str) -> DataFrame:
+    d = load(spark, sf, "documents").select("doc_id", F.col("source").alias("author"), F.md5(F.col("text").cast("binary")).alias("quote"))
+    return stores.insert_if_absent(d.where("doc_id % 2 = 1").drop("doc_id"), d.where("doc_id % 2 = 0"), "author", "quote")
+
+
+@query("pdf4_address_table", "SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS start, lead(CAST(o_custkey AS BIGINT), 1, 1000000) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS stop FROM orders")
+def pdf4(spark: SparkSession, sf: str) -> DataFrame:
+    from tessella.sources.pdf import address_table
+
+    rows = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("doc"), F.col("o_orderkey").alias("obj"), F.col("o_custkey").alias("start"))
+    return address_table(rows, F.lit(1_000_000)).select(F.col("obj").alias("o_orderkey"), "start", "stop")

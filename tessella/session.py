@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,18 @@ def build_session(app: str = "tessella", master: str = "local[*]", **conf: str)
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def work_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessella-"))
+    if not known.isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and go on from there; lost executors don't lose it."""
+    work_root(df.sparkSession)
+    return df.checkpoint(eager=True)
