@@ -22,6 +22,10 @@ class Name(str):
     """A name without its slash."""
 
 
+class Operator(bytes):
+    """A word of a content stream that isn't a value."""
+
+
 class Stream(dict):
     """A dictionary with raw bytes in `.raw`."""
 
@@ -46,7 +50,7 @@ class Reader:
             self.at = m.end()
 
     def value(self):
-        """The next value; an operator comes as bytes; None at the end."""
+        """The next value; an operator comes as Operator; None at the end."""
         self.skip()
         d, at = self.data, self.at
         if at >= len(d):
@@ -84,7 +88,7 @@ class Reader:
             return float(m[0]) if b"." in m[0] else int(m[0])
         m = re.compile(rb"[^\s\x00<>\[\](){}/%]+|.", re.S).match(d, at)
         self.at = m.end()
-        return {b"true": True, b"false": False}.get(m[0], None if m[0] == b"null" else m[0])
+        return {b"true": True, b"false": False}.get(m[0], None if m[0] == b"null" else Operator(m[0]))
 
     def _dictionary(self) -> dict:
         out = {}
@@ -325,18 +329,17 @@ class Document:
         r = Reader(data)
         while r.at < len(data):
             v = r.value()
-            r.skip()
-            if not isinstance(v, bytes) or isinstance(v, bytes) and data[r.at - 1 : r.at] in (b")", b">"):
+            if not isinstance(v, Operator):
                 stack.append(v)
-            if isinstance(v, bytes) and v in (b"BT", b"ET"):
-                inside, stack = v == b"BT", []
-            elif isinstance(v, bytes) and v == b"Tf":
-                font, stack = next((str(x) for x in stack if isinstance(x, Name)), font), []
-            elif isinstance(v, bytes) and v in (b"Tj", b"TJ", b"'", b'"'):
-                for s in [x for y in stack for x in (y if isinstance(y, list) else [y])]:
-                    if inside and isinstance(s, bytes):
-                        out.append((font, self._shown(s, fonts.get(font, "cp1252"))))
-                stack = []
+                continue
+            if v in (b"BT", b"ET"):
+                inside = v == b"BT"
+            elif v == b"Tf":
+                font = next((str(x) for x in stack if isinstance(x, Name)), font)
+            elif v in (b"Tj", b"TJ", b"'", b'"'):
+                shown = [x for y in stack for x in (y if isinstance(y, list) else [y])]
+                out += [(font, self._shown(x, fonts.get(font, "cp1252"))) for x in shown if inside and isinstance(x, bytes)]
+            stack = []
         return out
 
     @staticmethod
