@@ -71,6 +71,17 @@ def rail_fence_back(cipher: Column, rows: int = 3, lead: int = 1) -> Column:
     return F.when(n == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), ""))
 
 
+def cipher(name: str, message: Column, parameters: list[str], encrypt: bool = True) -> Column:
+    """A cipher by name with KEY=VALUE parameters: caesar (keyphrase, sub, shift), rail_fence (rows, lead, keep_case)."""
+    given = dict(p.split("=", 1) for p in parameters)
+    if name == "caesar":
+        return caesar(message, int(given.get("shift", "3")), given.get("keyphrase"), given.get("sub"), encrypt)
+    if name == "rail_fence":
+        rows, lead = int(given.get("rows", "2")), int(given.get("lead", "1"))
+        return rail_fence(message, rows, lead, given.get("keep_case", "True") == "True") if encrypt else rail_fence_back(message, rows, lead)
+    raise ValueError(f"no cipher {name}")
+
+
 def packets(message: Column, packet_size: int = 32) -> Column:
     """array<string>: chunks behind two four-digit headers, the chunk's size and how many chunks remain."""
     room = packet_size - 8

@@ -136,7 +136,28 @@ def bitwise(op: str, a: Column, b: Column | None = None) -> Column:
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:
-    return F.floor(0.3 * r + 0.59 * g + 0.11 * b).cast("int")
+    return F.round(0.3 * r + 0.59 * g + 0.11 * b).cast("int")
+
+
+def hsv(r: Column, g: Column, b: Column) -> Column:
+    """struct<h, s, v> of 8-bit channels: hue in half degrees (0 to 179), saturation and value in 0 to 255."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = high - low
+    hue = F.when(span == 0, 0.0).when(high == r, 60.0 * (g - b) / span).when(high == g, 120 + 60.0 * (b - r) / span).otherwise(240 + 60.0 * (r - g) / span)
+    return F.struct((F.round(F.pmod(hue, F.lit(360.0)) / 2) % 180).cast("int").alias("h"), F.when(high == 0, 0).otherwise(F.round(255.0 * span / high)).cast("int").alias("s"), high.cast("int").alias("v"))
+
+
+def convert_color(image: DataFrame, code: str) -> DataFrame:
+    """Images of channels r, g, b: rgb2gray gives v; rgb2hsv gives h, s, v; rgb2bgr swaps."""
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    rest = [c for c in image.columns if c not in ("r", "g", "b")]
+    if code == "rgb2gray":
+        return image.select(*rest, grey(r, g, b).alias("v"))
+    if code == "rgb2hsv":
+        return image.select(*rest, hsv(r, g, b).alias("c")).select(*rest, "c.*")
+    if code == "rgb2bgr":
+        return image.select(*rest, b.alias("r"), "g", r.alias("b"))
+    raise ValueError(f"no conversion {code}")
 
 
 def mask(image: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

@@ -65,6 +65,28 @@ def write_ini(config: DataFrame, path: str) -> None:
     each.select(F.concat(F.lit("["), "section", F.lit("]\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("value")).coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
 
 
+def parse_ini(df: DataFrame, column: str) -> DataFrame:
+    """(section, entry, value) of INI texts in a column."""
+    name, entry = r"(?m)^\s*\[([^\]]+)\]\s*$", r"^\s*([^#;\[\s=:][^=:]*?)\s*[=:]\s*(.*?)\s*$"
+    names = F.regexp_extract_all(F.col(column), F.lit(name), F.lit(1))
+    bodies = F.slice(F.split(F.col(column), name, -1), 2, 1 << 30)
+    each = df.select(F.explode(F.arrays_zip(names.alias("section"), bodies.alias("body"))).alias("s")).select(F.upper("s.section").alias("section"), F.explode(F.split("s.body", r"\r?\n")).alias("line"))
+    return each.where(F.col("line").rlike(entry)).select("section", F.lower(F.regexp_extract("line", entry, 1)).alias("entry"), F.regexp_extract("line", entry, 2).alias("value"))
+
+
+def merge_files(spark: SparkSession, changes: str, target: str, output: str | None = None) -> DataFrame:
+    """Merge two configurations, given as paths or as INI texts, and write the result to output, else over the target if
+    that is a path; the skipped rows."""
+    read = lambda c: parse_ini(spark.createDataFrame([(c,)], "text string"), "text") if "\n" in c or c.lstrip().startswith("[") else read_ini(spark, c)
+    merged, skipped = merge(read(changes), read(target))
+    skipped = spark.createDataFrame(skipped.collect(), skipped.schema)  # a configuration is small
+    path = output or (target if "\n" not in target and not target.lstrip().startswith("[") else None)
+    if path:
+        rows = spark.createDataFrame(merged.collect(), merged.schema)  # read before the target is overwritten
+        write_ini(rows, path)
+    return skipped
+
+
 def insert_if_absent(batch: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     """The rows of batch, each key once, that stored doesn't have."""
     return batch.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")

@@ -26,6 +26,7 @@ def test_ciphers(spark):
     assert value(d, strings.caesar(F.col("h"), 1)) == "ifmmp"
     assert strings.key_alphabet("JULIUS CAESAR").upper() == "JULISCAERTVWXYZBDFGHKMNOPQ"
     assert value(d, strings.caesar(strings.caesar(m, 7), 7, encrypt=False)) == "we the people"
+    assert value(d, strings.cipher("caesar", m, ["shift=1"])) == "xf uif qfpqmf" and value(d, strings.cipher("rail_fence", m, ["rows=3", "lead=1"])) == value(d, strings.rail_fence(m))
     with pytest.raises(ValueError):
         strings.key_alphabet("123")
 

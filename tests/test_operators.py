@@ -104,6 +104,9 @@ def test_stores(spark, tmp_path):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in merged.collect()}
     stores.write_ini(merged, str(tmp_path / "c.ini"))
     assert {tuple(r) for r in stores.read_ini(spark, str(tmp_path / "c.ini")).collect()} == {tuple(r) for r in merged.collect()}
+    skipped = stores.merge_files(spark, "[s]\nx = 9\n[u]\nq = 1\n", str(tmp_path / "c.ini"))
+    assert [tuple(r) for r in skipped.collect()] == [("S", "x", "9")]
+    assert stores.read_ini(spark, str(tmp_path / "c.ini")).count() == 4
     assert stores.get_entry(merged, "s", "X").first().value == "1"
     shape = spark.createDataFrame([([5, 2, 8, 1, 9, 5, 3],)], "k array<bigint>").select(stores.tree_shape(F.col("k")).alias("s")).first().s
     assert (shape.pre, shape.post, shape.height, shape.nodes) == ([5, 2, 1, 3, 8, 9], [1, 3, 2, 9, 8, 5], 2, 6)
@@ -147,6 +150,9 @@ def test_images(spark):
     assert image_pipeline.value("3x3") == "3x3" and image_pipeline.value("-1.5") == -1.5 and image_pipeline.value("(1, 2)") == (1, 2)
     assert image_pipeline.run(d, "k", ["blur(size=3)", "histogram()"]).count() == 256
     assert image_pipeline.run(d, "k", ["crop()"]).count() > 0 and image_pipeline.run(d, "k", ["document()"]).count() == 16
+    rgb = spark.createDataFrame([(255, 0, 0), (0, 0, 255), (10, 10, 10)], "r int, g int, b int")
+    assert [tuple(r) for r in images.convert_color(rgb, "rgb2hsv").collect()] == [(0, 255, 255), (120, 255, 255), (0, 0, 10)]
+    assert [r.v for r in images.convert_color(rgb, "rgb2gray").collect()] == [77, 28, 10]
     ocr = spark.createDataFrame([("\t".join("5 1 1 1 1 1 10 20 30 40 91.5 word".split()),), ("short\tline",)], "value string")
     assert images.ocr_rows(ocr).first().box.width == 30
 
