@@ -1,17 +1,19 @@
 """N-gram Jaccard join with size-banded tiles and hashed bitmap signatures.
 
 1. Documents with equal shingle sets form classes by a 128-bit digest; only classes are compared.
-2. Half of all shingles (by hash) are counted over the whole corpus, in packed arrays dealt by hash range. A class's
+2. Three eighths of all shingles (by hash) are counted over the whole corpus, in packed arrays dealt by hash range. A class's
    prefix is its rarest shingles, as many as a partner at the threshold must share one of. A shingle of one class
    only matches nothing, so most classes drop out here, and frequent passages are never a key unless a text
    consists of little else.
 3. A tile holds the classes with one prefix shingle in one band of sizes; a band is as wide as the threshold, so
    partners are in the same or the next one. In a tile, classes are compared by bitmap signatures: parities of hashed
    shingles, of a width that grows with the size. The number of differing bits bounds the symmetric difference from
-   below and so the overlap from above. Only pairs that pass go to the exact intersection of sorted arrays.
-4. Pairs with each tile's smallest class are verified first. Then only pairs between different components so far need a
-   look, which keeps large groups of near copies linear; no pair is skipped that could join two components.
-   With `every_link` all pairs are compared instead. Large tiles are dealt into pairs of blocks.
+   below and so the overlap from above. Only pairs that pass go to the exact intersection of sorted arrays. Large tiles
+   are dealt into pairs of blocks of bounded size.
+4. First each class meets its largest tile only, then its smallest, where links are found in place and connected pairs
+   are skipped, which keeps large groups of near copies almost linear. Then all tiles that still hold different
+   components give their pairs across components, each once, so no link is lost that could join two components. With
+   `every_link` all pairs of all tiles are compared instead.
 
 Defined cases: null and texts without words have an empty set, component = own id, and link with nothing; shorter texts
 have one shingle, the whole sequence; null ids take part (component_id is the least id that is not null, or null); rows
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from tessella.llm.common import LOWER, WordHasher, cut, default_parallelism, mix
 from tessella.llm.components import components
 
 TOKENS_PER_BUCKET = 3_000_000
-BLOCK = 2_000
+BLOCK, BLOCK_TOKENS = 2_000, 1_000_000
 MOST_BROADCAST = 1_000_000
 
 
@@ -67,8 +70,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def in_region(tokens: np.ndarray) -> np.ndarray:
-    """The half of all shingles that is counted."""
-    return tokens >> np.uint64(63) == 0
+    """The three eighths of all shingles that are counted."""
+    return tokens >> np.uint64(61) < 3
 
 
 def counted_tokens(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -127,8 +130,8 @@ def _deal(words: int, percent: int, buckets: int):
     return run
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket and class with tokens of two classes at least: those tokens and their numbers of classes.
+def _shared_tokens(parts: int):
+    """Tokens of two classes at least with their numbers of classes, packed by a part of the classes' digests.
 
     Rows come sorted by bucket; one bucket is held at a time."""
 
@@ -150,18 +153,52 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         token, doc, df = token[kept], doc[kept], df[kept]
         order = np.argsort(doc, kind="stable")
         token, doc, df = token[order], doc[order], df[order]
-        which, first = np.unique(doc, return_index=True)
-        packed = [np.stack([t, d.astype(np.uint64)], axis=1).tobytes() for t, d in zip(np.split(token, first[1:]), np.split(df, first[1:]), strict=True)] if len(which) else []
-        keys = unique[which].tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([keys[16 * i : 16 * i + 16] for i in range(len(which))], pa.binary()), pa.array(packed, pa.binary())], names=["fp", "shared"])
+        part = unique["a"][doc] % np.uint64(parts)
+        order = np.lexsort((doc, part))
+        token, doc, df, part = token[order], doc[order], df[order], part[order]
+        ids, first = np.unique(part, return_index=True)
+        out = []
+        for i, own_doc, t, d in zip(ids.tolist(), *(np.split(x, first[1:]) for x in (doc, token, df)), strict=True) if len(ids) else ():
+            which, many = np.unique(own_doc, return_counts=True)
+            out.append((i, unique[which].tobytes(), many.astype(np.uint32).tobytes(), t.tobytes(), d.astype(np.uint32).tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "fps", "counts", "tokens", "dfs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for batch in batches:
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket and rows:
+                    yield finish(rows)
+                    rows = []
+                bucket = b
+                rows.append(tuple(row))
+        if rows:
+            yield finish(rows)
+
+    return run
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows, sorted by part, to one row per class: its shared tokens and their numbers of classes."""
 
-    bucket, rows = None, []
+    def finish(rows: list[tuple]) -> pa.RecordBatch:
+        fps, many, token, df = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate(([("a", "<u8"), ("b", "<u8")], np.uint32, np.uint64, np.uint32)))
+        unique, code = np.unique(fps, return_inverse=True)
+        doc = np.repeat(code.ravel(), many)
+        order = np.argsort(doc, kind="stable")
+        pairs = np.stack([token[order], df[order].astype(np.uint64)], axis=1)
+        first = np.flatnonzero(np.diff(doc[order], prepend=-1))
+        keys = unique.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([keys[16 * i : 16 * i + 16] for i in range(len(unique))], pa.binary()), pa.array([x.tobytes() for x in np.split(pairs, first[1:])], pa.binary())], names=["fp", "shared"])
+
+    part, rows = None, []
     for batch in batches:
-        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != bucket and rows:
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part and rows:
                 yield finish(rows)
                 rows = []
-            bucket = b
+            part = p
             rows.append(tuple(row))
     if rows:
         yield finish(rows)
@@ -172,13 +209,13 @@ def _band(n: int, percent: int) -> int:
 
 
 def _tiles(percent: int):
-    """(fp, n, n_region, [shared]) to the tiles of a class: token, band, home, fp, n."""
+    """(fp, n, n_region, shared) to the tiles of a class: token, band, home, fp, n."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for fp, n, region, shared in zip(batch["fp"], batch["n"], batch["n_region"], batch["shared"], strict=True):
-                pairs = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in shared])
+                pairs = np.frombuffer(shared, np.uint64).reshape(-1, 2)
                 inside = in_region(pairs[:, 0])
                 own, others = pairs[inside], pairs[~inside, 0]
                 single = region - len(own)
@@ -204,52 +241,74 @@ def _sets(words: int):
     return run
 
 
-def _compare(percent: int, every_link: bool):
-    """Pairs of classes in a tile's block pair that may link: sizes, labels and bitmaps allow it.
+def _compare(percent: int, every_link: bool, exact: bool):
+    """Pairs of classes of a tile's block pair that sizes and bitmaps allow; with `exact`, of those only links, by exact
+    intersections, and labels of classes that a link connects become one.
 
-    Rows come sorted by group; a group has at most about two blocks of rows."""
+    Rows come sorted by group; a group has at most about two blocks of rows. Equal labels aren't compared."""
 
-    def pairs(g: pd.DataFrame) -> list[pd.DataFrame]:
+    def linked(g: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
         g = g.sort_values("n", kind="stable")
-        n, home, label, fp = g["n"].to_numpy(), g["home"].to_numpy(), g["label"].to_numpy(), g["fp"].to_numpy()
-        block, cross = g["block"].to_numpy(), g["i"].iloc[0] != g["j"].iloc[0]
-        sigs = [np.frombuffer(s, np.uint64) for s in g["sig"]]
+        n, home, fp, block = (g[c].to_numpy() for c in ("n", "home", "fp", "block"))
+        label = np.unique(g["label"].to_numpy(), return_inverse=True)[1].ravel()
+        cross = g["i"].iloc[0] != g["j"].iloc[0]
+        sigs = [np.frombuffer(x, np.uint64) for x in g["sig"]]
+        wide = {}  # signatures narrowed to a width, for all classes of at least that width
+        if exact:
+            code = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in g["tokens"]]), return_inverse=True)[1].ravel()
+            start = np.concatenate([[0], np.cumsum(n)])
+            member = np.zeros(int(code.max()) + 1, bool)
         out = []
         for k in range(len(g) - 1):
             last = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
             if last <= k + 1:
                 continue
-            other = np.arange(k + 1, last)
-            good = home[k] | home[other]
+            good = home[k] | home[k + 1 : last]
             if not every_link:
-                good &= label[other] != label[k]
+                good &= label[k + 1 : last] != label[k]
             if cross:
-                good &= block[other] != block[k]
-            other = other[good]
+                good &= block[k + 1 : last] != block[k]
+            other = np.flatnonzero(good) + k + 1
             if not len(other):
                 continue
             width = len(sigs[k])
-            both = np.stack([folded(sigs[m][None, :], width)[0] for m in other])
-            differ = np.bitwise_count(both ^ sigs[k]).sum(axis=1).astype(np.int64)
+            if width not in wide:
+                first = next(i for i, x in enumerate(sigs) if len(x) >= width)
+                wide[width] = first, np.concatenate([folded(x[None, :], width) for x in sigs[first:]])
+            first, table = wide[width]
+            differ = np.bitwise_count(table[other - first] ^ sigs[k]).sum(axis=1).astype(np.int64)
             overlap = (n[k] + n[other] - differ) // 2  # no more than that
             other = other[100 * overlap >= percent * (n[k] + n[other] - overlap)]
-            if len(other):
-                out.append(pd.DataFrame({"a": fp[k], "b": fp[other]}))
+            if not len(other):
+                continue
+            if not exact:
+                out += [(fp[k], x, None) for x in fp[other]]
+                continue
+            member[code[start[k] : start[k + 1]]] = True
+            low, high = other[0], other[-1] + 1
+            both = np.add.reduceat(member[code[start[low] : start[high]]].astype(np.int64), start[low:high] - start[low])[other - low]
+            member[code[start[k] : start[k + 1]]] = False
+            sure = 100 * both >= percent * (n[k] + n[other] - both)
+            for m, shared in zip(other[sure].tolist(), both[sure].tolist(), strict=True):
+                if label[m] != label[k]:
+                    out.append((fp[k], fp[m], shared))
+                    label[label == label[m]] = label[k]
         return out
 
+    def table(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["a", "b", "shared"]).astype({"shared": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        keys = ["token", "band", "i", "j"]
+        rest, keys = None, ["token", "band", "i", "j"]
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch])
-            last = rest[keys].iloc[-1]
-            open_ = (rest[keys] == last).all(axis=1)
+            rest = batch if rest is None or not len(rest) else pd.concat([rest, batch])
+            open_ = (rest[keys] == rest[keys].iloc[-1]).all(axis=1)
             done, rest = rest[~open_], rest[open_]
-            out = [p for _, g in done.groupby(keys, sort=False) if len(g) > 1 for p in pairs(g)]
+            out = [p for _, g in done.groupby(keys, sort=False) if len(g) > 1 for p in linked(g)]
             if out:
-                yield pd.concat(out)
-        if rest is not None and len(rest) > 1 and (out := pairs(rest)):
-            yield pd.concat(out)
+                yield table(out)
+        if rest is not None and len(rest) > 1 and (out := linked(rest)):
+            yield table(out)
 
     return run
 
@@ -264,7 +323,8 @@ def _verify(percent: int):
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     kept.append(i)
                     shared.append(both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64())), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+            index = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
 
     return run
 
@@ -286,57 +346,57 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     spark = docs.sparkSession
     per_class = cut(found.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("n_region").alias("n_region")))
     total = per_class.agg(F.sum("n")).first()[0] or 0
-    buckets = max(default_parallelism(spark), int(total // 2 // TOKENS_PER_BUCKET) + 1)
+    buckets = int(total * 3 / 8 // TOKENS_PER_BUCKET) + 1
+    buckets = max(buckets, min(4 * buckets, default_parallelism(spark)))
     text = utf8("text").alias("text")
     dealt = docs.select(text).mapInArrow(_deal(words, percent, buckets), "bucket int, fps binary, counts binary, tokens binary")
-    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "fp binary, shared binary")
-    few = shared.groupBy("fp").agg(F.collect_list("shared").alias("shared"), F.sum(F.octet_length("shared") / 16).alias("many"))
+    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(buckets), "part int, fps binary, counts binary, tokens binary, dfs binary")
+    few = shared.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(_by_class, "fp binary, shared binary")
     # a class whose unshared tokens fill its prefix has no partner
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    able = few.join(per_class, "fp").where(F.col("n_region") - F.col("many") < prefix).select("fp", "n", "n_region", "shared")
+    able = few.join(per_class, "fp").where(F.col("n_region") - F.octet_length("shared") / 16 < prefix).select("fp", "n", "n_region", "shared")
     tiles = cut(able.mapInPandas(_tiles(percent), "token long, band int, home boolean, fp binary, n long"))
 
-    alone = Tile.alone(tiles)
-    tiles = tiles.join(alone, ["token", "band"], "left_semi")
+    sizes = tiles.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("homes")).where("rows > 1 and homes").drop("homes")
+    tiles = cut(tiles.join(sizes, ["token", "band"]))
     needed = cut(tiles.select("fp").distinct())
-    reps = needed.join(per_class, "fp").select("fp", F.col("rep"))
-    small = needed.count() <= MOST_BROADCAST
-    # the texts of the classes that are left; a class has many rows, of which the first found is enough
-    wanted = found.where("fp is not null").select("doc_id", "fp").join(reps, "fp").where("doc_id <=> rep").select("doc_id", "fp").distinct().withColumnRenamed("doc_id", "rep_id")
-    wanted = F.broadcast(wanted) if small else wanted
-    chosen = docs.select("doc_id", text).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("fp", "text")
-    sets = chosen.mapInArrow(_sets(words), "fp binary, own binary, tokens binary, sig binary")
-    # null or repeated ids may bring other texts along
-    sets = cut(sets.where("own = fp").drop("own").dropDuplicates(["fp"]))
-
-    seed = tiles.where("home").groupBy("token", "band").agg(F.min(F.struct("n", "fp")).alias("seed"))
-    near = tiles.join(seed, ["token", "band"]).where(F.col("fp") != F.col("seed.fp")).where(F.least("n", "seed.n") * 100 >= F.greatest("n", "seed.n") * percent)
-    stars = near.select(F.col("seed.fp").alias("a"), F.col("fp").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(_verified(stars, sets, percent))
-
-    label = components(first).select(F.col("node").alias("fp"), "label")
-    named = tiles.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_tiles = named.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"))
-    if not every_link:
-        open_tiles = open_tiles.where("low <> high")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = named.join(open_tiles.select("token", "band", blocks.alias("blocks")), ["token", "band"])
+    reps = needed.join(per_class, "fp").select("fp", F.col("rep").alias("rep_id"))
+    if needed.count() <= MOST_BROADCAST:
+        reps = F.broadcast(reps)
+    # the texts of the classes that are left; null or repeated ids may bring other texts along, which the digest tells
+    chosen = docs.select("doc_id", text).join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("fp", "text")
+    sets = cut(chosen.mapInArrow(_sets(words), "fp binary, own binary, tokens binary, sig binary").where("own = fp").drop("own").dropDuplicates(["fp"]))
+
+    rounds = [] if every_link else [F.max(F.struct("rows", "token")), F.min(F.struct("rows", "token"))]
+    done, label = [], None
+    for chosen_tile in [*rounds, None]:
+        rows = tiles
+        if chosen_tile is not None:  # one tile for each class: its largest, then its smallest
+            rows = rows.join(rows.groupBy("fp").agg(chosen_tile.alias("top")).select("fp", F.col("top.token").alias("token")), ["fp", "token"], "left_semi")
+        if label is None:
+            rows = rows.withColumn("label", F.col("fp"))
+        else:
+            rows = rows.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        done.append(cut(_compared(rows.drop("rows"), sets, percent, every_link, exact=chosen_tile is not None)))
+        label = components(reduce(DataFrame.unionByName, done)).select(F.col("node").alias("fp"), "label") if chosen_tile is not None else None
+    return reduce(DataFrame.unionByName, done).groupBy("a", "b").agg(F.first("shared").alias("shared"))
+
+
+def _compared(rows: DataFrame, sets: DataFrame, percent: int, every_link: bool, exact: bool) -> DataFrame:
+    """Links within the tiles of rows (token, band, home, fp, n, label) that hold several labels.
+
+    With exact, sets travel with the rows and are intersected in the tile. Otherwise only bitmaps do, and the pairs
+    that they allow, each once however many tiles it is in, meet their sets afterwards."""
+    open_tiles = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    size = F.greatest(F.col("rows") / BLOCK, F.col("tokens") / BLOCK_TOKENS) if exact else F.col("rows") / BLOCK
+    rows = rows.join(open_tiles.where("low <> high").select("token", "band", F.ceil(size).cast("int").alias("blocks")), ["token", "band"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(sets.select("fp", "sig"), "fp").select("token", "band", "i", "j", "block", "home", "fp", "n", "label", "sig")
+    rows = rows.join(sets if exact else sets.drop("tokens"), "fp").select("token", "band", "i", "j", "block", "home", "fp", "n", "label", "sig", *["tokens"] * exact)
     keys = ["token", "band", "i", "j"]
-    more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(percent, every_link), "a binary, b binary")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return first.unionByName(cut(_verified(more, sets, percent)))
-
-
-class Tile:
-    """Helpers on tiles."""
-
-    @staticmethod
-    def alone(tiles: DataFrame) -> DataFrame:
-        """Tiles with at least two rows, one of them at home."""
-        return tiles.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("homes")).where("rows > 1 and homes").select("token", "band")
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(percent, every_link, exact), "a binary, b binary, shared long")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+    return pairs if exact else _verified(pairs.select("a", "b").distinct(), sets, percent)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, every_link: bool = False) -> DataFrame:
