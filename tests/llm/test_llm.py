@@ -122,7 +122,9 @@ def test_one_of_each(spark):
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, k) for k in range(201, 240)] + [(5, 5), (None, 3)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.label for r in components.components(edges).collect()}
+    assert got == {r.node: r.label for r in components.components(edges, most_local=0).collect()}
     want = {}
     for a, b in pairs:
         if a is None or a == b:
