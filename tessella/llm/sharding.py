@@ -132,21 +132,34 @@ class ShardStore:
         """Merge until no run is left; each round is one job and one commit."""
         while runs := self.runs((base := self.manifest())["shards"]):
             folder = f"{self.root}/data/merge-{uuid.uuid4().hex}"
-            names = [(s["path"].rpartition("/data/")[2], i) for i, run in enumerate(runs) for s in run]
+            names = [(self._name(s["path"]), i) for i, run in enumerate(runs) for s in run]
             places = self.spark.createDataFrame(names, "tsl_name string, tsl_run int")
             rows = self._rows(base["schema"], [s["path"] for run in runs for s in run])
             columns = rows.columns
-            marked = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1).alias("tsl_name"))
+            marked = rows.select("*", self._row_name())
             placed = marked.join(self._small(places, len(names)), "tsl_name").select(*[F.col(f"`{c}`") for c in columns], "tsl_run")
             # the run's number is its task: each task writes one file, without sorting
             placed.repartitionById(len(runs), "tsl_run").drop("tsl_run").write.option("compression", "zstd").parquet(folder)
             gone = {s["path"] for run in runs for s in run}
             kept = [s for s in base["shards"] if s["path"] not in gone]
             first = max(s["seq"] for s in base["shards"]) + 1
-            self.commit(base, kept + self._written(folder, first), base["schema"])
+            merged = self._written(folder, first)
+            # counts come from the footers
+            taken, put = (self._rows(base["schema"], paths).count() for paths in (sorted(gone), [s["path"] for s in merged]))
+            if taken != put:
+                raise RuntimeError(f"{folder} has {put} rows of {taken}; its inputs stay")
+            self.commit(base, kept + merged, base["schema"])
             self.vacuum()
         return self.manifest()
 
+    def _name(self, path: str) -> str:
+        """A shard's path below the store's data folder, escaped as in _metadata.file_path; no folder in it is named data."""
+        return self._path(path).toUri().getRawPath().rpartition("/data/")[2]
+
+    @staticmethod
+    def _row_name():
+        return F.regexp_extract(F.col("_metadata.file_path"), r"^.*/data/(.*)$", 1).alias("tsl_name")
+
     @staticmethod
     def _small(places: DataFrame, size: int) -> DataFrame:
         return F.broadcast(places) if size <= MOST_BROADCAST else places
@@ -166,9 +179,11 @@ class ShardStore:
         if not held["shards"]:
             return self.read(version).select("*", F.lit(0).cast("long").alias("tsl_shard"), F.lit(0).cast("long").alias("tsl_bytes"))
         order = sorted(held["shards"], key=lambda s: s["seq"])
-        places = self.spark.createDataFrame([(s["path"].rpartition("/data/")[2], i, s["bytes"]) for i, s in enumerate(order)], "tsl_name string, tsl_shard long, tsl_bytes long")
+        places = self.spark.createDataFrame([(self._name(s["path"]), i, s["bytes"]) for i, s in enumerate(order)], "tsl_name string, tsl_shard long, tsl_bytes long")
         rows = self._rows(held["schema"], [s["path"] for s in order])
-        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1).alias("tsl_name")).join(self._small(places, len(order)), "tsl_name").drop("tsl_name")
+        placed = rows.select("*", self._row_name()).join(self._small(places, len(order)), "tsl_name", "left")
+        number = F.when(F.col("tsl_shard").isNull(), F.raise_error(F.concat(F.lit("no shard is named "), "tsl_name"))).otherwise(F.col("tsl_shard"))
+        return placed.withColumn("tsl_shard", number).drop("tsl_name")
 
     def vacuum(self, keep: int = 1) -> int:
         """Remove manifests but the last `keep`, and shards that no kept one lists; the number of removed shards."""

@@ -379,6 +379,29 @@ def test_sharding(spark, tmp_path):
     assert empty.read().count() == 0 and empty.read_placed().count() == 0
 
 
+def test_sharding_names(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "data" / "a b%20" / "s"))
+    batches = ["a b", "a:b", "50%", "x+y", "é", "data", None]
+    d = documents(spark, [f"text {i}" for i in range(140)], source=lambda i: batches[i % 7])
+    store.append(d.coalesce(1), batch="source")
+    want = sorted(r.text for r in d.collect())
+    assert len(store.manifest()["shards"]) == 7 and sorted(r.text for r in store.read_placed().collect()) == want
+    store.compact()
+    assert len(store.manifest()["shards"]) == 1
+    assert sorted(r.text for r in store.read().collect()) == want == sorted(r.text for r in store.read_placed().collect())
+
+
+def test_sharding_keeps_inputs_of_a_short_merge(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    for k in range(4):
+        store.append(documents(spark, {10 * k + i: f"text {i}" for i in range(10)}).coalesce(1))
+    before = store.manifest()
+    monkeypatch.setattr(store, "_name", lambda path: "another")
+    with pytest.raises(RuntimeError):
+        store.compact()
+    assert store.manifest() == before and store.read().count() == 40
+
+
 # --- op10
 
 
