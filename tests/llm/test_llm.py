@@ -177,6 +177,21 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_with_a_replaced_middle(spark):
+    rng = random.Random(21)
+    texts, gaps = [], (20, 45, 80, 150, 200)
+    for gap in gaps:
+        one, two = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+        texts += [" ".join([prose(rng, 30, 10**6), one, prose(rng, gap, 10**6), two, prose(rng, 30, 10**6)]) for _ in range(2)]
+    rows = substring.repeated_passages(documents(spark, texts)).collect()
+    for i, gap in enumerate(gaps):
+        covered = {w for r in rows if (r.doc_id, r.match_id) == (2 * i + 1, 2 * i) for w in range(r.start_word, r.end_word)}
+        assert covered >= set(range(30, 90)) | set(range(90 + gap, 150 + gap)), gap
+        if gap > 41:
+            assert not covered & set(range(96, 84 + gap)), gap
+    assert all(r.identity >= 0.75 for r in rows)
+
+
 # --- op3
 
 
