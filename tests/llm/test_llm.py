@@ -192,6 +192,24 @@ def test_passages_with_a_replaced_middle(spark):
     assert all(r.identity >= 0.75 for r in rows)
 
 
+def test_passages_recall(spark):
+    rng = random.Random(23)
+    cases = [(25, 0, 1.0), (30, 0, 1.0), (60, 5, 0.97), (60, 10, 0.97), (60, 15, 0.9), (60, 20, 0.7), (100, 20, 0.8)]
+    texts = []
+    for size, percent, _ in cases:
+        for _ in range(60):
+            own = prose(rng, size, 10**6).split()
+            texts.append(" ".join([prose(rng, 50, 10**6), *own, prose(rng, 50, 10**6)]))
+            for i in rng.sample(range(size), size * percent // 100):
+                own[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join([prose(rng, 50, 10**6), *own, prose(rng, 50, 10**6)]))
+    found = {r.doc_id for r in substring.repeated_passages(documents(spark, texts)).collect() if r.match_id == r.doc_id - 1}
+    for i, (size, percent, least) in enumerate(cases):
+        share = sum(120 * i + 2 * k + 1 in found for k in range(60)) / 60
+        print("recall", size, percent, round(share, 3))
+        assert share >= least, (size, percent, share)
+
+
 # --- op3
 
 
