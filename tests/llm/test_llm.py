@@ -192,6 +192,20 @@ def test_passages_with_a_replaced_middle(spark):
     assert all(r.identity >= 0.75 for r in rows)
 
 
+def test_passages_of_lines_seen_before(spark):
+    rng = random.Random(22)
+    texts, whole = [], []
+    for size, lines in [(20, 3), (24, 3), (15, 4), (13, 2)] * 5:
+        own = [prose(rng, size, 10**6) for _ in range(lines)]
+        texts += [prose(rng, 40, 10**6) + " " + x + " " + prose(rng, 40, 10**6) for x in own]
+        whole.append((len(texts), size * lines))
+        texts += [prose(rng, 40, 10**6) + " " + " ".join(own) + " " + prose(rng, 40, 10**6) for _ in range(2)]
+    rows = {(r.doc_id, r.match_id): r for r in substring.repeated_passages(documents(spark, texts)).collect()}
+    for first, size in whole:
+        r = rows[first + 1, first]
+        assert (r.start_word, r.end_word, r.match_start, r.match_end) == (40, 40 + size, 40, 40 + size)
+
+
 def test_passages_recall(spark):
     rng = random.Random(23)
     cases = [(25, 0, 1.0), (30, 0, 1.0), (60, 5, 0.97), (60, 10, 0.97), (60, 15, 0.9), (60, 20, 0.7), (100, 20, 0.8)]
