@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all
+    tasks run in this process; on a cluster an unset folder is an error."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessella-"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
     if not known.isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
