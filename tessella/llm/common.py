@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,30 +9,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import cut, work_root  # noqa: F401  the operators take cut from here
+
 #: A-Z to a-z on bytes; other bytes stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessella-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there; lost executors don't lose it."""
-    work_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A table of keys up to so many rows (tens of MB) may be broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, already cut, marked for broadcast if it has at most so many rows; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def default_parallelism(spark: SparkSession) -> int:

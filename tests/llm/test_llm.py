@@ -424,13 +424,64 @@ def test_sharding(spark, tmp_path):
     assert store.manifest() == after
     empty = sharding.shard(documents(spark, []), str(tmp_path / "e"))
     assert empty.read().count() == 0 and empty.read_placed().count() == 0
+    with pytest.raises(ValueError):
+        store.append(documents(spark, ["x"]).withColumn("TSL_shard", F.lit(1)))
+    clash = sharding.shard(documents(spark, ["x"] * 40).withColumn("shard", F.lit(1)).withColumn("_metadata", F.lit(2)), str(tmp_path / "c"))
+    assert len(clash.manifest()["shards"]) == 1
+    assert {(r.shard, r["_metadata"]) for r in clash.read_placed().collect()} == {(1, 2)}
+
+
+def test_sharding_readers_and_writers(spark, tmp_path):
+    """A reader of an old version and a writer that has not committed yet keep their files through compactions."""
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    for k in range(4):
+        store.append(documents(spark, {10 * k + i: f"text {i}" for i in range(10)}).coalesce(1))
+    before = store.manifest()
+    old, flying = store.read(before["version"]), str(tmp_path / "s" / "data" / "append-flying")
+    documents(spark, {100: "late"}).coalesce(1).write.parquet(flying)
+    store.compact()
+    store.vacuum(least_age=3600)
+    store.vacuum(least_age=3600, orphans=3600)
+    assert old.count() == 40 and store.read().count() == 40 and len(store.manifest()["shards"]) == 1
+    new = store._written(flying)
+    store.publish(lambda base: store._after(base["shards"], new), before["schema"])
+    assert store.read().count() == 41
+    assert store.vacuum(least_age=0) == 4 and store.versions() == [store.manifest()["version"]] and store.read().count() == 41
+    # an append between another compaction's plan and its commit is kept
+    first = sharding.ShardStore._written
+    def late(self, folder):
+        if "merge-" in folder and not seen:
+            seen.append(1)
+            store.append(documents(spark, {200: "between"}).coalesce(1))
+        return first(self, folder)
+    seen, other = [], sharding.ShardStore(spark, store.root)
+    for k in range(3):
+        other.append(documents(spark, {300 + k: "x"}).coalesce(1))
+    other._written = late.__get__(other)
+    other.compact_once()
+    assert seen and sorted(r.doc_id for r in store.read().collect())[-4:] == [200, 300, 301, 302] and store.read().count() == 45
+
+
+def test_sharding_splits(spark, tmp_path):
+    rng = random.Random(15)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=20_000)
+    d = documents(spark, [prose(rng, 300, 10**6) for _ in range(150)])
+    store.append(d.coalesce(1))
+    assert len(store.manifest()["shards"]) == 1 and store.manifest()["shards"][0]["bytes"] > 100_000
+    store.compact()
+    assert all(s["bytes"] < 2 * store.target_bytes for s in store.manifest()["shards"])
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, d.collect()))
+    single = sharding.ShardStore(spark, str(tmp_path / "one"), target_bytes=1_000)
+    single.append(documents(spark, [prose(rng, 3000, 10**6)]).coalesce(1))
+    single.compact()
+    assert single.read().count() == 1
 
 
 def test_sharding_names(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "data" / "a b%20" / "s"))
     batches = ["a b", "a:b", "50%", "x+y", "é", "data", None]
     d = documents(spark, [f"text {i}" for i in range(140)], source=lambda i: batches[i % 7])
-    store.append(d.coalesce(1), batch="source")
+    store.append_each(d.coalesce(1), "source")
     want = sorted(r.text for r in d.collect())
     assert len(store.manifest()["shards"]) == 7 and sorted(r.text for r in store.read_placed().collect()) == want
     store.compact()
