@@ -313,6 +313,31 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(d.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_repeated_ids(spark, tmp_path):
+    """The registered query and the resolved payloads against brute force, with ids that repeat with other payloads."""
+    rng = random.Random(16)
+    bodies = [c * n for c, n in (("a", 300), ("b", 200), ("é", 60), ("d", 99), ("e", 100), ("", 0))]
+    pages = [(rng.choice([None, *range(12)]), f"u{i}", rng.choice([*bodies, None])) for i in range(150)]
+    pages.append((1, "long", "x" * 3_000_000))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    payload = lambda h: (h or "").encode()
+    least = {}
+    for i, _, h in pages:
+        if i is not None and len(payload(h)) >= 100:
+            least[payload(h)] = min(i, least.get(payload(h), i))
+    want = Counter()
+    for i, _, h in pages:
+        first = least.get(payload(h)) if i is not None else None
+        again = first is not None and first != i
+        want[i, len(payload(h)), hashlib.sha256(payload(h)).hexdigest(), "revisit" if again else "response", first if again else None] += 1
+    assert Counter(map(tuple, warc.op5_query(spark, str(tmp_path)).collect())) == want
+    records = warc.read_archives(spark, warc.write_archives(table, str(tmp_path / "w"), archive_bytes=100_000))
+    assert Counter((r.page_id, bytes(r.payload)) for r in warc.resolved_payloads(records).collect()) == Counter((i, payload(h)) for i, _, h in pages)
+    lost = records.where("record_type = 'revisit'")
+    assert {r.payload for r in warc.resolved_payloads(lost).collect()} == {None}
+
+
 # --- op6
 
 
