@@ -14,7 +14,8 @@ a leak; other punctuation changes single words, which the masks tolerate.
 
 Defined cases: null or empty texts and items match nothing; items with fewer words than the shortest mask are matched
 by their whole word sequence; repeated rows and repeated items count each; empty tables give empty results; documents
-with a null id keep it; extra columns are ignored.
+with a null id keep it, and `remove_leaks` decides on each row by its text, so null and repeated ids make no difference
+there; very long texts are scanned whole; extra columns are ignored, or kept by `remove_leaks`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,19 +123,37 @@ def scan(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]
     return list(best.values())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_identity: float = 0.75, least_coverage: float = 0.5, block_words: int = 2_000_000, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """A row per document and item whose verified overlap has at least least_words equal words (or all words of a
-    shorter item), that share of equal words, and that share of the item's words."""
-    spark = docs.sparkSession
+@dataclass(frozen=True)
+class Limits:
+    """A verified overlap is a leak if it has at least `words` equal words (or all words of a shorter item), that share
+    of equal words, and that share of the item's words."""
+
+    words: int = 10
+    identity: float = 0.75
+    coverage: float = 0.5
+
+    def leaks(self, words: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
+        found = scan(words, items) if len(words) else []
+        return [x for x in found if x[3] >= min(self.words, x[4]) and x[3] >= self.identity * (x[2] - x[1]) and x[3] >= self.coverage * x[4]]
+
+
+def indexed(benchmark: DataFrame, block_words: int = 2_000_000, masks: tuple[str, ...] = MASKS) -> Iterator[Broadcast]:
+    """The benchmark in blocks of at most about block_words words, each indexed and broadcast."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # an item of n characters has at most (n + 1) / 2 words
     total = items.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0
     blocks = int(total // block_words) + 1
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(index_items([tuple(r) for r in mine.collect()], masks))  # at most about block_words
+        yield spark.sparkContext.broadcast(index_items([tuple(r) for r in mine.collect()], masks))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), block_words: int = 2_000_000, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """A row per document and item whose verified overlap is a leak: LEAKS."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for index in indexed(benchmark, block_words, masks):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             hashes, held = WordHasher(BLANKS), index.value
@@ -141,10 +161,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, lea
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                    found = word_hashes(hashes, text if isinstance(text, str) else None)
-                    for i, start, end, equal, size in scan(found, held) if len(found) else ():
-                        if equal >= min(least_words, size) and equal >= least_identity * (end - start) and equal >= least_coverage * size:
-                            rows.append((None if pd.isna(doc_id) else int(doc_id), held.ids[i], start, end, equal, size, equal / (end - start), equal / size))
+                    for i, start, end, equal, size in limits.leaks(word_hashes(hashes, text if isinstance(text, str) else None), held):
+                        rows.append((None if pd.isna(doc_id) else int(doc_id), held.ids[i], start, end, equal, size, equal / (end - start), equal / size))
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         found = source.mapInPandas(run, LEAKS)
@@ -152,10 +170,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, lea
     return out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a benchmark item; documents without an id stay."""
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).where("leaked_id is not null").distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
+def _leaking(index: Broadcast, limits: Limits):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes, held = WordHasher(BLANKS), index.value
+        for texts in batches:
+            yield texts.map(lambda t: bool(limits.leaks(word_hashes(hashes, t if isinstance(t, str) else None), held))).astype(bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), block_words: int = 2_000_000, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """The rows of docs whose texts hold no benchmark item. Each row is decided where it is read: nothing is shuffled."""
+    for index in indexed(benchmark, block_words, masks):
+        docs = docs.where(~_leaking(index, limits)(F.col("text")))
+    return docs
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,55 @@ def test_leaks(spark):
     assert split == set(got)  # in blocks, the same
     assert sorted(r.doc_id for r in decontam.remove_leaks(documents(spark, texts), bench).collect()) == [2, 5, 6, 7]
     assert decontam.find_leaks(documents(spark, texts), bench.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in decontam.remove_leaks(documents(spark, texts), bench, block_words=20).collect()) == [2, 5, 6, 7]
+    assert decontam.remove_leaks(documents(spark, texts), bench.limit(0)).count() == 8
+
+
+def brute_leaks(docs, items):
+    """Pairs (doc, item) with a leak: every diagonal of every pair that some mask matches, every range of it."""
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    found = Counter()
+    for doc_id, text in docs:
+        d = split(text)
+        for item_id, item in items:
+            w = split(item)
+            best = None
+            for shift in range(1 - len(w), len(d)) if w else ():
+                a, b = max(0, shift), min(len(d), shift + len(w))
+                same = [d[k] == w[k - shift] for k in range(a, b)]
+                masks = decontam.MASKS if len(w) >= min(map(len, decontam.MASKS)) else ["1" * len(w)]
+                seeded = any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in masks for k in range(len(same) - len(m) + 1))
+                if not seeded:
+                    continue
+                score = lambda x, y: sum(1 if s else -2 for s in same[x:y])
+                top = max((score(x, y), -y, x) for x in range(len(same)) for y in range(x + 1, len(same) + 1))
+                x, y = top[2], -top[1]
+                equal = sum(same[x:y])
+                if best is None or equal > best[0]:
+                    best = (equal, y - x)
+            if best and best[0] >= min(10, len(w)) and best[0] >= 0.75 * best[1] and best[0] >= 0.5 * len(w):
+                found[doc_id, item_id, best[0]] += 1
+    return found
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(19)
+    items = [(k, prose(rng, n, 60)) for k, n in enumerate((1, 3, 6, 9, 14, 20, 30))] + [(5, prose(rng, 12, 60)), (None, prose(rng, 15, 60)), (9, ""), (10, None)]
+    docs = [(None, items[4][1]), (1, ""), (2, None), (3, "word " * 5 + items[5][1])] * 2
+    for k in range(60):
+        own = rng.choice(items)[1] or ""
+        docs.append((10 + k, " ".join([prose(rng, rng.randrange(20), 60), edited(rng, own, rng.randrange(5)) if own else "", prose(rng, rng.randrange(20), 60)])))
+    docs.append((500, prose(rng, 50_000, 10**6) + " " + items[6][1]))
+    d = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    want = brute_leaks([x for x in docs if x[0] != 500], items) + Counter({(500, 6, 30): 1})
+    got = Counter((r.doc_id, r.item_id, r.matched_words) for r in decontam.find_leaks(d, bench).collect() if r.doc_id != 500 or r.item_id == 6)
+    assert got == want and len(want) > 30
+    kept = decontam.remove_leaks(d, bench)
+    leaking = {t for i, t in docs if any(w[0] == i for w in want)}
+    assert kept.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect() if r.doc_id != 500) == Counter((i, t) for i, t in docs if i != 500 and t not in leaking)
+    assert 500 not in {r.doc_id for r in kept.collect()}
 
 
 def test_spaced_seeds_survive_a_substitution():
