@@ -4,13 +4,17 @@ Each document draws an exponential key, -ln(u) / quality, with u from a hash of
 of twice the quality is twice as likely to come next. Within a source, documents in order of their keys are taken
 until the budget is met. A budget first pays complete epochs of the source; only its rest is a selection.
 
-No source is ever sorted as a whole. Keys fall into buckets by their own distribution function; sums by source and
-bucket give each source the one bucket in which its budget ends. Documents before that bucket are in, those behind it
-are out, and only the rows of that bucket (about `bucket_rows`) are sorted and prefix-summed.
+No source is ever sorted as a whole. Keys, sizes and sources, without texts, are written once. Sums by source and range of
+keys give each source the one range in which its budget ends; that range is divided again by its own least and largest
+key until it holds at most `bucket_rows` rows or one key only. Its rows, grouped by key, id and size, are
+prefix-summed to the last group that is taken. A document is then in or out by comparing it with that one group, so
+texts meet only a row per source, which is broadcast behind a check of its size.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; null ids share one draw; rows that
-repeat an id are separate rows, ordered among each other by size; sources without words get target 0; an empty table
-gives an empty result; other columns pass through `mixed` and are ignored by `plan`.
+repeat an id are separate rows, ordered among each other by size; rows that agree in id, source and size are
+interchangeable, and if a budget ends among them, they are numbered as they come; sources without words get target 0;
+very long texts count whole; an empty table gives an empty result; other columns pass through `mixed` and are ignored by
+`plan`.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that lower a text's quality by their share.
@@ -43,11 +47,14 @@ def exponential_key(doc_id: str, quality: Column, seed: int = 17) -> Column:
     return -F.log(u) / quality
 
 
-def _keyed(docs: DataFrame, buckets: int, seed: int, quality: Column | None, keep: bool) -> DataFrame:
+#: Ranges that a range of keys is divided into.
+RANGES = 1000
+
+
+def _keyed(docs: DataFrame, seed: int, quality: Column | None) -> DataFrame:
+    """docs with __size and __key."""
     key = exponential_key("doc_id", text_quality("text") if quality is None else quality, seed)
-    columns = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col("doc_id"), F.col("source")]
-    rows = docs.select(*columns, word_count("text").alias("__size"), key.alias("__key"))
-    return rows.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * buckets).cast("long"))
+    return docs.withColumns({"__size": word_count("text"), "__key": key})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -74,58 +81,80 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return rows.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * left / shared)).select("source", "source_size", F.col("target").cast("double").alias("target"))
 
 
-def _budgets(keyed: DataFrame, **options) -> DataFrame:
-    """One row per source: its target, complete epochs, the rest, and the bucket in which the rest ends."""
-    sums = keyed.groupBy("source", "__bucket").agg(F.sum("__size").alias("words"))
-    by_source = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **options)
+def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """rows with the columns of their source's row; its columns start with __ and none is in rows."""
+    return rows.join(small(by_source), rows["source"].eqNullSafe(by_source["__source"])).drop("__source")
+
+
+def _edges(keyed: DataFrame, budgets: DataFrame, bucket_rows: int) -> DataFrame:
+    """Per source whose rest ends within it: the range of keys (__low, __high) where it ends, __before (words before that
+    range) and __rest."""
+    size, key = F.col("__size"), F.col("__key")
+    edges = budgets.where("rest > 0").select(F.col("source").alias("__source"), F.lit(None).cast("double").alias("__low"), F.lit(None).cast("double").alias("__high"), F.lit(0).cast("long").alias("__before"), F.col("rest").alias("__rest"))
+    while True:
+        inside = _with(keyed, cut(edges)).where("__low is null or __key between __low and __high")
+        # first by the keys' own distribution, as if all qualities were 1; then evenly between least and largest key
+        even = (key - F.col("__low")) / F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low"))
+        part = F.floor(F.coalesce(F.when(F.col("__low").isNull(), 1 - F.exp(-key)).otherwise(even), F.lit(0.0)) * RANGES)
+        sums = inside.groupBy("source", "__rest", part.alias("part")).agg(F.first("__before").alias("start"), F.sum(size).alias("words"), F.count("*").alias("rows"), F.min(key).alias("__low"), F.max(key).alias("__high"))
+        before = F.col("start") + F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")
+        placed = sums.withColumn("__before", before).where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("words") > F.col("__rest")))
+        last = placed.groupBy("source", "__rest").agg(F.min(F.struct("part", "__low", "__high", "__before", "rows")).alias("e"))
+        edges = cut(last.select(F.col("source").alias("__source"), "e.__low", "e.__high", "e.__before", "__rest", F.col("e.rows").alias("__rows")))
+        if not edges.where((F.col("__rows") > bucket_rows) & (F.col("__low") < F.col("__high"))).limit(1).count():
+            return edges.drop("__rows")
+        edges = edges.drop("__rows")
+
+
+def _budgets(keyed: DataFrame, bucket_rows: int, **options) -> DataFrame:
+    """One row per source: its size, target and complete epochs, and the last group of equal rows (key, id, size) of its
+    selection with the numbers of rows that are there and that are taken; nulls where no rest is selected."""
+    by_source = targets(keyed.groupBy("source").agg(F.sum("__size").alias("source_size")), **options)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    by_source = by_source.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("__bucket")) - F.col("words")
-    placed = sums.withColumn("before", before)
-    other = by_source.withColumnRenamed("source", "__source")
-    edge = (
-        placed.join(other, placed["source"].eqNullSafe(other["__source"]))
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-        .groupBy("source", "source_size", "target", "epochs", "rest")
-        .agg(F.min(F.struct("__bucket", "before")).alias("edge"))
-    )
-    missing = by_source.join(edge.select(F.col("source").alias("__source")), F.col("source").eqNullSafe(F.col("__source")), "left_anti")
-    whole = missing.select("source", "source_size", "target", "epochs", "rest", F.lit(None).cast("long").alias("__edge"), F.lit(None).cast("long").alias("__before"))
-    return edge.select("source", "source_size", "target", "epochs", "rest", F.col("edge.__bucket").alias("__edge"), F.col("edge.before").alias("__before")).unionByName(whole)
+    by_source = cut(by_source.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    edges = _edges(keyed, by_source, bucket_rows)
+    groups = _with(keyed, edges).where("__key between __low and __high").groupBy("source", "__key", "doc_id", "__size", "__before", "__rest").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size")
+    words = F.col("n") * F.col("__size")
+    # a row is taken if at least half of it is within the rest; of n equal rows a first part is
+    room = 2 * (F.col("__rest") - F.col("__before") - (F.sum(words).over(order) - words)) - F.col("__size")
+    taken = F.when(room < 0, 0).when(F.col("__size") == 0, F.col("n")).otherwise(F.least("n", F.floor(room / (2 * F.col("__size"))).cast("long") + 1))
+    fit = groups.withColumn("taken", taken).where("taken > 0").groupBy("source").agg(F.max(F.struct("__key", "doc_id", "__size", "n", "taken")).alias("last"))
+    # nothing of the range is taken: what lies before it is
+    ends = edges.select(F.col("__source"), F.col("__low")).join(fit, F.col("__source").eqNullSafe(F.col("source")), "left").select("__source", "__low", "last")
+    joined = by_source.join(ends, by_source["source"].eqNullSafe(ends["__source"]), "left")
+    return cut(joined.select(F.col("source").alias("__source"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), "__low", F.col("last").alias("__last")))
 
 
 def _copies(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """keyed with __copies: how often the mix takes each row."""
-    rows = budgets.select([F.col(c).alias(f"__b_{c.strip('_')}") for c in budgets.columns])
-    joined = keyed.join(rows, keyed["source"].eqNullSafe(rows["__b_source"]))
-    edge = F.col("__bucket") == F.col("__b_edge")
-    # a source whose rest ends in no bucket has the rest 0
-    inside = F.coalesce((F.col("__bucket") < F.col("__b_edge")).cast("long"), F.lit(0))
-    sure = joined.where(~F.coalesce(edge, F.lit(False))).withColumn("__copies", F.col("__b_epochs") + inside)
-    order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = F.col("__b_before") + F.sum("__size").over(order) - F.col("__size")
-    close = joined.where(edge).withColumn("__copies", F.col("__b_epochs") + (2 * passed + F.col("__size") <= 2 * F.col("__b_rest")).cast("long"))
-    return sure.unionByName(close)
-
-
-def bucket_count(rows: int, bucket_rows: int) -> int:
-    return max(16, -(-rows // bucket_rows))
+    """keyed with the columns of budgets and __copies: how often the mix takes each row."""
+    rows = _with(keyed, budgets)
+    last, key = F.col("__last"), F.col("__key")
+    mine, end = F.struct("doc_id", "__size"), F.struct(last["doc_id"], last["__size"])
+    equal = F.coalesce((key == last["__key"]) & F.col("doc_id").eqNullSafe(last["doc_id"]) & (F.col("__size") == last["__size"]), F.lit(False))
+    inside = F.when(last.isNull(), key < F.col("__low")).otherwise((key < last["__key"]) | ((key == last["__key"]) & (mine < end)) | equal)
+    copies = F.col("__epochs") + F.coalesce(inside, F.lit(False)).cast("long")
+    if not budgets.where("__last.taken < __last.n").limit(1).count():
+        return rows.withColumn("__copies", copies)
+    part = equal & (last["taken"] < last["n"])
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    some = rows.where(part).withColumn("__copies", F.col("__epochs") + (number <= F.col("__last")["taken"]).cast("long"))
+    return rows.where(~part).withColumn("__copies", copies).unionByName(some)
 
 
 def plan(docs: DataFrame, seed: int = 17, bucket_rows: int = 20_000, quality: Column | None = None, **options) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    rows = docs.select("doc_id", "source", "text") if quality is None else docs
-    keyed = cut(_keyed(rows, bucket_count(docs.count(), bucket_rows), seed, quality, keep=False))
-    return _copies(keyed, cut(_budgets(keyed, **options))).select(
-        "doc_id", "source", F.col("__size").alias("size"), F.col("__b_source_size").cast("long").alias("source_size"), F.col("__b_target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken")
+    keyed = cut(_keyed(docs, seed, quality).select("doc_id", "source", "__size", "__key"))
+    return _copies(keyed, _budgets(keyed, bucket_rows, **options)).select(
+        "doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken")
     )
 
 
 def mixed(docs: DataFrame, seed: int = 17, bucket_rows: int = 20_000, quality: Column | None = None, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken. Texts meet only the small table of budgets."""
-    keyed = _keyed(docs, bucket_count(docs.count(), bucket_rows), seed, quality, keep=True)
-    budgets = cut(_budgets(keyed.select("source", "__bucket", "__size"), **options))
-    taken = _copies(keyed, budgets).where("__copies > 0")
+    """The mix itself: the rows of docs, each as often as it is taken."""
+    rows = _keyed(docs, seed, quality)
+    budgets = _budgets(cut(rows.select("doc_id", "source", "__size", "__key")), bucket_rows, **options)
+    taken = _copies(rows, budgets).where("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select([F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -473,7 +473,39 @@ def test_mixing(spark):
     for r in got:
         per[r.doc_id] += r.taken // r.size if r.size else 0
     assert all(copies[i] >= n for i, n in per.items())
-    assert mixing.plan(d.limit(0)).count() == 0
+    assert mixing.plan(d.limit(0)).count() == 0 and mixing.mixed(d.limit(0)).count() == 0
+
+
+def test_mixing_low_quality_and_ties(spark, monkeypatch):
+    """Ranges that are divided again and again, one id that holds a third of all rows, and null ids."""
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    rng = random.Random(17)
+    rows = [(i, rng.choice([prose(rng, 20), "7 " * rng.randrange(1, 30)]), "en", rng.choice("ab"), 0) for i in range(600)]
+    rows += [(77, "same words here", "en", "a", 0)] * 300 + [(None, "x " * rng.randrange(1, 5), "en", "b", 0) for _ in range(50)]
+    d = spark.createDataFrame(rows, DOCS)
+    for shift in (0, 1, 2):  # budgets end in different places
+        got = mixing.plan(d, bucket_rows=4, share=1.5 - 0.31 * shift).collect()
+        exact = mixing.plan(d, bucket_rows=10**6, share=1.5 - 0.31 * shift).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, exact)) and len(got) == len(rows)
+        for source in "ab":
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 30 and all(r.taken <= 2 * r.size for r in own)
+        mix = Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed(d, bucket_rows=4, share=1.5 - 0.31 * shift).collect())
+        want = Counter()
+        for r in got:
+            want[r.doc_id, r.size] += r.taken // r.size
+        assert mix == +want
+
+
+def test_mixing_shuffles_no_text(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    d = documents(spark, [prose(random.Random(1), 20)] * 100).repartition(3)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        mixing.mixed(d).explain()
+    assert out.getvalue().count("Exchange") == out.getvalue().count("BroadcastExchange") + 1  # the test's own repartition
 
 
 # --- op9
