@@ -1,17 +1,22 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base spans: e-mail addresses, IPv4 addresses, card numbers and telephone numbers by pattern, leftmost and not
-overlapping per kind, with their checks. Positions come from the lengths of matches and of the pieces between them.
+overlapping per kind, with their checks. Positions are running sums of the lengths of matches and of the pieces between
+them, folded in blocks of about the square root of their number, so a text with 10^5 matches takes seconds.
 
-Each matched value is a protected entity. Terms (runs of letters) in a window around an entity may reveal it too. Over
-the whole corpus, with document frequencies df and N documents, a term t reveals PMI(t; e) = log2(N df(t, e) / (df(t)
-df(e))) bits of the IC(e) = log2(N / df(e)) bits that identify the entity e. A term that occurs with e in at least
-`least_support` documents and reveals at least `disclosure` of those bits is a span of kind `term` there; `sanitise`
-generalises base spans to their kind and removes or generalises terms.
+Each matched value is a protected entity. Terms (runs of letters) that lie within `window` code points of an entity, and
+not beyond the next match of the entity's pattern, may reveal it too. Over the whole corpus, with document frequencies df
+(of a pair: documents with the term near the entity) and N documents, a term t reveals PMI(t; e) = log2(N df(t, e) /
+(df(t) df(e))) bits of the IC(e) = log2(N / df(e)) bits that identify the entity e. Few observations prove little, so the
+share PMI / IC is shrunk by df(t, e) / (df(t, e) + `shrink`). Terms whose shrunk share reaches `disclosure` are spans of
+kind `term` there; entities of a single document count as any other.
+
+The sanitised text has base matches generalised to their kind in brackets, in the order e-mail, ip, card, phone, each on
+what the ones before left, and every occurrence of a document's disclosing terms replaced by `[term]`.
 
 Defined cases: null texts are empty; a null id keeps its row; rows that repeat an id keep their own spans (they are
 told apart by their text); empty tables give empty results; an entity of every document has no bits to reveal and
-discloses nothing; extra columns are ignored.
+discloses nothing; the four kinds' names are never terms; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The contract's patterns. Possessive repeats and look-behinds change no match but keep the search linear in the text
@@ -34,7 +39,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"[\p{L}\p{M}]+"
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,found:string>>"
+SPAN = "struct<start:int,rank:int,end:int,kind:string,found:string>"
+WIDE = "struct<start:int,rank:int,end:int,kind:string,found:string,before:string,after:string>"
+MATCH = "struct<start:int,end:int,found:string,before:string,after:string>"
+TERM_MATCH = "struct<start:int,end:int,found:string>"
 
 
 def _digits(value: Column) -> Column:
@@ -63,29 +71,77 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of all matches, in code points, end exclusive."""
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, kind: str, step) -> Column:
+    """array<kind> of what step(at, item) gives, (next at, output), for items from the left; at is an int from 0.
+
+    Appending to an array copies it. So outputs are gathered in blocks of about the square root of their number, and
+    blocks in an array of blocks."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def scan(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+
+        def block(state: Column, k: Column) -> Column:
+            def one(inner: Column, item: Column) -> Column:
+                at, out = step(inner["at"], item)
+                return F.struct(at.alias("at"), F.array_append(inner["out"], out).alias("out"))
+
+            start = F.struct(state["at"].alias("at"), none.alias("out"))
+            return F.aggregate(F.slice(all_, k * width + 1, width), start, one, lambda s: F.struct(s["at"].alias("at"), F.array_append(state["blocks"], s["out"]).alias("blocks")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
+        return F.when(F.size(all_) == 0, none).otherwise(F.flatten(F.aggregate(blocks, start, block, lambda s: s["blocks"])))
+
+    return let(items, scan)
+
+
+def _tail(piece: Column, window: int) -> Column:
+    """The piece's last `window` code points, without a run of letters that their edge cuts."""
+    cut_off = F.regexp_replace(F.right(piece, F.lit(window + 1)), r"\A(?:[\p{L}\p{M}]+|(?s:.))", "")
+    return F.when(F.length(piece) > window, cut_off).otherwise(piece)
+
+
+def _head(piece: Column, window: int) -> Column:
+    """The piece's first `window` code points, likewise."""
+    cut_off = F.regexp_replace(F.left(piece, F.lit(window + 1)), r"(?:[\p{L}\p{M}]+|(?s:.))\z", "")
+    return F.when(F.length(piece) > window, cut_off).otherwise(piece)
+
+
+def located(text: Column, pattern: str, window: int | None = None) -> Column:
+    """All matches, TERM_MATCH: start and end in code points, end exclusive. With a window MATCH: also up to so many code
+    points before and after, within the pieces on either side."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
-        end = start + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))).alias("out"))
+    def zipped(b: Column) -> Column:
+        return F.arrays_zip(F.slice(b, 1, F.size(b) - 1).alias("piece"), found.alias("found"), F.slice(b, 2, F.size(b)).alias("next"))
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.length(m["piece"])
+        end = start + F.length(m["found"])
+        out = [start.alias("start"), end.alias("end"), m["found"].alias("found")]
+        if window is not None:
+            out += [_tail(m["piece"], window).alias("before"), _head(m["next"], window).alias("after")]
+        return end, F.struct(*out)
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("between"), found.alias("found"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    return running(let(between, zipped), TERM_MATCH if window is None else MATCH, step)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Valid base spans of a kind as SPAN."""
-    rank = KINDS.index(kind)
+def base_spans(text: Column, kind: str, window: int | None = None) -> Column:
+    """Valid base spans of a kind: array<SPAN>, with a window array<WIDE>."""
+    rank, out = KINDS.index(kind), f"array<{SPAN if window is None else WIDE}>"
     may = text.rlike("[0-9]") if kind != "email" else F.lit(True)
     if NEEDS[kind]:
         may = text.contains(NEEDS[kind]) & may
-    kept = F.filter(located(text, PATTERNS[kind]), lambda m: _valid(kind, m["found"]))
-    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["found"].alias("found")))
-    return F.when(may, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    kept = F.filter(located(text, PATTERNS[kind], window), lambda m: _valid(kind, m["found"]))
+    sides = ("before", "after") if window is not None else ()
+    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["found"].alias("found"), *[m[c].alias(c) for c in sides]))
+    return F.when(may, spans.cast(out)).otherwise(F.array().cast(out))
 
 
 def _entity(span: Column) -> Column:
@@ -93,75 +149,78 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["rank"] >= 2, _digits(span["found"])).otherwise(F.lower(span["found"])))
 
 
-def _near(text: Column, span: Column, window: int) -> Column:
-    """Terms within `window` code points around a span: array<struct<entity, term, start, end>>. A term that the
-    window's edge cuts is left out."""
-    from_ = F.greatest(span["start"] - window, F.lit(0))
-    before, after = F.substring(text, from_ + 1, span["start"] - from_), F.substring(text, span["end"] + 1, F.lit(window))
-    whole_before = F.filter(located(before, TERM), lambda m: (m["start"] > 0) | (from_ == 0))
-    whole_after = F.filter(located(after, TERM), lambda m: m["end"] < window)
+def _near(span: Column) -> Column:
+    """The terms around a span: array<struct<entity, term, start, end>>."""
     make = lambda shift: lambda m: F.struct(_entity(span).alias("entity"), F.lower(m["found"]).alias("term"), (m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"))
-    return F.concat(F.transform(whole_before, make(from_)), F.transform(whole_after, make(span["end"])))
+    before, after = located(span["before"], TERM), located(span["after"], TERM)
+    return F.filter(F.concat(F.transform(before, make(span["start"] - F.length(span["before"]))), F.transform(after, make(span["end"]))), lambda t: ~t["term"].isin(*KINDS[:4]))
 
 
-def spans_found(docs: DataFrame, window: int = 60) -> DataFrame:
-    """Per row: doc_id, text_key (a hash that tells repeated ids apart), base (SPAN by start and kind), near."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
+def _based(docs: DataFrame, window: int | None = None) -> DataFrame:
+    """doc_id, text, text_key (a hash that tells repeated ids apart) and base (SPAN or WIDE, by start and kind)."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     for kind in KINDS[:4]:
-        rows = rows.withColumn(kind, base_spans(F.col("text"), kind))
-    rows = rows.withColumn("base", F.when(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0, F.array_sort(F.concat("email", "ip", "card", "phone"))).otherwise(F.array().cast(SPAN)))
-    near = F.when(F.size("base") > 0, F.flatten(F.transform("base", lambda s: _near(F.col("text"), s, window))))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "base", near.alias("near"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = 0.5, least_support: int = 2, most_broadcast: int = 100_000) -> DataFrame:
-    """(entity, term, bits, share): terms that reveal at least `disclosure` of an entity's information."""
-    near = found.where("near is not null").select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.entity", "n.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_support)
-    entities = found.where(F.size("base") > 0).select("doc_id", "text_key", F.explode(F.transform("base", _entity)).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = cut(pairs.join(entities, "entity"))
-    wanted = pairs.select("term").distinct()
-    if pairs.count() <= most_broadcast:  # otherwise a join that shuffles
-        wanted = F.broadcast(wanted)
-    # a text's terms, each once; then only the wanted ones are counted
+        rows = rows.withColumn(kind, base_spans(F.col("text"), kind, window))
+    some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
+    base = F.when(some, F.array_sort(F.concat(*KINDS[:4]))).otherwise(F.array().cast(rows.schema["email"].dataType))
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), base.alias("base"))
+
+
+def spans_found(docs: DataFrame, window: int = 60) -> DataFrame:
+    """A row per row with base spans: doc_id, text_key, entities, near (terms around entities with their places)."""
+    rows = _based(docs, window).where(F.size("base") > 0)
+    return rows.select("doc_id", "text_key", F.array_distinct(F.transform("base", _entity)).alias("entities"), F.flatten(F.transform("base", _near)).alias("near"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = 0.5, shrink: float = 0.5) -> DataFrame:
+    """(entity, term, bits, share): terms whose shrunk share of an entity's information reaches `disclosure`."""
+    near = found.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.entity", "n.term").distinct()
+    pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("both")))
+    entities = found.select("doc_id", "text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    # a text's terms, each once; counted before they meet the wanted ones
     terms = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    df_term = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    n = found.count()
-    bits = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
-    whole = F.log2(F.lit(float(n)) / F.col("df_entity"))
-    return pairs.join(df_term, "term").select("entity", "term", bits.alias("bits"), (bits / whole).alias("share")).where((whole > 0) & (F.col("share") >= disclosure))
+    df_term = terms.groupBy("term").agg(F.count("*").alias("df_term"))
+    n = float(docs.count())
+    bits = F.log2(F.lit(n) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
+    whole = F.log2(F.lit(n) / F.col("df_entity"))
+    share = bits / whole * F.col("both") / (F.col("both") + F.lit(float(shrink)))
+    return pairs.join(df_term, "term").join(entities, "entity").select("entity", "term", bits.alias("bits"), F.when(whole > 0, share).alias("share")).where(F.col("share") >= disclosure)
 
 
-def find_personal_data(docs: DataFrame, window: int = 60, disclosure: float = 0.5, least_support: int = 2) -> DataFrame:
-    """Per row: doc_id, text_key, base and all (SPAN, by start and kind)."""
+def term_spans(docs: DataFrame, window: int = 60, disclosure: float = 0.5, shrink: float = 0.5) -> DataFrame:
+    """A row per row with disclosing terms: doc_id, text_key, extra (SPAN)."""
     found = cut(spans_found(docs, window))
-    revealing = disclosing_terms(docs, found, disclosure, least_support).select("entity", "term")
-    near = found.where("near is not null").select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*").distinct()
+    revealing = disclosing_terms(docs, found, disclosure, shrink).select("entity", "term")
+    near = found.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*")
     span = F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.col("term").alias("found"))
-    extra = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("extra")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "extra")
-    rows = found.join(extra, found["doc_id"].eqNullSafe(extra["__id"]) & (found["text_key"] == extra["__key"]), "left")
-    every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("extra").cast(SPAN))))
-    return rows.select("doc_id", "text_key", "base", every.alias("all"))
+    return near.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("extra"))
 
 
-def sanitise(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id and the text with base spans replaced by their kind in brackets and terms by `[term]`; of overlapping
-    spans the first counts. marks: what find_personal_data gave for docs."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    spans = marks.where(F.size("all") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "all")
+def sanitised(text: Column, terms: Column) -> Column:
+    """The text with valid base matches replaced by their kind and all occurrences of terms (lower case) by `[term]`."""
+
+    def replaced(value: Column, pattern: str, label: str, chosen) -> Column:
+        found, between = F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), F.split(value, pattern, -1)
+        shown = F.transform(found, lambda m: F.when(chosen(m), F.lit(f"[{label}]")).otherwise(m))
+        return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), shown.alias("b")), lambda p: F.array(p["a"], F.coalesce(p["b"], F.lit(""))))), "")
+
+    def without(kind: str):
+        return lambda t: F.when(t.contains(NEEDS[kind] or ""), replaced(t, PATTERNS[kind], kind, lambda m: _valid(kind, m))).otherwise(t)
+
+    for kind in KINDS[:4]:
+        text = let(text, without(kind))
+    return let(text, lambda t: F.when(F.size(terms) > 0, replaced(t, TERM, "term", lambda m: F.array_contains(terms, F.lower(m)))).otherwise(t))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        return F.struct(
-            F.when(fresh, s["end"]).otherwise(state["at"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"),
-        )
 
-    clean = F.aggregate("all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__id"]) & (rows["text_key"] == spans["__key"]), "left")
-    return joined.select("doc_id", F.coalesce(clean, F.col("text")).alias("text"))
+def find_personal_data(docs: DataFrame, window: int = 60, disclosure: float = 0.5, shrink: float = 0.5) -> DataFrame:
+    """Per row: doc_id, base and all (SPAN, by start and kind), sanitised (the text without them)."""
+    extra = small(cut(term_spans(docs, window, disclosure, shrink))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "extra")
+    rows = _based(docs)
+    rows = rows.join(extra, rows["doc_id"].eqNullSafe(extra["__id"]) & (rows["text_key"] == extra["__key"]), "left")
+    every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("extra").cast(f"array<{SPAN}>"))))
+    terms = F.coalesce(F.array_distinct(F.transform("extra", lambda s: s["found"])), F.array().cast("array<string>"))
+    clean = F.when(F.size("base") > 0, sanitised(F.col("text"), terms)).otherwise(F.col("text"))
+    return rows.select("doc_id", "base", every.alias("all"), clean.alias("sanitised"))
 
 
 def written(spans: Column) -> Column:
@@ -173,4 +232,4 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS[:4]]
-    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("all")).alias("spans"), "sanitised")

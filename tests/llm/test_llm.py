@@ -624,24 +624,89 @@ def brute_spans(text):
 def test_personal_data(spark):
     rng = random.Random(13)
     parts = ["a@b.co", "x.y+z@mail-1.example.org", "a@b.c@d.e", "a@b.co_x@y.zz", "@", "1.2.3.4", "001.2.3.256", "1.2.3.4.5.6.7.8", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "12345678901234567890", "+1 (415) 555-0100", "+44 20 7946 0958.", "+1", "é", "😀", "\n", "-", " ", "word", "7"]
-    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(300)] + ["", None, "1 " * 20_000, "a" * 50_000, "9" * 20_000, "a@" * 5000]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(300)] + ["", None, "1 " * 20_000, "a" * 50_000, "9" * 20_000, "a@" * 5000, "x@y.zz " * 100_000, "\u00e91.2.3.4 w " * 30_000]
     d = documents(spark, texts).withColumn("spans", F.lit(1)).withColumn("base", F.lit("clash"))
-    rows = pii.find_personal_data(d, disclosure=9.0).select("doc_id", pii.written(F.col("base")).alias("spans")).collect()
+    rows = pii.find_personal_data(d).select("doc_id", pii.written(F.col("base")).alias("spans")).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert r.spans == brute_spans(texts[r.doc_id] or "")
 
 
-def test_disclosing_terms(spark):
+def brute_terms(docs, window=60, disclosure=0.5, shrink=0.5):
+    """Term spans per row of docs: texts with their base spans by kind, windows cut at the pattern's next match."""
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    near, df, entities, both = [], Counter(), Counter(), Counter()
+    for text in docs:
+        df.update({w.lower() for w in re.findall(r"[^\W\d_]+", text)})
+        own = set()
+        for kind, pattern in kinds:
+            matches = list(re.finditer(pattern, text))
+            for k, m in enumerate(matches):
+                if kind == "phone" and not 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+                    continue
+                entity = (kind, re.sub("[^0-9]", "", m[0]) if kind == "phone" else m[0].lower())
+                low = max(matches[k - 1].end() if k else 0, m.start() - window)
+                high = min(matches[k + 1].start() if k + 1 < len(matches) else len(text), m.end() + window)
+                cut_low = low == m.start() - window and low > 0 and (not k or low > matches[k - 1].end()) and text[low - 1].isalpha()
+                cut_high = high == m.end() + window and high < len(text) and (k + 1 == len(matches) or high < matches[k + 1].start()) and text[high].isalpha()
+                for a, b in ((low, m.start()), (m.end(), high)):
+                    for w in re.finditer(r"[^\W\d_]+", text[a:b]):
+                        x, y = a + w.start(), a + w.end()
+                        if not (cut_low and x == low) and not (cut_high and y == high):
+                            own.add((entity, w[0].lower(), x, y))
+                own.add((entity, None, 0, 0))
+        near.append(own)
+        entities.update({o[0] for o in own})
+        both.update({(o[0], o[1]) for o in own if o[1]})
+    n = len(docs)
+
+    def shown(entity, term):
+        whole = np.log2(n / entities[entity])
+        k = both[entity, term]
+        return whole > 0 and np.log2(n * k / (df[term] * entities[entity])) / whole * k / (k + shrink) >= disclosure
+
+    return [{(x, y, t) for e, t, x, y in own if t and shown(e, t)} for own in near]
+
+
+def test_term_spans_against_brute_force(spark):
+    rng = random.Random(18)
+    people = [f"p{k}@mail.org" for k in range(12)] + [f"+1 415 555 {1000 + k}" for k in range(6)]
+    name = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, rare = [name(4) for _ in range(30)], [name(9) for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        words = [rng.choice(common) for _ in range(rng.randrange(40))] + [rng.choice(rare) for _ in range(rng.randrange(3))]
+        words += rng.choices(people, k=rng.choice([0, 0, 1, 2, 3]))
+        rng.shuffle(words)
+        texts.append(rng.choice([" ", "  ", ", "]).join(words))
+    texts += [texts[3], ""]
+    rows = {r.doc_id: r for r in pii.find_personal_data(documents(spark, texts), disclosure=0.25).collect()}
+    want = brute_terms(texts, disclosure=0.25)
+    assert sum(map(len, want)) > 50
+    for i, text in enumerate(texts):
+        assert {(s.start, s.end, s.found) for s in rows[i]["all"] if s.kind == "term"} == want[i], text
+        clean = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]", text)
+        clean = re.sub(r"\+1 415 555 [0-9]{4}", "[phone]", clean) if not re.search(r"[0-9]  ?\+", text) else rows[i].sanitised
+        hidden = {t for _, _, t in want[i]}
+        clean = re.sub(r"[^\W\d_]+", lambda m: "[term]" if m[0].lower() in hidden else m[0], clean)
+        assert rows[i].sanitised == clean
+
+
+def test_sanitised(spark):
     rng = random.Random(14)
     secret = "call jane@x.org at Zanzibar lighthouse today"
     texts = [prose(rng, 30, 200) + " today call" for _ in range(60)] + [prose(rng, 20, 200) + " " + secret for _ in range(3)]
-    marks = pii.find_personal_data(documents(spark, texts))
-    found = {r.doc_id: r for r in marks.collect()}
-    shown = lambda i: {s.found.lower() for s in found[i]["all"] if s.kind == "term"}
-    assert {"zanzibar", "lighthouse"} <= shown(61) and "today" not in shown(61) and not shown(5)
-    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, texts), marks).collect()}
-    assert "jane" not in clean[61] and "[email]" in clean[61] and "Zanzibar" not in clean[61] and clean[5] == texts[5]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "id null 10.0.0.1, 4111 1111 1111 1111"), (None, None), (61, "+1 415 555 0100 and a@b.co@c.de"), (61, texts[61])]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, base int, sanitised int")
+    found = [(r.doc_id, r) for r in pii.find_personal_data(d).collect()]
+    assert len(found) == len(rows)
+    clean = Counter((i, r.sanitised) for i, r in found)
+    own = [r for i, r in found if i == 61 and "jane" in [s.found for s in r["all"]][0]]
+    assert len(own) == 2 and all({s.found for s in r["all"] if s.kind == "term"} >= {"zanzibar", "lighthouse"} for r in own)
+    assert all(r.sanitised.endswith("call [email] [term] [term] [term] today") for r in own)
+    assert clean[5, texts[5]] == 1 and clean[None, ""] == 1
+    assert clean[None, "[term] [term] [ip], [card]"] + clean[None, "id null [ip], [card]"] == 1
+    assert any(t.startswith("[phone] ") and "[email]@c.de" in t for _, t in clean)
     assert pii.find_personal_data(documents(spark, [])).count() == 0
 
 
