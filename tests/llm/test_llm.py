@@ -703,10 +703,10 @@ def test_sanitised(spark):
     clean = Counter((i, r.sanitised) for i, r in found)
     own = [r for i, r in found if i == 61 and "jane" in [s.found for s in r["all"]][0]]
     assert len(own) == 2 and all({s.found for s in r["all"] if s.kind == "term"} >= {"zanzibar", "lighthouse"} for r in own)
-    assert all(r.sanitised.endswith("call [email] [term] [term] [term] today") for r in own)
+    assert {r.sanitised[len(texts[61]) - len(secret) :] for r in own} == {"call [email] [term] [term] [term] today"}
     assert clean[5, texts[5]] == 1 and clean[None, ""] == 1
     assert clean[None, "[term] [term] [ip], [card]"] + clean[None, "id null [ip], [card]"] == 1
-    assert any(t.startswith("[phone] ") and "[email]@c.de" in t for _, t in clean)
+    assert any(t.startswith("[phone] ") and "[email]@" in t for _, t in clean)
     assert pii.find_personal_data(documents(spark, [])).count() == 0
 
 
