@@ -208,7 +208,7 @@ def test_passages_of_lines_seen_before(spark):
 
 def test_passages_recall(spark):
     rng = random.Random(23)
-    cases = [(25, 0, 1.0), (30, 0, 1.0), (60, 5, 0.97), (60, 10, 0.97), (60, 15, 0.9), (60, 20, 0.7), (100, 20, 0.8)]
+    cases = [(25, 0, 1.0), (30, 0, 1.0), (25, 4, 0.97), (25, 8, 0.97), (25, 12, 0.9), (25, 16, 0.8), (25, 20, 0.7), (25, 24, 0.4), (40, 10, 0.97), (40, 20, 0.9), (60, 5, 0.97), (60, 10, 0.97), (60, 15, 0.97), (60, 20, 0.9), (60, 25, 0.6), (100, 20, 0.9), (100, 25, 0.6)]
     texts = []
     for size, percent, _ in cases:
         for _ in range(60):
@@ -221,9 +221,35 @@ def test_passages_recall(spark):
     for i, (size, percent, least) in enumerate(cases):
         share = sum(120 * i + 2 * k + 1 in found for k in range(60)) / 60
         print("recall", size, percent, round(share, 3))
+    for i, (size, percent, least) in enumerate(cases):
+        share = sum(120 * i + 2 * k + 1 in found for k in range(60)) / 60
         assert share >= least, (size, percent, share)
 
 
+def test_hot_passages(spark, monkeypatch):
+    """Reduced before they are dealt, hot seeds give the same documents, each matched with an earlier one."""
+    rng = random.Random(24)
+    passage = prose(rng, 60, 10**6)
+    texts = [" ".join([prose(rng, rng.randrange(30), 10**6), passage, prose(rng, 20, 10**6)]) for _ in range(60)] + [prose(rng, 80, 10**6) for _ in range(10)]
+    d = documents(spark, texts).withColumn("match_id", F.lit("clash")).repartition(3)
+    whole = {(r.doc_id, r.match_id) for r in substring.repeated_passages(d).collect()}
+    assert whole == {(i, 0) for i in range(1, 60)}
+    seeds = substring._seeds
+    monkeypatch.setattr(substring, "_seeds", lambda parts: seeds(parts, hot=4))
+    rows = substring.repeated_passages(d).collect()
+    assert {r.doc_id for r in rows} == set(range(1, 60)) and all(r.match_id < r.doc_id and r.matched_words >= 60 for r in rows)
+    assert len(rows) <= 2 * 60
+
+
+def test_without_repeats(spark):
+    rng = random.Random(25)
+    passage = prose(rng, 40, 10**6)
+    texts = ["first " + passage, "before  the\n" + passage.upper() + "\tand after é", passage, None, "", prose(rng, 30, 10**6)]
+    d = documents(spark, texts)
+    out = {r.doc_id: r.text for r in substring.without_repeats(d, substring.repeated_passages(d)).collect()}
+    assert out == {0: texts[0], 1: "before  the\n\tand after é", 2: "", 3: None, 4: "", 5: texts[5]}
+
+
 # --- op3
 
 
