@@ -10,10 +10,15 @@
    shingles, of a width that grows with the size. The number of differing bits bounds the symmetric difference from
    below and so the overlap from above. Only pairs that pass go to the exact intersection of sorted arrays. Large tiles
    are dealt into pairs of blocks of bounded size.
-4. First each class meets its largest tile only, then its smallest, where links are found in place and connected pairs
-   are skipped, which keeps large groups of near copies almost linear. Then all tiles that still hold different
-   components give their pairs across components, each once, so no link is lost that could join two components. With
-   `every_link` all pairs of all tiles are compared instead.
+4. First each class meets its largest tile only, then its smallest, block by block, where links are found in place and
+   connected pairs are skipped, which keeps large groups of near copies linear. Then all tiles that still hold different
+   components are compared once more, whole: classes of a tile's most frequent component meet only the others. Bitmaps
+   mark the classes that may have a link, only these are joined with their sets, and exact intersections in the tile give
+   links, never pairs that are none. So no link is lost that could join two components. With `every_link` all
+   pairs of all tiles are compared instead.
+
+Shingles of very many classes are found in a sample of (shingle, class) entries; which they are changes only the order
+of shingles, not the result. They come last in that order, uncounted, so no bucket holds all entries of such a shingle.
 
 Defined cases: null and texts without words have an empty set, component = own id, and link with nothing; shorter texts
 have one shingle, the whole sequence; null ids take part (component_id is the least id that is not null, or null); rows
@@ -30,15 +35,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessella.llm.common import LOWER, WordHasher, cut, default_parallelism, mix, shingles, utf8
+from tessella.llm.common import LOWER, MOST_BROADCAST, WordHasher, cut, default_parallelism, mix, shingles, small, utf8
 from tessella.llm.components import components
 
 TOKENS_PER_BUCKET = 3_000_000
 BLOCK, BLOCK_TOKENS = 2_000, 1_000_000
-MOST_BROADCAST = 1_000_000
+#: One in so many entries is sampled for hot shingles: those of HOT classes at least, or of a millionth of all entries.
+SAMPLED, HOT = 256, 20_000
+UNCOUNTED = (1 << 32) - 1
 
 
 def shingle_set(hasher: WordHasher, text: bytes, words: int) -> np.ndarray:
@@ -82,7 +91,13 @@ def counted_tokens(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return (np.concatenate([inside, own[~in_region(own)][:short]]) if short > 0 else inside), len(inside)
 
 
-def _describe(words: int, percent: int):
+def sampled(own: np.ndarray, percent: int, rate: int) -> np.ndarray:
+    """About one in `rate` of the tokens that a class deals out, alike for all its copies."""
+    dealt = counted_tokens(own, percent)[0]
+    return dealt[mix(dealt ^ own[0]) % np.uint64(rate) == 0].view(np.int64) if len(own) else own.view(np.int64)
+
+
+def _describe(words: int, percent: int, rate: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
@@ -90,19 +105,30 @@ def _describe(words: int, percent: int):
                 part, rows = batch.slice(start, 2000), []
                 for text in part.column(1):
                     own = shingle_set(hasher, text.as_py(), words)
-                    rows.append((digest(own) if len(own) else None, len(own), int(in_region(own).sum())))
-                fp, n, region = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(region, pa.int64())], names=["doc_id", "fp", "n", "n_region"])
+                    rows.append((digest(own) if len(own) else None, len(own), int(in_region(own).sum()), sampled(own, percent, rate)))
+                fp, n, region, some = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(region, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "n_region", "sampled"])
 
     return run
 
 
-def _deal(words: int, percent: int, buckets: int):
-    """Tokens of texts, packed by bucket: the digests of documents, how many tokens each has there, and the tokens."""
+def _deal(words: int, percent: int, buckets: int, often: Broadcast):
+    """Tokens of texts, packed by bucket: the digests of documents, how many tokens each has there, and the tokens. The
+    bucket is the token's, of hot tokens the class's."""
+
+    def packed(fps: np.ndarray, bucket: np.ndarray, doc: np.ndarray, token: np.ndarray, hot: bool) -> pa.RecordBatch:
+        order = np.lexsort((doc, bucket))
+        token, doc, bucket = token[order], doc[order], bucket[order]
+        ids, first = np.unique(bucket, return_index=True)
+        rows = []
+        for b, own_doc, own_token in zip(ids.tolist(), np.split(doc, first[1:]), np.split(token, first[1:]), strict=True):
+            which, many = np.unique(own_doc, return_counts=True)
+            rows.append((b, fps[which].tobytes(), many.astype(np.uint32).tobytes(), own_token.tobytes(), hot))
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:4]), pa.array(columns[4], pa.bool_())], names=["bucket", "fps", "counts", "tokens", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        names = ["bucket", "fps", "counts", "tokens"]
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 held: dict[bytes, np.ndarray] = {}
@@ -116,16 +142,11 @@ def _deal(words: int, percent: int, buckets: int):
                 fps = np.frombuffer(b"".join(held), "V16")
                 token = np.concatenate(dealt)
                 doc = np.repeat(np.arange(len(dealt)), [len(x) for x in dealt])
-                bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, bucket))
-                token, doc, bucket = token[order], doc[order], bucket[order]
-                ids, first = np.unique(bucket, return_index=True)
-                rows = []
-                for b, own_doc, own_token in zip(ids.tolist(), np.split(doc, first[1:]), np.split(token, first[1:]), strict=True):
-                    which, many = np.unique(own_doc, return_counts=True)
-                    rows.append((b, fps[which].tobytes(), many.astype(np.uint32).tobytes(), own_token.tobytes()))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+                hot = np.isin(token, often.value)
+                part = (fps.view([("a", "<u8"), ("b", "<u8")])["a"] % np.uint64(buckets)).astype(np.int64)
+                for chosen, bucket in ((~hot, (mix(token) % np.uint64(buckets)).astype(np.int64)), (hot, part[doc])):
+                    if chosen.any():
+                        yield packed(fps, bucket[chosen], doc[chosen], token[chosen], bool(hot[chosen][0]))
 
     return run
 
@@ -133,7 +154,7 @@ def _deal(words: int, percent: int, buckets: int):
 def _shared_tokens(parts: int):
     """Tokens of two classes at least with their numbers of classes, packed by a part of the classes' digests.
 
-    Rows come sorted by bucket; one bucket is held at a time."""
+    Rows come sorted by bucket; one bucket is held at a time. Hot tokens are in their class's part already and pass."""
 
     def finish(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         fps = np.concatenate([np.frombuffer(r[0], "V16") for r in rows])
@@ -167,7 +188,11 @@ def _shared_tokens(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for batch in batches:
-            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, *row, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot:
+                    dfs = np.full(len(row[2]) // 8, UNCOUNTED, np.uint32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (*row, dfs))], names=["part", "fps", "counts", "tokens", "dfs"])
+                    continue
                 if b != bucket and rows:
                     yield finish(rows)
                     rows = []
@@ -186,9 +211,11 @@ def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, many, token, df = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate(([("a", "<u8"), ("b", "<u8")], np.uint32, np.uint64, np.uint32)))
         unique, code = np.unique(fps, return_inverse=True)
         doc = np.repeat(code.ravel(), many)
-        order = np.argsort(doc, kind="stable")
-        pairs = np.stack([token[order], df[order].astype(np.uint64)], axis=1)
-        first = np.flatnonzero(np.diff(doc[order], prepend=-1))
+        order = np.lexsort((token, doc))
+        doc, token, df = doc[order], token[order], df[order]
+        fresh = np.concatenate([[True], (np.diff(doc) != 0) | (token[1:] != token[:-1])])  # hot tokens of copies
+        doc, pairs = doc[fresh], np.stack([token[fresh], df[fresh].astype(np.uint64)], axis=1)
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
         keys = unique.tobytes()
         return pa.RecordBatch.from_arrays([pa.array([keys[16 * i : 16 * i + 16] for i in range(len(unique))], pa.binary()), pa.array([x.tobytes() for x in np.split(pairs, first[1:])], pa.binary())], names=["fp", "shared"])
 
@@ -242,12 +269,12 @@ def _sets(words: int):
 
 
 def _compare(percent: int, every_link: bool, exact: bool):
-    """Pairs of classes of a tile's block pair that sizes and bitmaps allow; with `exact`, of those only links, by exact
-    intersections, and labels of classes that a link connects become one.
+    """Rows of classes in a tile's block pair. Without `exact`: those that may have a link, by sizes and bitmaps. With it:
+    links (a, b, shared), by exact intersections as well, and labels of classes that a link connects become one.
 
     Rows come sorted by group; a group has at most about two blocks of rows. Equal labels aren't compared."""
 
-    def linked(g: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
+    def linked(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, home, fp, block = (g[c].to_numpy() for c in ("n", "home", "fp", "block"))
         label = np.unique(g["label"].to_numpy(), return_inverse=True)[1].ravel()
@@ -258,7 +285,7 @@ def _compare(percent: int, every_link: bool, exact: bool):
             code = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in g["tokens"]]), return_inverse=True)[1].ravel()
             start = np.concatenate([[0], np.cumsum(n)])
             member = np.zeros(int(code.max()) + 1, bool)
-        out = []
+        out, marked = [], np.zeros(len(g), bool)
         for k in range(len(g) - 1):
             last = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
             if last <= k + 1:
@@ -282,7 +309,7 @@ def _compare(percent: int, every_link: bool, exact: bool):
             if not len(other):
                 continue
             if not exact:
-                out += [(fp[k], x, None) for x in fp[other]]
+                marked[k] = marked[other] = True
                 continue
             member[code[start[k] : start[k + 1]]] = True
             low, high = other[0], other[-1] + 1
@@ -290,13 +317,11 @@ def _compare(percent: int, every_link: bool, exact: bool):
             member[code[start[k] : start[k + 1]]] = False
             sure = 100 * both >= percent * (n[k] + n[other] - both)
             for m, shared in zip(other[sure].tolist(), both[sure].tolist(), strict=True):
-                if label[m] != label[k]:
+                if every_link or label[m] != label[k]:
                     out.append((fp[k], fp[m], shared))
-                    label[label == label[m]] = label[k]
-        return out
-
-    def table(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["a", "b", "shared"]).astype({"shared": "Int64"})
+                    if not every_link:
+                        label[label == label[m]] = label[k]
+        return pd.DataFrame(out, columns=["a", "b", "shared"]) if exact else g[marked].drop(columns="sig")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, keys = None, ["token", "band", "i", "j"]
@@ -304,41 +329,26 @@ def _compare(percent: int, every_link: bool, exact: bool):
             rest = batch if rest is None or not len(rest) else pd.concat([rest, batch])
             open_ = (rest[keys] == rest[keys].iloc[-1]).all(axis=1)
             done, rest = rest[~open_], rest[open_]
-            out = [p for _, g in done.groupby(keys, sort=False) if len(g) > 1 for p in linked(g)]
+            out = [linked(g) for _, g in done.groupby(keys, sort=False) if len(g) > 1]
             if out:
-                yield table(out)
-        if rest is not None and len(rest) > 1 and (out := linked(rest)):
-            yield table(out)
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, shared = [], []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    kept.append(i)
-                    shared.append(both)
-            index = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+                yield pd.concat(out)
+        if rest is not None and len(rest) > 1:
+            yield linked(rest)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a binary, b binary, shared long")
-
-
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, fp (digest of its set; null if empty), n, n_region."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_describe(words, percent), f"doc_id {kind}, fp binary, n long, n_region long"))
+    return cut(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_describe(words, percent, SAMPLED), f"doc_id {kind}, fp binary, n long, n_region long, sampled array<long>"))
+
+
+def hot_tokens(found: DataFrame, total: int) -> np.ndarray:
+    """Tokens of at least HOT classes, or of a millionth of all entries if that is more: a million at most."""
+    entries = found.where(F.size("sampled") > 0).select("fp", F.explode("sampled").alias("token")).distinct()
+    many = entries.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED >= max(HOT, total // 1_000_000))
+    return np.sort(many.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85, every_link: bool = False) -> DataFrame:
@@ -349,7 +359,8 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     buckets = int(total * 3 / 8 // TOKENS_PER_BUCKET) + 1
     buckets = max(buckets, min(4 * buckets, default_parallelism(spark)))
     text = utf8("text").alias("text")
-    dealt = docs.select(text).mapInArrow(_deal(words, percent, buckets), "bucket int, fps binary, counts binary, tokens binary")
+    often = spark.sparkContext.broadcast(hot_tokens(found, total))
+    dealt = docs.select(text).mapInArrow(_deal(words, percent, buckets, often), "bucket int, fps binary, counts binary, tokens binary, hot boolean")
     shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(buckets), "part int, fps binary, counts binary, tokens binary, dfs binary")
     few = shared.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(_by_class, "fp binary, shared binary")
     # a class whose unshared tokens fill its prefix has no partner
@@ -361,50 +372,81 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     tiles = cut(tiles.join(sizes, ["token", "band"]))
     needed = cut(tiles.select("fp").distinct())
     reps = needed.join(per_class, "fp").select("fp", F.col("rep").alias("rep_id"))
-    if needed.count() <= MOST_BROADCAST:
+    if needed.count() <= MOST_BROADCAST:  # reps has as many rows
         reps = F.broadcast(reps)
     # the texts of the classes that are left; null or repeated ids may bring other texts along, which the digest tells
     chosen = docs.select("doc_id", text).join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("fp", "text")
     sets = cut(chosen.mapInArrow(_sets(words), "fp binary, own binary, tokens binary, sig binary").where("own = fp").drop("own").dropDuplicates(["fp"]))
 
-    rounds = [] if every_link else [F.max(F.struct("rows", "token")), F.min(F.struct("rows", "token"))]
+    largest, smallest = F.max(F.struct("rows", "token")), F.min(F.struct("rows", "token"))
     done, label = [], None
-    for chosen_tile in [*rounds, None]:
-        rows = tiles
-        if chosen_tile is not None:  # one tile for each class: its largest, then its smallest
-            rows = rows.join(rows.groupBy("fp").agg(chosen_tile.alias("top")).select("fp", F.col("top.token").alias("token")), ["fp", "token"], "left_semi")
-        if label is None:
-            rows = rows.withColumn("label", F.col("fp"))
-        else:
-            rows = rows.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        done.append(cut(_compared(rows.drop("rows"), sets, percent, every_link, exact=chosen_tile is not None)))
-        label = components(reduce(DataFrame.unionByName, done)).select(F.col("node").alias("fp"), "label") if chosen_tile is not None else None
+    for turn, chosen_tile in enumerate([] if every_link else [largest, largest, smallest]):
+        rows = _labelled(tiles, label)
+        rows = rows.join(rows.groupBy("fp").agg(chosen_tile.alias("top")).select("fp", F.col("top.token").alias("token")), ["fp", "token"], "left_semi")
+        blocks = _blocks(rows).where(f"blocks > {int(turn == 1)}")  # the second turn deals large tiles anew
+        if turn == 1 and not blocks.limit(1).count():
+            continue
+        rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
+        rows = rows.select(*KEYS[:2], F.col("block").alias("i"), F.col("block").alias("j"), *OWN).join(sets, "fp")
+        done.append(cut(_linked(rows, percent, every_link)))
+        label = components(reduce(DataFrame.unionByName, done)).select(F.col("node").alias("fp"), "label")
+    rows = _dealt(_labelled(tiles, label)).join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
+    marked = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=False), rows.drop("sig").schema)
+    done.append(cut(_linked(marked.join(sets, "fp"), percent, every_link)))
     return reduce(DataFrame.unionByName, done).groupBy("a", "b").agg(F.first("shared").alias("shared"))
 
 
-def _compared(rows: DataFrame, sets: DataFrame, percent: int, every_link: bool, exact: bool) -> DataFrame:
-    """Links within the tiles of rows (token, band, home, fp, n, label) that hold several labels.
+KEYS = ["token", "band", "i", "j"]
+OWN = ["block", "home", "fp", "n", "label"]
 
-    With exact, sets travel with the rows and are intersected in the tile. Otherwise only bitmaps do, and the pairs
-    that they allow, each once however many tiles it is in, meet their sets afterwards."""
-    open_tiles = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-    size = F.greatest(F.col("rows") / BLOCK, F.col("tokens") / BLOCK_TOKENS) if exact else F.col("rows") / BLOCK
-    rows = rows.join(open_tiles.where("low <> high").select("token", "band", F.ceil(size).cast("int").alias("blocks")), ["token", "band"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(sets if exact else sets.drop("tokens"), "fp").select("token", "band", "i", "j", "block", "home", "fp", "n", "label", "sig", *["tokens"] * exact)
-    keys = ["token", "band", "i", "j"]
-    pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(percent, every_link, exact), "a binary, b binary, shared long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
-    return pairs if exact else _verified(pairs.select("a", "b").distinct(), sets, percent)
 
+def _labelled(tiles: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Tiles with the components so far; a class without links is its own."""
+    return tiles.withColumn("label", F.col("fp")) if label is None else tiles.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, every_link: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, and n_links of its class with every_link."""
+
+def _in_blocks(rows, tokens):
+    return F.ceil(F.greatest(rows / BLOCK, tokens / BLOCK_TOKENS)).cast("int")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(token, band, blocks) of tiles with several labels."""
+    tiles = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    return tiles.where("low <> high").select("token", "band", _in_blocks(F.col("rows"), F.col("tokens")).alias("blocks"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of tiles with several labels in all pairs of blocks (i, j) that can hold pairs with different labels: rows
+    of the tile's most frequent label are in blocks after the others' and meet only these."""
+    by_label = rows.groupBy("token", "band", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    top = F.max_by(F.struct("label", "rows", "tokens"), F.struct("rows", "label")).alias("top")
+    tiles = by_label.groupBy("token", "band").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), top).where("labels > 1")
+    tiles = tiles.select("token", "band", F.col("top.label").alias("most"), _in_blocks(F.col("rows") - F.col("top.rows"), F.col("tokens") - F.col("top.tokens")).alias("few"), _in_blocks(F.col("top.rows"), F.col("top.tokens")).alias("many"))
+    frequent, draw = F.col("label") == F.col("most"), F.xxhash64("fp")
+    rows = rows.join(tiles, ["token", "band"])
+    rows = rows.withColumn("block", F.when(frequent, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(frequent, 0).otherwise(F.col("many")))))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
+def _linked(rows: DataFrame, percent: int, every_link: bool) -> DataFrame:
+    """Links within the groups of rows (KEYS, OWN, sig, tokens)."""
+    rows = rows.select(*KEYS, *OWN, "sig", "tokens")
+    pairs = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=True), "a binary, b binary, shared long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
+
+
+def _component_rows(docs: DataFrame, words: int, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs doc_id, fp, n and label (fp of its component; null without words), and the links of classes."""
     found = classes(docs, words, percent)
     pairs = links(docs, found, words, percent, every_link)
     label = components(pairs).withColumnRenamed("node", "fp")
-    rows = found.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return found.select("doc_id", "fp", "n").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), pairs
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, every_link: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, and n_links of its class with every_link."""
+    rows, pairs = _component_rows(docs, words, percent, every_link)
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "label", "left").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     if every_link:
@@ -413,16 +455,38 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, every
     return rows.drop("fp")
 
 
+def _with_digest(words: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            own = [shingle_set(hasher, (t.as_py() or "").encode("utf-8", "replace"), words) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) if len(x) else None for x in own], pa.binary())], names=[*batch.schema.names, "__fp"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the least id. Rows with a null id all stay; of rows that
-    repeat an id one stays."""
-    groups = cut(jaccard_components(docs, words, percent))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if repeated else kept
+    """docs with one row of each component, that of the least id (null comes last); texts without words all stay.
+
+    Rows whose id is null or occurs again are told apart by their sets, so a row with another text than its namesake is
+    judged by its own text; of rows that agree in id and set the one with the least text stays."""
+    groups = cut(_component_rows(docs, words, percent, False)[0].where("fp is not null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    first = groups.groupBy("label").agg(F.min(key).alias("first"))
+    marked = groups.join(first, "label").select("doc_id", "fp", (key == F.col("first")).alias("stays"))
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")))
+    gone = cut(marked.where("not stays and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct().join(again, F.col("__gone") == F.col("__again"), "left_anti"))
+    kept = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    if not again.limit(1).count() and not groups.where("doc_id is null").limit(1).count():
+        return kept
+    several = small(again)
+    clear = kept.where("doc_id is not null").join(several, kept["doc_id"] == F.col("__again"), "left_anti")
+    unclear = docs.where("doc_id is null").unionByName(docs.join(several, docs["doc_id"] == F.col("__again"), "left_semi"))
+    unclear = unclear.mapInArrow(_with_digest(words, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
+    stays = marked.where("stays").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__own")).distinct()
+    chosen = unclear.where("__fp is not null").join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
+    chosen = chosen.groupBy("doc_id", "__fp").agg(F.min_by(F.struct(*docs.columns), "text").alias("row")).select("row.*")
+    return clear.unionByName(chosen).unionByName(unclear.where("__fp is null").drop("__fp"))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,41 @@ def test_one_of_each(spark):
     d = documents(spark, {4: a, 2: edited(rng, a, 1), 9: b, 7: b, 1: "", 3: None})
     assert sorted(r.doc_id for r in jaccard.one_of_each(d).collect()) == [1, 2, 3, 7]
     assert jaccard.one_of_each(documents(spark, [])).count() == 0
-    assert sorted(r.doc_id for r in jaccard.one_of_each(d.unionByName(d)).collect()) == [1, 2, 3, 7]
+    twice = documents(spark, {1: "", 3: None})
+    assert sorted(r.doc_id for r in jaccard.one_of_each(d.unionByName(d)).collect()) == sorted([1, 2, 3, 7] + [r.doc_id for r in twice.collect()])
+    # namesakes with other texts are judged by their own; of copies without id one stays
+    c, e = prose(rng, 100), prose(rng, 100)
+    named = spark.createDataFrame([(2, c, "en", "s", 0), (2, edited(rng, c, 1), "en", "s", 0), (9, e, "en", "s", 0), (9, e, "en", "t", 0), (None, e + " x", "en", "s", 0), (None, "only " * 9, "en", "s", 0), (None, "only " * 9, "en", "s", 0), (None, None, "en", "s", 0)], DOCS)
+    kept = jaccard.one_of_each(d.unionByName(named))
+    assert kept.columns == d.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert Counter(i for i, _ in got.elements()) == Counter({1: 1, 2: 2, 3: 1, 7: 1, 9: 1, None: 2})
+    assert got[9, e] == 1 and got[None, "only " * 9] == 1 and got[None, None] == 1 and got[1, ""] == 1
+
+
+def test_jaccard_near_misses_and_hot_shingles(spark, monkeypatch):
+    """Two groups of near copies just below the threshold of each other: what leaves the tiles is links, in linear number;
+    with small blocks and with shingles that count as hot the result is the same."""
+    rng = random.Random(26)
+    base = prose(rng, 100).split()
+    other = list(base)
+    for k in (9, 35, 61):
+        other[k] = "z"
+    swap = lambda w, k: " ".join([*w[:k], f"y{rng.randrange(10**6)}", *w[k + 1 :]])
+    texts = [swap(w, rng.choice([1, 98, 97])) for w in (base, other) for _ in range(60)] + [prose(rng, 40) for _ in range(20)]
+    rows = list(enumerate(texts))
+    want = brute_components(rows, 4, 85)
+    assert len({c for _, _, c in want}) == 22
+    d = documents(spark, texts).repartition(3)
+    for block, hot, sampled in ((2000, 20_000, 256), (7, 20_000, 256), (7, 3, 1)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        monkeypatch.setattr(jaccard, "SAMPLED", sampled)
+        found = jaccard.classes(d, 4, 85)
+        if hot == 3:
+            assert len(jaccard.hot_tokens(found, 1000))
+        assert jaccard.links(d, found).count() <= 2 * len(texts)
+        assert Counter(map(tuple, jaccard.jaccard_components(d).collect())) == want
 
 
 def test_components(spark):
