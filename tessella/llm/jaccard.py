@@ -12,10 +12,10 @@
    are dealt into pairs of blocks of bounded size.
 4. First each class meets its largest tile only, then its smallest, block by block, where links are found in place and
    connected pairs are skipped, which keeps large groups of near copies linear. Then all tiles that still hold different
-   components are compared once more, whole: classes of a tile's most frequent component meet only the others. Bitmaps
-   mark the classes that may have a link, only these are joined with their sets, and exact intersections in the tile give
-   links, never pairs that are none. So no link is lost that could join two components. With `every_link` all
-   pairs of all tiles are compared instead.
+   components are compared once more, whole: classes of a tile's most frequent component meet only the others. Where
+   bitmaps allow few pairs, these meet their sets; where they allow many, their classes meet again in the tile with
+   their sets, and only links leave it. So rows stay in proportion and no link is lost that could join two
+   components. With `every_link` all pairs of all tiles are compared instead.
 
 Shingles of very many classes are found in a sample of (shingle, class) entries; which they are changes only the order
 of shingles, not the result. They come last in that order, uncounted, so no bucket holds all entries of such a shingle.
@@ -48,6 +48,8 @@ BLOCK, BLOCK_TOKENS = 2_000, 1_000_000
 #: One in so many entries is sampled for hot shingles: those of HOT classes at least, or of a millionth of all entries.
 SAMPLED, HOT = 256, 20_000
 UNCOUNTED = (1 << 32) - 1
+#: Pairs a row that a group may list before it lists its classes instead.
+DENSE = 4
 
 
 def shingle_set(hasher: WordHasher, text: bytes, words: int) -> np.ndarray:
@@ -269,12 +271,13 @@ def _sets(words: int):
 
 
 def _compare(percent: int, every_link: bool, exact: bool):
-    """Rows of classes in a tile's block pair. Without `exact`: those that may have a link, by sizes and bitmaps. With it:
-    links (a, b, shared), by exact intersections as well, and labels of classes that a link connects become one.
+    """What the rows of a tile's block pair give. With `exact` links (a, b, shared), by exact intersections; labels of
+    classes that a link connects become one. Without it pairs (a, b) that sizes and bitmaps allow, or where these
+    are over DENSE times the rows, the classes in them (a, null, token, band): never more than in proportion to the rows.
 
     Rows come sorted by group; a group has at most about two blocks of rows. Equal labels aren't compared."""
 
-    def linked(g: pd.DataFrame) -> pd.DataFrame:
+    def linked(g: pd.DataFrame) -> list[tuple]:
         g = g.sort_values("n", kind="stable")
         n, home, fp, block = (g[c].to_numpy() for c in ("n", "home", "fp", "block"))
         label = np.unique(g["label"].to_numpy(), return_inverse=True)[1].ravel()
@@ -310,6 +313,8 @@ def _compare(percent: int, every_link: bool, exact: bool):
                 continue
             if not exact:
                 marked[k] = marked[other] = True
+                if len(out) <= DENSE * len(g):
+                    out += [(fp[k], x) for x in fp[other]]
                 continue
             member[code[start[k] : start[k + 1]]] = True
             low, high = other[0], other[-1] + 1
@@ -321,7 +326,18 @@ def _compare(percent: int, every_link: bool, exact: bool):
                     out.append((fp[k], fp[m], shared))
                     if not every_link:
                         label[label == label[m]] = label[k]
-        return pd.DataFrame(out, columns=["a", "b", "shared"]) if exact else g[marked].drop(columns="sig")
+        if exact:
+            return out
+        if len(out) <= DENSE * len(g):
+            return [(x, y, None, None) for x, y in out]
+        token, band = int(g["token"].iloc[0]), int(g["band"].iloc[0])
+        return [(x, None, token, band) for x in fp[marked]]
+
+    def table(rows: list) -> pd.DataFrame:
+        names = ["a", "b", "shared"] if exact else ["a", "b", "token", "band"]
+        columns = list(zip(*rows, strict=True))
+        # whole numbers next to nulls must not become floats
+        return pd.DataFrame({n: pd.Series(c, dtype="Int64" if i > 1 else object) for i, (n, c) in enumerate(zip(names, columns, strict=True))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, keys = None, ["token", "band", "i", "j"]
@@ -329,15 +345,37 @@ def _compare(percent: int, every_link: bool, exact: bool):
             rest = batch if rest is None or not len(rest) else pd.concat([rest, batch])
             open_ = (rest[keys] == rest[keys].iloc[-1]).all(axis=1)
             done, rest = rest[~open_], rest[open_]
-            out = [linked(g) for _, g in done.groupby(keys, sort=False) if len(g) > 1]
+            out = [p for _, g in done.groupby(keys, sort=False) if len(g) > 1 for p in linked(g)]
             if out:
-                yield pd.concat(out)
-        if rest is not None and len(rest) > 1:
-            yield linked(rest)
+                yield table(out)
+        if rest is not None and len(rest) > 1 and (out := linked(rest)):
+            yield table(out)
 
     return run
 
 
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, shared = [], []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    kept.append(i)
+                    shared.append(both)
+            index = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a binary, b binary, shared long")
+
+
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, fp (digest of its set; null if empty), n, n_region."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -390,9 +428,13 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
         rows = rows.select(*KEYS[:2], F.col("block").alias("i"), F.col("block").alias("j"), *OWN).join(sets, "fp")
         done.append(cut(_linked(rows, percent, every_link)))
         label = components(reduce(DataFrame.unionByName, done)).select(F.col("node").alias("fp"), "label")
-    rows = _dealt(_labelled(tiles, label)).join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
-    marked = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=False), rows.drop("sig").schema)
-    done.append(cut(_linked(marked.join(sets, "fp"), percent, every_link)))
+    rows = _labelled(tiles, label)
+    open_ = _dealt(rows, by_tokens=False).join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
+    maybe = cut(open_.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=False), "a binary, b binary, token long, band int"))
+    sparse = maybe.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done.append(cut(_verified(sparse, sets, percent)))
+    dense = maybe.where("b is null").select("token", "band", F.col("a").alias("fp")).distinct()
+    done.append(cut(_linked(_dealt(rows.join(dense, ["token", "band", "fp"], "left_semi"), by_tokens=True).join(sets, "fp"), percent, every_link)))
     return reduce(DataFrame.unionByName, done).groupBy("a", "b").agg(F.first("shared").alias("shared"))
 
 
@@ -415,13 +457,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return tiles.where("low <> high").select("token", "band", _in_blocks(F.col("rows"), F.col("tokens")).alias("blocks"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, by_tokens: bool) -> DataFrame:
     """Rows of tiles with several labels in all pairs of blocks (i, j) that can hold pairs with different labels: rows
     of the tile's most frequent label are in blocks after the others' and meet only these."""
     by_label = rows.groupBy("token", "band", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     top = F.max_by(F.struct("label", "rows", "tokens"), F.struct("rows", "label")).alias("top")
     tiles = by_label.groupBy("token", "band").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), top).where("labels > 1")
-    tiles = tiles.select("token", "band", F.col("top.label").alias("most"), _in_blocks(F.col("rows") - F.col("top.rows"), F.col("tokens") - F.col("top.tokens")).alias("few"), _in_blocks(F.col("top.rows"), F.col("top.tokens")).alias("many"))
+    tiles = tiles.select("token", "band", F.col("top.label").alias("most"), _in_blocks(F.col("rows") - F.col("top.rows"), (F.col("tokens") - F.col("top.tokens")) * int(by_tokens)).alias("few"), _in_blocks(F.col("top.rows"), F.col("top.tokens") * int(by_tokens)).alias("many"))
     frequent, draw = F.col("label") == F.col("most"), F.xxhash64("fp")
     rows = rows.join(tiles, ["token", "band"])
     rows = rows.withColumn("block", F.when(frequent, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int"))
