@@ -148,6 +148,7 @@ def test_jaccard_near_misses_and_hot_shingles(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "SAMPLED", sampled)
         found = jaccard.classes(d, 4, 85)
         if hot == 3:
+            monkeypatch.setattr(jaccard, "DENSE", 0.1)
             assert len(jaccard.hot_tokens(found, 1000))
         assert jaccard.links(d, found).count() <= 2 * len(texts)
         assert Counter(map(tuple, jaccard.jaccard_components(d).collect())) == want
@@ -206,6 +207,9 @@ def test_repeated_passages(spark):
     exact, near = rows[3, 1], rows[4, 1]
     assert (exact.start_word, exact.end_word, exact.match_start, exact.match_end, exact.identity) == (0, 60, 30, 90, 1.0)
     assert near.start_word == 50 and near.end_word >= 110 and near.match_start == 30 and near.match_end == 90 and near.matched_words == 58
+    far = [prose(rng, n, 10**6) for n in (127, 128, 200, 255, 256, 33_000, 50_000, 70_000)]
+    found = {(r.doc_id, r.start_word, r.end_word, r.match_start) for r in substring.repeated_passages(documents(spark, [*[f + " " + passage for f in far], passage])).collect()}
+    assert found == {(i, n, n + 60, 127) for i, n in zip(range(1, 9), (128, 200, 255, 256, 33_000, 50_000, 70_000, 0))}
     copies = documents(spark, [passage] * 6)
     assert sorted((r.doc_id, r.match_id) for r in substring.repeated_passages(copies).collect()) == [(i, 0) for i in range(1, 6)]
     assert substring.repeated_passages(documents(spark, [])).count() == 0
