@@ -94,9 +94,9 @@ def counted_tokens(own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
 
 
 def sampled(own: np.ndarray, percent: int, rate: int) -> np.ndarray:
-    """About one in `rate` of the tokens that a class deals out, alike for all its copies."""
-    dealt = counted_tokens(own, percent)[0]
-    return dealt[mix(dealt ^ own[0]) % np.uint64(rate) == 0].view(np.int64) if len(own) else own.view(np.int64)
+    """The tokens that a class deals out, of one in `rate` classes; by its least token, so alike for all its copies."""
+    chosen = len(own) and not mix(own[:1])[0] % np.uint64(rate)
+    return (counted_tokens(own, percent)[0] if chosen else own[:0]).view(np.int64)
 
 
 def _describe(words: int, percent: int, rate: int):
@@ -144,11 +144,12 @@ def _deal(words: int, percent: int, buckets: int, often: Broadcast):
                 fps = np.frombuffer(b"".join(held), "V16")
                 token = np.concatenate(dealt)
                 doc = np.repeat(np.arange(len(dealt)), [len(x) for x in dealt])
-                hot = np.isin(token, often.value)
-                part = (fps.view([("a", "<u8"), ("b", "<u8")])["a"] % np.uint64(buckets)).astype(np.int64)
-                for chosen, bucket in ((~hot, (mix(token) % np.uint64(buckets)).astype(np.int64)), (hot, part[doc])):
-                    if chosen.any():
-                        yield packed(fps, bucket[chosen], doc[chosen], token[chosen], bool(hot[chosen][0]))
+                if len(often.value) and (hot := np.isin(token, often.value)).any():
+                    part = (fps.view([("a", "<u8"), ("b", "<u8")])["a"] % np.uint64(buckets)).astype(np.int64)
+                    yield packed(fps, part[doc[hot]], doc[hot], token[hot], True)
+                    doc, token = doc[~hot], token[~hot]
+                if len(token):
+                    yield packed(fps, (mix(token) % np.uint64(buckets)).astype(np.int64), doc, token, False)
 
     return run
 
@@ -213,9 +214,9 @@ def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, many, token, df = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate(([("a", "<u8"), ("b", "<u8")], np.uint32, np.uint64, np.uint32)))
         unique, code = np.unique(fps, return_inverse=True)
         doc = np.repeat(code.ravel(), many)
-        order = np.lexsort((token, doc))
+        order = np.lexsort((token, doc)) if (df == UNCOUNTED).any() else np.argsort(doc, kind="stable")
         doc, token, df = doc[order], token[order], df[order]
-        fresh = np.concatenate([[True], (np.diff(doc) != 0) | (token[1:] != token[:-1])])  # hot tokens of copies
+        fresh = np.concatenate([[True], (np.diff(doc) != 0) | (token[1:] != token[:-1])])  # hot tokens of copies come again
         doc, pairs = doc[fresh], np.stack([token[fresh], df[fresh].astype(np.uint64)], axis=1)
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         keys = unique.tobytes()
@@ -459,15 +460,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, by_tokens: bool) -> DataFrame:
     """Rows of tiles with several labels in all pairs of blocks (i, j) that can hold pairs with different labels: rows
-    of the tile's most frequent label are in blocks after the others' and meet only these."""
+    of the tile's most frequent label are in blocks after the others' and meet only these. Tiles of one block are not dealt."""
     by_label = rows.groupBy("token", "band", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     top = F.max_by(F.struct("label", "rows", "tokens"), F.struct("rows", "label")).alias("top")
     tiles = by_label.groupBy("token", "band").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), top).where("labels > 1")
-    tiles = tiles.select("token", "band", F.col("top.label").alias("most"), _in_blocks(F.col("rows") - F.col("top.rows"), (F.col("tokens") - F.col("top.tokens")) * int(by_tokens)).alias("few"), _in_blocks(F.col("top.rows"), F.col("top.tokens") * int(by_tokens)).alias("many"))
+    tiles = tiles.select("token", "band", F.col("top.label").alias("most"), _in_blocks(F.col("rows") - F.col("top.rows"), (F.col("tokens") - F.col("top.tokens")) * int(by_tokens)).alias("few"), _in_blocks(F.col("top.rows"), F.col("top.tokens") * int(by_tokens)).alias("many"), (_in_blocks(F.col("rows"), F.col("tokens") * int(by_tokens)) == 1).alias("single"))
     frequent, draw = F.col("label") == F.col("most"), F.xxhash64("fp")
     rows = rows.join(tiles, ["token", "band"])
-    rows = rows.withColumn("block", F.when(frequent, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(frequent, 0).otherwise(F.col("many")))))
+    rows = rows.withColumn("block", F.when(F.col("single"), 0).when(frequent, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("single"), 0).otherwise(F.col("few") - 1 + F.when(frequent, 0).otherwise(F.col("many"))))))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
