@@ -407,8 +407,9 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     able = few.join(per_class, "fp").where(F.col("n_region") - F.octet_length("shared") / 16 < prefix).select("fp", "n", "n_region", "shared")
     tiles = cut(able.mapInPandas(_tiles(percent), "token long, band int, home boolean, fp binary, n long"))
 
-    sizes = tiles.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("homes")).where("rows > 1 and homes").drop("homes")
+    sizes = tiles.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("homes"), (_in_blocks(F.count("*"), F.sum("n")) > 1).alias("large")).where("rows > 1 and homes").drop("homes")
     tiles = cut(tiles.join(sizes, ["token", "band"]))
+    large = tiles.where("large").limit(1).count() > 0
     needed = cut(tiles.select("fp").distinct())
     reps = needed.join(per_class, "fp").select("fp", F.col("rep").alias("rep_id"))
     if needed.count() <= MOST_BROADCAST:  # reps has as many rows
@@ -420,22 +421,26 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     largest, smallest = F.max(F.struct("rows", "token")), F.min(F.struct("rows", "token"))
     done, label = [], None
     for turn, chosen_tile in enumerate([] if every_link else [largest, largest, smallest]):
-        rows = _labelled(tiles, label)
-        rows = rows.join(rows.groupBy("fp").agg(chosen_tile.alias("top")).select("fp", F.col("top.token").alias("token")), ["fp", "token"], "left_semi")
-        blocks = _blocks(rows).where(f"blocks > {int(turn == 1)}")  # the second turn deals large tiles anew
-        if turn == 1 and not blocks.limit(1).count():
+        if turn == 1 and not large:  # this turn deals large tiles anew
             continue
-        rows = rows.join(blocks, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
+        rows = _labelled(tiles if turn != 1 else tiles.where("large"), label)
+        rows = rows.join(rows.groupBy("fp").agg(chosen_tile.alias("top")).select("fp", F.col("top.token").alias("token")), ["fp", "token"], "left_semi")
+        rows = rows.join(_blocks(rows), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
         rows = rows.select(*KEYS[:2], F.col("block").alias("i"), F.col("block").alias("j"), *OWN).join(sets, "fp")
         done.append(cut(_linked(rows, percent, every_link)))
         label = components(reduce(DataFrame.unionByName, done)).select(F.col("node").alias("fp"), "label")
     rows = _labelled(tiles, label)
-    open_ = _dealt(rows, by_tokens=False).join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
+    small_tiles = rows.where("not large") if large else rows
+    open_ = small_tiles.join(_blocks(small_tiles).drop("blocks"), ["token", "band"]).withColumns({c: F.lit(0) for c in ("block", "i", "j")}).select(*KEYS, *OWN)
+    if large:
+        open_ = open_.unionByName(_dealt(rows.where("large"), by_tokens=False).select(*KEYS, *OWN))
+    open_ = open_.join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
     maybe = cut(open_.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=False), "a binary, b binary, token long, band int"))
     sparse = maybe.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done.append(cut(_verified(sparse, sets, percent)))
     dense = maybe.where("b is null").select("token", "band", F.col("a").alias("fp")).distinct()
-    done.append(cut(_linked(_dealt(rows.join(dense, ["token", "band", "fp"], "left_semi"), by_tokens=True).join(sets, "fp"), percent, every_link)))
+    if dense.limit(1).count():
+        done.append(cut(_linked(_dealt(rows.join(dense, ["token", "band", "fp"], "left_semi"), by_tokens=True).join(sets, "fp"), percent, every_link)))
     return reduce(DataFrame.unionByName, done).groupBy("a", "b").agg(F.first("shared").alias("shared"))
 
 
