@@ -278,19 +278,18 @@ def _compare(percent: int, every_link: bool, exact: bool):
 
     Rows come sorted by group; a group has at most about two blocks of rows. Equal labels aren't compared."""
 
-    def linked(g: pd.DataFrame) -> list[tuple]:
-        g = g.sort_values("n", kind="stable")
-        n, home, fp, block = (g[c].to_numpy() for c in ("n", "home", "fp", "block"))
-        label = np.unique(g["label"].to_numpy(), return_inverse=True)[1].ravel()
-        cross = g["i"].iloc[0] != g["j"].iloc[0]
-        sigs = [np.frombuffer(x, np.uint64) for x in g["sig"]]
+    def linked(g: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.argsort(g["n"], kind="stable")
+        n, home, fp, block, label = (g[c][order] for c in ("n", "home", "fp", "block", "label"))
+        cross = g["i"][0] != g["j"][0]
+        sigs = [np.frombuffer(x, np.uint64) for x in g["sig"][order]]
         wide = {}  # signatures narrowed to a width, for all classes of at least that width
         if exact:
-            code = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in g["tokens"]]), return_inverse=True)[1].ravel()
+            code = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in g["tokens"][order]]), return_inverse=True)[1].ravel()
             start = np.concatenate([[0], np.cumsum(n)])
             member = np.zeros(int(code.max()) + 1, bool)
-        out, marked = [], np.zeros(len(g), bool)
-        for k in range(len(g) - 1):
+        out, marked = [], np.zeros(len(n), bool)
+        for k in range(len(n) - 1):
             last = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
             if last <= k + 1:
                 continue
@@ -314,7 +313,7 @@ def _compare(percent: int, every_link: bool, exact: bool):
                 continue
             if not exact:
                 marked[k] = marked[other] = True
-                if len(out) <= DENSE * len(g):
+                if len(out) <= DENSE * len(n):
                     out += [(fp[k], x) for x in fp[other]]
                 continue
             member[code[start[k] : start[k + 1]]] = True
@@ -329,9 +328,9 @@ def _compare(percent: int, every_link: bool, exact: bool):
                         label[label == label[m]] = label[k]
         if exact:
             return out
-        if len(out) <= DENSE * len(g):
+        if len(out) <= DENSE * len(n):
             return [(x, y, None, None) for x, y in out]
-        token, band = int(g["token"].iloc[0]), int(g["band"].iloc[0])
+        token, band = int(g["token"][0]), int(g["band"][0])
         return [(x, None, token, band) for x in fp[marked]]
 
     def table(rows: list) -> pd.DataFrame:
@@ -340,16 +339,24 @@ def _compare(percent: int, every_link: bool, exact: bool):
         # whole numbers next to nulls must not become floats
         return pd.DataFrame({n: pd.Series(c, dtype="Int64" if i > 1 else object) for i, (n, c) in enumerate(zip(names, columns, strict=True))})
 
+    def of_groups(rows: pd.DataFrame) -> list[tuple]:
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        columns["label"] = np.unique(columns["label"], return_inverse=True)[1].ravel()
+        fresh = np.zeros(len(rows), bool)
+        for key in KEYS:
+            fresh[1:] |= columns[key][1:] != columns[key][:-1]
+        edges = [0, *np.flatnonzero(fresh).tolist(), len(rows)]
+        return [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in linked({c: v[a:b] for c, v in columns.items()})]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, keys = None, ["token", "band", "i", "j"]
+        rest = None
         for batch in batches:
             rest = batch if rest is None or not len(rest) else pd.concat([rest, batch])
-            open_ = (rest[keys] == rest[keys].iloc[-1]).all(axis=1)
+            open_ = (rest[KEYS] == rest[KEYS].iloc[-1]).all(axis=1)
             done, rest = rest[~open_], rest[open_]
-            out = [p for _, g in done.groupby(keys, sort=False) if len(g) > 1 for p in linked(g)]
-            if out:
+            if len(done) and (out := of_groups(done)):
                 yield table(out)
-        if rest is not None and len(rest) > 1 and (out := linked(rest)):
+        if rest is not None and len(rest) > 1 and (out := of_groups(rest)):
             yield table(out)
 
     return run
