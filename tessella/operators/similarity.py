@@ -5,15 +5,20 @@ place 0, j - w) holds the same word as j, and by 63 if i + w and j + w (or i - w
 with any strength count; the diagonal always does, with strength 252.
 
 The join is on (text, word, neighbour), not on (text, word) alone, so frequent words meet only places with the same
-context; places whose own neighbour repeats the word are joined by word, and there are few. Totals need no join."""
+context; places whose own neighbour repeats the word are joined by word, and there are few. Totals need neither a join
+nor a shuffle: all groups of a text lie within its row."""
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.lazy import lazy_pandas_udf
+
 STEP = 63
 SIDES = ("n1", "n2", "p1", "p2")
 
@@ -46,14 +51,29 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return found.groupBy(key, "i", "j").agg(F.sum("part").alias("strength"))
 
 
+def _total(words: list[str]) -> tuple[int, int]:
+    """(number of words, summed strength): a group of n places with one word and neighbour has n (n - 1) pairs."""
+    known, near, own = Counter(words), 0, 0
+    # neighbours one and two to the right, then to the left, where place 0 is no neighbour
+    for here, there in ((words, words[1:]), (words, words[2:]), (words[2:], words[1:]), (words[3:], words[1:])):
+        for (word, other), n in Counter(zip(here, there)).items():
+            near += n * (n - 1)
+            if word == other:
+                own += n * (known[word] - 1)
+    return len(words), STEP * (near + own)
+
+
+@lazy_pandas_udf("struct<n_words:bigint,strength:bigint>")
+def _totals(words: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_total(list(w)) for w in words], columns=["n_words", "strength"])
+
+
 def similarity_totals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, strength): the sum of similar_pairs' strengths by text, in linear time: group sizes give the
-    numbers of pairs."""
-    rows = places(docs, key, text)
-    spread = rows.select(key, "i", "word", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("near")) for s in SIDES], F.struct(F.lit("own").alias("side"), F.lit(None).cast("string").alias("near")))).alias("x"), (_own()).alias("own"))
-    groups = spread.where("x.side = 'own' OR x.near IS NOT NULL").groupBy(key, "word", "x.side", "x.near").agg(F.count("*").alias("n"), F.sum("own").alias("own"))
-    part = F.when(F.col("side") == "own", F.col("own") * (F.col("n") - 1)).otherwise(F.col("n") * (F.col("n") - 1)) * STEP
-    return groups.groupBy(key).agg(F.sum(F.when(F.col("side") == "own", F.col("n"))).alias("n_words"), F.sum(part).alias("strength"))
+    """(key, n_words, strength) of each row with a text: the sum of similar_pairs' strengths within the text, in linear
+    time, as group sizes give the numbers of pairs. Rows that share a key are texts of their own."""
+    words = F.split(F.lower(text), "[^a-z']+", -1)
+    rows = docs.where(F.col(text).isNotNull()).select(key, _totals(words).alias("tsl_total"))
+    return rows.select(key, "tsl_total.n_words", "tsl_total.strength")
 
 
 def cell_size(n_words) -> Column:

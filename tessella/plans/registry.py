@@ -48,7 +48,14 @@ def dyn1(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("strength").cast("long").alias("strength"))
 
 
-@query("dyn2_edit_distance")
+@query(
+    "dyn2_edit_distance",
+    """WITH RECURSIVE r(k, a, b, i, best) AS (
+  SELECT p_partkey, p_name, p_type, 0, list_transform(range(0, length(p_type) + 1), lambda x: 0::BIGINT) FROM part
+  UNION ALL SELECT k, a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda m: greatest(best[m + 1], CASE WHEN m > 0 AND a[i + 1] = b[m] THEN best[m] + 1 ELSE 0 END))))
+  FROM r WHERE i < length(a))
+SELECT k AS p_partkey, best[-1] AS lcs, length(a) + length(b) - 2 * best[-1] AS distance FROM r WHERE i = length(a)""",
+)
 def dyn2(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("p_name"), F.col("p_type")
     return load(spark, sf, "part").select("p_partkey", strings.common_subsequence(a, b).cast("long").alias("lcs"), strings.edit_distance(a, b).cast("long").alias("distance"))
@@ -59,7 +66,12 @@ def dyn4(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", strings.common_subsequence_text(F.col("p_name"), F.col("p_type")).alias("lcs"))
 
 
-@query("dyn5_subset_counts")
+@query(
+    "dyn5_subset_counts",
+    """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey AS k, CAST(l_quantity AS INT) AS q FROM lineitem), s(k, top, total) AS (
+  SELECT DISTINCT l_orderkey, 0, 0 FROM lineitem UNION ALL SELECT s.k, q, total + q FROM s JOIN i ON s.k = i.k AND q > top WHERE total + q <= 50)
+SELECT k AS l_orderkey, any_value(n) AS n_items, count(*) FILTER (total = 50) AS ways FROM s JOIN (SELECT k, count(*) AS n FROM i GROUP BY k) USING (k) GROUP BY k""",
+)
 def dyn5(spark: SparkSession, sf: str) -> DataFrame:
     sizes = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_quantity").cast("int"))).alias("items"))
     return sizes.select("l_orderkey", F.size("items").cast("long").alias("n_items"), numbers.subset_counts(F.col("items"), 50).alias("ways"))
@@ -240,7 +252,12 @@ def num1(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("l_orderkey", numbers.magic_triangle(F.col("a"), F.lit(60)).alias("possible"))
 
 
-@query("num4_cycles")
+@query(
+    "num4_cycles",
+    """WITH RECURSIVE c AS (SELECT count(*) AS n, CASE WHEN count(*) % 7 <> 0 THEN 7 ELSE 11 END AS f FROM part), w(node, here, steps) AS (
+  SELECT p_partkey, (p_partkey * f + 3) % n, 1::BIGINT FROM part, c UNION ALL SELECT node, (here * f + 3) % n, steps + 1 FROM w, c WHERE here <> node)
+SELECT node, min(here) AS cycle, max(steps) AS length FROM w GROUP BY node""",
+)
 def num4(spark: SparkSession, sf: str) -> DataFrame:
     parts = load(spark, sf, "part")
     n = parts.count()
@@ -334,17 +351,17 @@ def mat5(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("vec_id", F.to_json("r.inverse").alias("inverse"), "r.error", "det8")
 
 
-@query(
-    "sig1_spectrum",
-    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), k AS (SELECT vec_id, e, unnest(range(0, len(e))) AS k FROM e),
+_SPECTRUM = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), k AS (SELECT vec_id, e, unnest(range(0, len(e))) AS k FROM e),
 s AS (SELECT vec_id, k, list_sum(list_transform(range(0, len(e)), lambda n: e[n + 1] * cos(k * n * 2 * pi() / len(e)))) AS re, list_sum(list_transform(range(0, len(e)), lambda n: e[n + 1] * sin(k * n * 2 * pi() / len(e)))) AS im FROM k)
-SELECT vec_id, CAST(k AS INT) AS k, round(sqrt(re * re + im * im), 3) AS magnitude FROM s""",
-)
+SELECT vec_id, CAST(k AS INT) AS k, round(sqrt(re * re + im * im), 3) AS magnitude FROM s"""
+
+
+@query("sig1_spectrum", _SPECTRUM)
 def sig1(spark: SparkSession, sf: str) -> DataFrame:
     return arrays.spectrum(_doubles(spark, sf), "vec_id", "e").select("vec_id", "k", arrays.magnitude(F.col("re"), F.col("im")).alias("magnitude"))
 
 
-@query("sig2_fast_spectrum")
+@query("sig2_fast_spectrum", _SPECTRUM)  # 64 numbers, a power of two: both transforms agree
 def sig2(spark: SparkSession, sf: str) -> DataFrame:
     r = _doubles(spark, sf).select("vec_id", arrays.fast_spectrum(F.col("e")).alias("s"))
     return r.select("vec_id", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("k", "z")).select("vec_id", "k", arrays.magnitude(F.col("z.re"), F.col("z.im")).alias("magnitude"))
@@ -404,7 +421,14 @@ def img2(spark: SparkSession, sf: str) -> DataFrame:
     return image_pipeline.run(_pixels(spark, sf), "vec_id", ["bitwise(op=not)", "mask(x=2, y=2, w=4, h=4)", "decimate()", "threshold(kind=binary, at=100)"]).select("vec_id", "x", "y", "v")
 
 
-@query("img15_contours")
+@query(
+    "img15_contours",
+    f"""WITH RECURSIVE base AS ({_PX} SELECT vec_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM px WHERE v > 127), r(vec_id, x, y, p) AS (
+  SELECT vec_id, x, y, y * 8 + x FROM base
+  UNION SELECT b.vec_id, b.x, b.y, r.p FROM r JOIN base b ON b.vec_id = r.vec_id AND abs(b.x - r.x) + abs(b.y - r.y) = 1
+), a AS (SELECT vec_id, x, y, min(p) AS area FROM r GROUP BY ALL), boxes AS (SELECT vec_id, area, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM a GROUP BY ALL)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, x0, y0, x1, y1) - 1 AS INT) AS label, n, x0, y0, x1, y1 FROM boxes""",
+)
 def img15(spark: SparkSession, sf: str) -> DataFrame:
     return images.contours(_pixels(spark, sf).withColumn("v", images.threshold(F.col("v"))), "vec_id")
 
