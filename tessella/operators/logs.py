@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 # Token kinds in order of precedence, and severities.
 TOKEN_KINDS = (
     ("NUMBER", r"[0-9]+"),
@@ -49,18 +51,21 @@ def joined_tokens(text: Column, separator: str = " ") -> Column:
 
 def severity(level: Column) -> Column:
     """struct<level, name, value>; other levels are Unknown, 0."""
-    name, value = F.lit("Unknown"), F.lit(0)
-    for k, (n, v) in SEVERITIES.items():
-        name, value = F.when(level == k, n).otherwise(name), F.when(level == k, v).otherwise(value)
-    return F.struct(level.alias("level"), name.alias("name"), value.alias("value"))
+    # maps, as a pushed filter would evaluate the level in each branch of a CASE
+    names, values = (F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v[i])]) for i in (0, 1))
+    found = lambda m, other: F.coalesce(F.try_element_at(m, level), F.lit(other))
+    return F.struct(level.alias("level"), found(names, "Unknown").alias("name"), found(values, 0).alias("value"))
 
 
 def parse_mongo(lines: DataFrame, column: str = "value", timestamp: str = "iso8601-local", fail_fast: bool = False) -> DataFrame:
     """The lines with date, time, offset, severity, component, context, message and `corrupt` (the line, if it isn't a
     record). fail_fast raises at the first such line."""
     pattern = CTIME if timestamp == "ctime" else MONGO
-    part = lambda i: F.regexp_extract(F.col(column), pattern, i)
-    good = F.col(column).rlike(pattern)
+    # one replacement captures all groups: of the first ten none holds a line break, the context holds no bracket
+    captured = F.regexp_replace(column, pattern, "\n".join(f"${i}" for i in range(1, 12)) + "]$12")
+    split = lines.select("*", F.col(column).rlike(pattern).alias("tsl_good"), F.split(captured, "\n", 11).alias("tsl_parts"))
+    good, part = F.col("tsl_good"), lambda i: F.get("tsl_parts", i - 1)
+    context = F.substring_index(part(11), "]", 1)
     if timestamp == "iso8601-utc":
         good &= part(8) == "Z"
     elif timestamp == "iso8601-local":
@@ -68,15 +73,15 @@ def parse_mongo(lines: DataFrame, column: str = "value", timestamp: str = "iso86
     if fail_fast:
         good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not a log record: "), F.col(column))).cast("boolean"))
     keep = lambda c: F.when(good, c)
-    return lines.select(
-        "*",
+    return split.select(
+        *[F.col(f"`{c}`") for c in lines.columns],
         keep(F.array(part(1), part(2), part(3))).alias("date"),
         keep(F.array(part(4), part(5), part(6), part(7))).alias("time"),
         keep(part(8)).alias("offset"),
         keep(severity(part(9))).alias("severity"),
         keep(F.when(part(10) == "-", "UNKNOWN").otherwise(part(10))).alias("component"),
-        keep(joined_tokens(part(11), "")).alias("context"),
-        keep(joined_tokens(part(12))).alias("message"),
+        keep(joined_tokens(context, "")).alias("context"),
+        keep(joined_tokens(F.substring(part(11), F.length(context) + 2, F.length(part(11))))).alias("message"),
         F.when(~good, F.col(column)).alias("corrupt"),
     )
 
@@ -214,15 +219,34 @@ def node_filter(wanted: dict) -> Column:
     return out
 
 
-def find_logs(spark: SparkSession, path: str, wanted: dict | None = None, parser: str = "mongo", middle_start: bool = False) -> DataFrame:
-    """Scan, parse and filter a log file or folder. middle_start drops each file's first line, which may be a part."""
-    if parser.lower() == "node":
-        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_num", "value"))
-        rows = parse_node(entries(text.withColumn("line_num", F.col("line_num") + 1), "file", "line_num"))
-        return rows.where(node_filter(wanted)) if wanted else rows
-    if middle_start:
-        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_num", "value")).where("line_num > 0 AND value <> ''").withColumn("line_num", F.col("line_num") + 1)
+#: Up to so many blocks (a row of three numbers and a path each) the lines before each block are broadcast.
+MOST_BLOCKS = 500_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_num, value) of text files, lines numbered from 1. A file is read in blocks by many tasks: each
+    block's lines are counted, the counts summed in the blocks' order, and only these sums meet the lines. If the files or
+    the way they are split change between both reads, the query fails."""
+    block = ["file", "start", "task"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    counts = lines.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut(counts.select(*block, "first", "n", before.alias("before")))
+    place = F.col("at") - F.col("first")  # ids within a block are consecutive
+    line_num = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("files were split anew while their lines were numbered")).cast("long"))
+    return lines.join(F.broadcast(sums) if sums.count() <= MOST_BLOCKS else sums, block, "left").select("file", line_num.alias("line_num"), "value")
+
+
+def find_logs(spark: SparkSession, path: str, wanted: dict | None = None, parser: str = "mongo", middle_start: bool = False, numbered: bool = False) -> DataFrame:
+    """Scan, parse and filter a log file or folder. middle_start drops each file's first line, which may be a part.
+    Node entries always carry file and line_num (from 1), records of the other format with numbered, or if one of both
+    arguments needs it: lines are then read twice."""
+    node = parser.lower() == "node"
+    if not (node or numbered or middle_start or (wanted or {}).get("line_num")):
+        rows = parse_mongo(spark.read.text(path))
     else:
-        rows = spark.read.text(path)
-    rows = parse_mongo(rows)
-    return rows.where(mongo_filter(wanted)) if wanted else rows
+        lines = numbered_lines(spark, path)
+        rows = parse_node(entries(lines, "file", "line_num")) if node else parse_mongo(lines.where("line_num > 1 AND value <> ''") if middle_start else lines)
+    return rows.where((node_filter if node else mongo_filter)(wanted)) if wanted else rows

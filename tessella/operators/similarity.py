@@ -10,6 +10,7 @@ nor a shuffle: all groups of a text lie within its row."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import reduce
 
@@ -64,15 +65,14 @@ def _total(words: list[str]) -> tuple[int, int]:
 
 
 @lazy_pandas_udf("struct<n_words:bigint,strength:bigint>")
-def _totals(words: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_total(list(w)) for w in words], columns=["n_words", "strength"])
+def _totals(lowered: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_total(re.split(r"[^a-z']+", t)) for t in lowered], columns=["n_words", "strength"])
 
 
 def similarity_totals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, strength) of each row with a text: the sum of similar_pairs' strengths within the text, in linear
     time, as group sizes give the numbers of pairs. Rows that share a key are texts of their own."""
-    words = F.split(F.lower(text), "[^a-z']+", -1)
-    rows = docs.where(F.col(text).isNotNull()).select(key, _totals(words).alias("tsl_total"))
+    rows = docs.where(F.col(text).isNotNull()).select(key, _totals(F.lower(text)).alias("tsl_total"))
     return rows.select(key, "tsl_total.n_words", "tsl_total.strength")
 
 

@@ -236,3 +236,34 @@ def test_sink(spark, tmp_path):
         stream.processAllAvailable()
         stream.stop()
     assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [("a", "q"), ("b", "q")]
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    folder = tmp_path / "a data"
+    folder.mkdir()
+    want = []
+    for name, n in (("x.log", 700), ("y.log", 3)):
+        lines = [f"2024-01-02T03:04:05.006-0000 I NETWORK [conn{i}] {'word ' * (i % 9)}{i}" for i in range(n)]
+        (folder / name).write_text("\n".join(lines))
+        want += [(name, i + 1, f"conn{i}") for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = logs.find_logs(spark, str(folder), numbered=True)
+        assert sorted((r.file.rsplit("/", 1)[1], r.line_num, r.context) for r in found.collect()) == want
+        one = logs.find_logs(spark, str(folder), {"line_num": 2}).collect()
+        assert sorted(r.context for r in one) == ["conn1", "conn1"]
+        assert logs.find_logs(spark, str(folder), middle_start=True).count() == 701
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_similarity_totals(spark):
+    rows = [(1, "a b a b, a c"), (2, ""), (2, "it's it's it's"), (None, "Aa aa 1 b"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for key, text in rows:
+        one = spark.createDataFrame([(key or 0, text)], "doc_id int, text string")
+        pairs = similarity.similar_pairs(one).agg({"strength": "sum"}).first()[0] or 0
+        got = similarity.similarity_totals(one).collect()
+        assert [r.strength for r in got] == ([] if text is None else [pairs])
+    assert similarity.similarity_totals(docs).count() == 4
