@@ -104,16 +104,17 @@ def severity_filter(level: Column, wanted: dict) -> Column:
 
 
 def mongo_filter(wanted: dict) -> Column:
-    """A search filter as one Column: date and time match by prefix, other fields exactly; missing or empty: any."""
+    """A search filter as one Column: date and time match by prefix, other fields exactly; missing or empty: any. What
+    needs few pieces of a line comes first, as a pushed filter captures the line anew for each piece."""
     out = F.lit(True)
-    for key in ("date", "time"):
-        if wanted.get(key) and wanted[key][0]:
-            out &= _prefix(F.col(key), wanted[key])
+    if wanted.get("severity"):
+        out &= severity_filter(F.col("severity"), wanted["severity"])
     for key in ("line_num", "component", "context"):
         if wanted.get(key):
             out &= F.col(key) == wanted[key]
-    if wanted.get("severity"):
-        out &= severity_filter(F.col("severity"), wanted["severity"])
+    for key in ("date", "time"):
+        if wanted.get(key) and wanted[key][0]:
+            out &= _prefix(F.col(key), wanted[key])
     return out
 
 
