@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import audio, decontam, exact, jaccard, mixing, pii, sharding, substring, tokens, toxicity, warc
+from tessella.llm import anchors, audio, decontam, exact, jaccard, mixing, pii, sharding, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_query,
     "op9_size_tiered_sharding": sharding.op9_query,
     "op10_personal_data": pii.op10_query,
+    "op11_vector_codes": anchors.op11_query,
     "op12_exact_dedup": exact.op12_query,
 }
 ORACLES = {
     "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op5_warc_revisits": warc.OP5_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
+    "op11_vector_codes": anchors.OP11_SQL,
     "op12_exact_dedup": exact.OP12_SQL,
 }
