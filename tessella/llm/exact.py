@@ -61,7 +61,8 @@ def frequent(keys: DataFrame, share: float = SHARE, tracked: int = TRACKED) -> D
     least = max(2, int(keys.count() * share))
     code = F.xxhash64("digest")
     sketches = keys.groupBy((F.spark_partition_id() % MERGERS).alias("part")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {tracked})").alias("sketch"))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped, as a sum without keys also makes a sketch of each empty partition, which can't be merged
+    merged = sketches.groupBy((F.col("part") < 0).alias("one")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     # counts are too high by at most half a share, so twice as many digests cover all that have the share
     tops = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {min(tracked, int(2 / share))})")).alias("top"))
     candidates = tops.where(F.col("top.count") >= least).select(F.col("top.item").alias("code"))

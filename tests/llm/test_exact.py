@@ -57,6 +57,19 @@ def test_frequent_digests_are_counted_exactly(spark):
         exact.frequent(keys, 0.01, 64)
 
 
+def test_many_empty_partitions(spark):
+    rows = corpus(6)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = exact.copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=str) == brute(rows)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_null_and_repeated_ids_and_clashing_columns(spark):
     rows = [(None, "x y", 1), (None, "xy", 2), (7, "x  y", 3), (7, "x  y", 4), (7, " xy ", 5), (None, "only", 6), (1, "q", 7), (1, "q", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
