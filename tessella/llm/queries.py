@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import anchors, audio, decontam, exact, jaccard, mixing, pii, sharding, substring, tokens, toxicity, warc
+from tessella.llm import anchors, audio, decontam, dualtree, exact, jaccard, mixing, pii, sharding, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_personal_data": pii.op10_query,
     "op11_vector_codes": anchors.op11_query,
     "op12_exact_dedup": exact.op12_query,
+    "op13_ranked_search": dualtree.op13_query,
 }
 ORACLES = {
     "op1_ngram_jaccard": jaccard.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_source_mixing": mixing.OP8_SQL,
     "op11_vector_codes": anchors.OP11_SQL,
     "op12_exact_dedup": exact.OP12_SQL,
+    "op13_ranked_search": dualtree.OP13_SQL,
 }
