@@ -6,10 +6,16 @@ empty, entries without an error are records too, and a filter's missing key is n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.session import cut
+from tessella.sources import logfile
 
 # Token kinds in order of precedence, and severities.
 TOKEN_KINDS = (
@@ -118,22 +124,63 @@ def mongo_filter(wanted: dict) -> Column:
     return out
 
 
+def wanted_pieces(wanted: dict) -> dict[str, set[str]]:
+    """What a filter asks of the pieces of a line, as they are written: all records that it lets through have them."""
+    out: dict[str, set[str]] = {}
+    for key, names in (("date", ("year", "month", "day")), ("time", ("hour", "minute", "second", "fraction"))):
+        if wanted.get(key) and wanted[key][0]:
+            out |= {name: {str(x)} for name, x in zip(names, wanted[key], strict=False)}
+    if severity := wanted.get("severity"):
+        key = next((k for k in ("level", "name", "value") if severity.get(k) is not None), None)
+        if key == "level":
+            out["level"] = {severity[key]}
+        elif found := {level for level, (name, value) in SEVERITIES.items() if severity.get(key) in (name, value)}:
+            out["level"] = found  # other names and values are those of unknown levels
+    if wanted.get("component"):
+        out["component"] = {wanted["component"]}
+    return out
+
+
+def search(lines: DataFrame, wanted: dict | None, column: str = "value", timestamp: str = "iso8601-local") -> DataFrame:
+    """The records of lines that a filter lets through. A line is tested by one anchored pattern, made from the filter, before
+    it is taken apart, so lines that the filter rejects cost no captures."""
+    if not wanted:
+        return parse_mongo(lines, column, timestamp)
+    pattern = logfile.line_pattern(wanted_pieces(wanted), timestamp == "ctime", "")
+    likely = F.col(column).rlike(f"^{pattern}") if pattern else F.lit(False)
+    return parse_mongo(lines.where(likely), column, timestamp).where(mongo_filter(wanted))
+
+
+def scan_logs(spark: SparkSession, path: str, wanted: dict | None = None, timestamp: str = "iso8601-local", range_bytes: int = 64 << 20) -> DataFrame:
+    """The records of files read by the logfile source, with file and `at` (the place of their lines): date and time, severity
+    and component of the filter are pushed into it."""
+    logfile.register(spark)
+    rows = spark.read.format("logfile").option("timestamp", timestamp).option("rangebytes", range_bytes).load(path)
+    for name, values in wanted_pieces(wanted or {}).items():
+        rows = rows.where(F.col(name).isin(*sorted(values)))
+    there = F.col("corrupt").isNull()
+    keep = lambda c: F.when(there, c)
+    records = rows.select(
+        "file",
+        "at",
+        keep(F.array("year", "month", "day")).alias("date"),
+        keep(F.array("hour", "minute", "second", "fraction")).alias("time"),
+        F.col("zone").alias("offset"),
+        keep(severity(F.col("level"))).alias("severity"),
+        "component",
+        keep(joined_tokens(F.col("context"), "")).alias("context"),
+        keep(joined_tokens(F.col("message"))).alias("message"),
+        "corrupt",
+    )
+    return records.where(mongo_filter(wanted)) if wanted else records
+
+
 def as_json(records: DataFrame, *columns: str) -> DataFrame:
     """One JSON text per record; severities as `(I, 2, Informational)`."""
     shown = [F.format_string("(%s, %d, %s)", F.col(f"{c}.level"), F.col(f"{c}.value"), F.col(f"{c}.name")).alias(c) if c == "severity" else F.col(c) for c in columns]
     return records.select(F.to_json(F.struct(*shown)).alias("json"))
 
 
-def entries(lines: DataFrame, key: str, order: str, column: str = "value") -> DataFrame:
-    """(key, entry_num, line_num, entry): lines of one text put together; an entry starts at a line with a date, what
-    stands before the first one is dropped. Windows run within a text."""
-    within = Window.partitionBy(key).orderBy(order)
-    started = F.col(column).rlike(r"^[0-9]+-[0-9]+-[0-9]+ ").cast("int")
-    rows = lines.withColumn("entry_num", F.sum(started).over(within)).where("entry_num > 0")
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(column).alias("line"))))
-    return rows.groupBy(key, "entry_num").agg(F.min(order).alias("line_num"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("entry"))
-
-
 def parse_node(df: DataFrame, column: str = "entry") -> DataFrame:
     """Entries with date, time, level, status, message and error.
 
@@ -224,30 +271,136 @@ def node_filter(wanted: dict) -> Column:
 MOST_BLOCKS = 500_000
 
 
+BLOCK = ("file", "start", "task")
+
+
+def _block_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the block they are read in, and `at`: consecutive numbers within a block, whose order is that of lines."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+
+
+def _few(blocks: DataFrame) -> DataFrame:
+    return F.broadcast(blocks) if blocks.count() <= MOST_BLOCKS else blocks
+
+
+def _place() -> Column:
+    """A line's place within its block, from 0; an error if the block isn't the one that was counted."""
+    place = F.col("at") - F.col("first")
+    return F.when((place >= 0) & (place < F.col("n")), place).otherwise(F.raise_error(F.lit("files were split anew while their lines were numbered")).cast("long"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_num, value) of text files, lines numbered from 1. A file is read in blocks by many tasks: each
     block's lines are counted, the counts summed in the blocks' order, and only these sums meet the lines. If the files or
     the way they are split change between both reads, the query fails."""
-    block = ["file", "start", "task"]
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    counts = lines.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    lines = _block_lines(spark, path)
+    counts = lines.groupBy(*BLOCK).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = cut(counts.select(*block, "first", "n", before.alias("before")))
-    place = F.col("at") - F.col("first")  # ids within a block are consecutive
-    line_num = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("files were split anew while their lines were numbered")).cast("long"))
-    return lines.join(F.broadcast(sums) if sums.count() <= MOST_BLOCKS else sums, block, "left").select("file", line_num.alias("line_num"), "value")
-
-
-def find_logs(spark: SparkSession, path: str, wanted: dict | None = None, parser: str = "mongo", middle_start: bool = False, numbered: bool = False) -> DataFrame:
+    sums = cut(counts.select(*BLOCK, "first", "n", before.alias("before")))
+    return lines.join(_few(sums), list(BLOCK), "left").select("file", (F.col("before") + _place() + 1).alias("line_num"), "value")
+
+
+#: A line with which an entry starts.
+ENTRY_START = r"^[0-9]+-[0-9]+-[0-9]+ "
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, start, task, at, value) to the entries that start in them: file, start, task, at, nth of its block, entry,
+    last (of its block). Lines before a block's first entry are left out."""
+    held: tuple | None = None  # block, at, nth, pieces: the entry that lines are added to
+    block, nth = None, 0
+
+    def whole(last: bool) -> pa.RecordBatch:
+        own, at, n, pieces = held
+        lines = pa.concat_arrays(pieces)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")
+        return batch_of([own[0]], [own[1]], [own[2]], [at], [n], text, [last])
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "start", "task", "at", "nth", "entry", "last"])
+
+    for batch in batches:
+        file, start, task, at, value = batch.columns
+        begins = pc.match_substring_regex(value, ENTRY_START)
+        first = [0] + [i + 1 for i in pc.indices_nonzero(pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))).to_pylist()] if len(batch) else []
+        for a, b in zip(first, [*first[1:], len(batch)], strict=True):  # a block's lines
+            own = (file[a].as_py(), start[a].as_py(), task[a].as_py())
+            if own != block:
+                if held:
+                    yield whole(True)
+                held, block, nth = None, own, 0
+            starts = [a + i for i in pc.indices_nonzero(begins.slice(a, b - a)).to_pylist()]
+            if held and (n := (starts[0] if starts else b) - a):
+                held[3].append(value.slice(a, n))
+            if not starts:
+                continue
+            if held:
+                yield whole(False)
+            if len(starts) > 1:
+                ends = pa.array([s - starts[0] for s in starts], pa.int32())
+                texts = pc.binary_join(pa.ListArray.from_arrays(ends, value.slice(starts[0], starts[-1] - starts[0])), "\n")
+                n = len(texts)
+                yield batch_of([own[0]] * n, [own[1]] * n, [own[2]] * n, at.take(pa.array(starts[:-1])), range(nth + 1, nth + 1 + n), texts, [False] * n)
+            nth += len(starts)
+            held = (own, at[starts[-1]].as_py(), nth, [value.slice(starts[-1], b - starts[-1])])
+    if held:
+        yield whole(True)
+
+
+@contextmanager
+def _blocks_of(spark: SparkSession, size: int):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def file_entries(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
+    """(file, entry_num, line_num, entry): the lines of text files put together; an entry starts at a line with a date, what
+    stands before a file's first one is dropped.
+
+    A file is read in blocks by many tasks, and no block waits for another one: a block's task puts together the entries
+    that start in it. What stands before its first entry belongs to the last entry of the nearest earlier block that has
+    one; only these lines are shuffled, to where that entry is. Numbers come from sums over blocks. With block_bytes blocks are
+    of that size and the result is stored."""
+    if block_bytes:
+        with _blocks_of(spark, block_bytes):
+            return cut(file_entries(spark, path))
+    lines = _block_lines(spark, path)
+    starts = F.col("value").rlike(ENTRY_START)
+    counts = lines.groupBy(*BLOCK).agg(F.min("at").alias("first"), F.count("*").alias("n"), F.count_if(starts).alias("entries"), F.min(F.when(starts, F.col("at"))).alias("head_end"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    summed = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    owner = F.last(F.when(F.col("entries") > 0, F.col("start")), ignorenulls=True).over(before)
+    blocks = cut(counts.select("*", summed("n").alias("lines_before"), summed("entries").alias("entries_before"), owner.alias("owner")))
+    mine = _few(blocks)
+    found = lines.mapInArrow(_gathered, "file string, start long, task int, at long, nth long, entry string, last boolean").join(mine, list(BLOCK), "left")
+    rows = found.select("file", "start", "last", (F.col("entries_before") + F.col("nth")).alias("entry_num"), (F.col("lines_before") + _place() + 1).alias("line_num"), "entry")
+    heads = blocks.where("owner is not null and (head_end is null or head_end > first)")
+    if heads.isEmpty():
+        return rows.select("file", "entry_num", "line_num", "entry")
+    loose = lines.join(_few(heads.select(*BLOCK, "head_end", "owner")), list(BLOCK)).where("head_end is null or at < head_end")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "at", "value"))), lambda x: x["value"]), "\n")
+    rests = cut(loose.groupBy("file", F.col("owner").alias("start")).agg(joined.alias("rest")).withColumn("last", F.lit(True)))
+    small = rests.agg(F.coalesce(F.sum(F.length("rest")), F.lit(0))).first()[0] <= MOST_BLOCKS * 40
+    whole = F.when(F.col("rest").isNull(), F.col("entry")).otherwise(F.concat_ws("\n", "entry", "rest"))
+    return rows.join(F.broadcast(rests) if small else rests, ["file", "start", "last"], "left").select("file", "entry_num", "line_num", whole.alias("entry"))
+
+
+def find_logs(spark: SparkSession, path: str, wanted: dict | None = None, parser: str = "mongo", middle_start: bool = False, numbered: bool = False, block_bytes: int | None = None) -> DataFrame:
     """Scan, parse and filter a log file or folder. middle_start drops each file's first line, which may be a part.
     Node entries always carry file and line_num (from 1), records of the other format with numbered, or if one of both
     arguments needs it: lines are then read twice."""
-    node = parser.lower() == "node"
-    if not (node or numbered or middle_start or (wanted or {}).get("line_num")):
-        rows = parse_mongo(spark.read.text(path))
-    else:
-        lines = numbered_lines(spark, path)
-        rows = parse_node(entries(lines, "file", "line_num")) if node else parse_mongo(lines.where("line_num > 1 AND value <> ''") if middle_start else lines)
-    return rows.where((node_filter if node else mongo_filter)(wanted)) if wanted else rows
+    if parser.lower() == "node":
+        rows = parse_node(file_entries(spark, path, block_bytes))
+        return rows.where(node_filter(wanted)) if wanted else rows
+    if not (numbered or middle_start or (wanted or {}).get("line_num")):
+        return search(spark.read.text(path), wanted)
+    lines = numbered_lines(spark, path)
+    return search(lines.where("line_num > 1 AND value <> ''") if middle_start else lines, wanted)

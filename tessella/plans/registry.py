@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, numbers, strings
 from tessella.operators import events, images, logs, similarity, stores, web
 from tessella.plans import image_pipeline, predicate
-from tessella.session import load
+from tessella.session import load, work_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,9 +109,34 @@ SELECT '{"line_num":' || event_id || ',"severity":"(E, 4, Error)","component":"E
 FROM events WHERE event_type = 'error' AND strftime(ts, '%Y-%m') = '2024-01' AND hour(ts) = 12""",
 )
 def log11(spark: SparkSession, sf: str) -> DataFrame:
-    records = logs.parse_mongo(mongo_lines(spark, sf)).withColumnRenamed("event_id", "line_num")
     wanted = {"date": ("2024", "01"), "time": ("12",), "severity": {"name": "Error"}}
-    return logs.as_json(records.where(logs.mongo_filter(wanted)), "line_num", "severity", "component", "context", "message")
+    records = logs.search(mongo_lines(spark, sf), wanted).withColumnRenamed("event_id", "line_num")
+    return logs.as_json(records, "line_num", "severity", "component", "context", "message")
+
+
+def written_lines(rows: DataFrame) -> str:
+    """The path of text files, with the values of rows, in the shared folder."""
+    path = work_path(rows.sparkSession, "lines")
+    rows.select("value").write.text(path)
+    return path
+
+
+_FOUND = """SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S:%g') AS clock, CASE event_type WHEN 'error' THEN 'Error' ELSE 'Warning' END AS severity, upper(event_type) AS component, 'conn' || user_id AS context,
+       'event : ' || event_id || ' k . ' || (props->>'$.k') AS message FROM events WHERE event_type = {} AND strftime(ts, '%Y-%m') = '2024-01'"""
+
+
+def _found(records: DataFrame) -> DataFrame:
+    return records.select(F.array_join("date", "-").alias("day"), F.array_join("time", ":").alias("clock"), F.col("severity.name").alias("severity"), "component", "context", "message")
+
+
+@query("log11_find_in_files", _FOUND.format("'error'"))
+def log11_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(logs.find_logs(spark, written_lines(mongo_lines(spark, sf)), {"date": ("2024", "01"), "severity": {"value": 4}}))
+
+
+@query("log11_pushed_scan", _FOUND.format("'signup'"))
+def log11_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(logs.scan_logs(spark, written_lines(mongo_lines(spark, sf)), {"date": ("2024", "01"), "severity": {"level": "W"}, "component": "SIGNUP"}))
 
 
 @query(
@@ -151,6 +176,62 @@ def log12(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", F.element_at("time", 1).alias("hour"), "level", "status", F.col("error.name").alias("error"), F.try_element_at("error.trace", F.lit("user")).alias("trace_user"), F.size("error.frames").alias("frames")).withColumn("frames", F.when(F.col("frames") >= 0, F.col("frames")))
 
 
+_NODE = r"""concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), CASE WHEN event_type <> 'error' THEN concat(' info: event ', event_id)
+  WHEN user_id % 4 = 0 THEN concat(' error[404] failed ', event_id, '\nTrace: {user: ', user_id, ', url: }\nStack: TypeError: no such page\n    at f (/a/b.js:1:2)')
+  WHEN user_id % 4 = 1 THEN concat(' error: failed ', event_id, '\nTypeError [CODE]: x is null\n    at f (/a/b.js:10:2)\n    at g (/a/c.js:', event_id, ':4)\nTrace: x\nStack: y')
+  WHEN user_id % 4 = 2 THEN concat(' error: failed ', event_id, '\n/x/c.js line\nReferenceError: y is gone\n    at h (/x/c.js:7:8)\nTrace: t\nStack: s')
+  ELSE concat(' error: failed ', event_id, '\nSyntaxError: unexpected\n  3 | let x\n    at k (/x/d.js:9:8)\nTrace: t\nStack: s') END)"""
+
+
+def node_files(spark: SparkSession, sf: str) -> str:
+    """The events as files of application entries of one to six lines."""
+    return written_lines(load(spark, sf, "events").select(F.expr(_NODE).alias("value")))
+
+
+#: Blocks so small that many entries go on in the next one.
+_NODE_BLOCK = 64 << 10
+
+
+def _of_message() -> Column:
+    return F.element_at(F.split("message", " "), -1).cast("long").alias("event_id")
+
+
+@query(
+    "log12_file_entries",
+    """SELECT event_id, strftime(ts, '%H') AS hour, CASE WHEN e THEN 'error' ELSE 'info' END AS level, CASE WHEN e AND u = 0 THEN '404' ELSE 'UNKOWN' END AS status, CASE WHEN e THEN ['TypeError', 'TypeError', 'ReferenceError', 'SyntaxError'][u + 1] END AS error,
+       CASE WHEN e AND u = 1 THEN 'CODE' END AS code, CASE WHEN e AND u = 2 THEN '/x/c.js line' END AS compile_time, CASE WHEN e AND u = 3 THEN '3 | letx' END AS block, CASE WHEN e THEN [NULL, 2, 1, 1][u + 1] END AS frames
+FROM (SELECT *, event_type = 'error' AS e, user_id % 4 AS u FROM events)""",
+)
+def log12_files(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.find_logs(spark, node_files(spark, sf), parser="node", block_bytes=_NODE_BLOCK)
+    frames = F.size("error.frames")
+    return r.select(_of_message(), F.element_at("time", 1).alias("hour"), "level", "status", F.col("error.name").alias("error"), "error.code", "error.compile_time", "error.block", F.when(frames >= 0, frames).alias("frames"))
+
+
+@query(
+    "log17_frames",
+    """SELECT event_id, unnest(range(len(f))) ::INT AS pos, unnest(f).name AS name, unnest(f).file AS file, unnest(f).line::INT AS line, unnest(f).col::INT AS col
+FROM (SELECT event_id, CASE user_id % 4 WHEN 1 THEN [{'name': 'f', 'file': '/a/b.js', 'line': 10, 'col': 2}, {'name': 'g', 'file': '/a/c.js', 'line': event_id, 'col': 4}] WHEN 2 THEN [{'name': 'h', 'file': '/x/c.js', 'line': 7, 'col': 8}] WHEN 3 THEN [{'name': 'k', 'file': '/x/d.js', 'line': 9, 'col': 8}] END AS f
+  FROM events WHERE event_type = 'error' AND user_id % 4 > 0)""",
+)
+def log17(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.find_logs(spark, node_files(spark, sf), {"level": "error", "error": {"is_api_error": False}}, "node", block_bytes=_NODE_BLOCK)
+    return r.select(_of_message(), F.posexplode("error.frames").alias("pos", "f")).select("event_id", "pos", "f.name", "f.file", "f.line", "f.col")
+
+
+@query("log20_search_by_trace", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, user_id::VARCHAR AS trace_user, 'no such page' AS error_message FROM events WHERE event_type = 'error' AND user_id % 4 = 0 AND strftime(ts, '%Y-%m') = '2024-01'")
+def log20(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = {"date": ("2024", "01"), "status": "404", "error": {"name": "TypeError", "is_api_error": True}, "trace": {"url": "null"}}
+    r = logs.find_logs(spark, node_files(spark, sf), wanted, "node", block_bytes=_NODE_BLOCK)
+    return r.select(_of_message(), F.array_join("date", "-").alias("day"), F.try_element_at("error.trace", F.lit("user")).alias("trace_user"), F.col("error.message").alias("error_message"))
+
+
+@query("log16_compile_time_errors", "SELECT count(*) FILTER (user_id % 4 = 2) AS compile_time, count(*) FILTER (user_id % 4 = 3) AS syntax, count(*) AS errors FROM events WHERE event_type = 'error'")
+def log16(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.find_logs(spark, node_files(spark, sf), {"level": "error"}, "node", block_bytes=_NODE_BLOCK)
+    return r.agg(F.count_if(logs.node_filter({"error": {"is_compile_time": True}})).alias("compile_time"), F.count_if(F.col("error.block").isNotNull()).alias("syntax"), F.count("*").alias("errors"))
+
+
 _EVT = "CASE c_custkey % 3 WHEN 0 THEN 'Reverse' WHEN 1 THEN 'COMPRESS' ELSE 'yell' END"
 
 
