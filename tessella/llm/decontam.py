@@ -99,28 +99,61 @@ def best_segment(equal: np.ndarray, penalty: int = 2) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def _diagonals(at: np.ndarray, low: np.ndarray, value: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The different (item, diagonal) of seeds at places `at` of a document, whose entries in the sorted index begin at `low`.
+    A repeated word makes pairs by the product of its places in document and item, but no more diagonals than by their
+    sum: such pairs aren't listed, their diagonals are those at which both sets of places correlate."""
+    out = []
+    order = np.argsort(low, kind="stable")
+    at, low = at[order], low[order]
+    first = np.flatnonzero(np.diff(low, prepend=-1))
+    for hits, begin in zip(np.split(at, first[1:]), low[first].tolist(), strict=True):
+        end = begin + int(np.searchsorted(value[begin:], value[begin], "right"))
+        held, split = np.unique(item[begin:end], return_index=True)
+        for i, places in zip(held.tolist(), np.split(place[begin:end], split[1:]), strict=True):
+            reach = int(hits[-1] - hits[0] + places[-1] - places[0]) + 1
+            if len(hits) * len(places) <= 8 * reach:
+                shift = np.unique(hits[:, None] - places[None, :])
+            else:
+                size = 1 << reach.bit_length()
+                one, two = np.zeros(size), np.zeros(size)
+                one[hits - hits[0]], two[places[-1] - places] = 1, 1
+                shift = hits[0] - places[-1] + np.flatnonzero(np.fft.irfft(np.fft.rfft(one) * np.fft.rfft(two), size)[:reach] > 0.5)
+            out.append(np.stack([np.full(len(shift), i), shift], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def scan(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, end, equal words, words of the item) of the best overlap of a document with each item it hits."""
-    diagonals, few = [], np.uint64(len(items.present) - 1)
+    """(item, start, end, equal words, words of the item) of the best overlap of a document with each item it hits; of equal
+    ones that of the lowest diagonal."""
+    found, few = [], np.uint64(len(items.present) - 1)
     for mask, value, item, place in items.seeds:
         own = seed_hashes(words, mask)
         at = np.flatnonzero(items.present[own & few])
         if not len(at):
             continue
         low = np.searchsorted(value, own[at], "left")
-        many = np.searchsorted(value, own[at], "right") - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
-        at, entry = np.repeat(at, many), np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        diagonals.append(np.stack([item[entry], at - place[entry]], axis=1))
+        there = np.searchsorted(value, own[at], "right") > low
+        if there.any():
+            found.append(_diagonals(at[there], low[there], value, item, place))
     best: dict[int, tuple[int, int, int, int, int]] = {}
-    if diagonals:
-        for i, shift in np.unique(np.concatenate(diagonals), axis=0).tolist():
-            own = items.words[i]
-            a, b = max(0, shift), min(len(words), shift + len(own))
-            start, end, equal = best_segment(words[a:b] == own[a - shift : b - shift])
-            if i not in best or equal > best[i][3]:
-                best[i] = (i, a + start, a + end, equal, len(own))
-    return list(best.values())
+    if not found:
+        return []
+    pairs = np.unique(np.concatenate(found), axis=0)
+    size = np.array([len(items.words[i]) for i in pairs[:, 0]])
+    overlap = np.minimum(len(words), pairs[:, 1] + size) - np.maximum(0, pairs[:, 1])
+    shifts: dict[int, int] = {}
+    # the longest first: where no more words overlap than are equal elsewhere, nothing better is found
+    for j in np.lexsort((pairs[:, 1], -overlap)).tolist():
+        i, shift = pairs[j].tolist()
+        if i in best and (overlap[j], -shift) < (best[i][3], -shifts[i]):
+            continue
+        own = items.words[i]
+        a, b = max(0, shift), min(len(words), shift + len(own))
+        start, end, equal = best_segment(words[a:b] == own[a - shift : b - shift])
+        if i not in best or (equal, -shift) > (best[i][3], -shifts[i]):
+            best[i], shifts[i] = (i, a + start, a + end, equal, len(own)), shift
+    return [best[i] for i in sorted(best)]
 
 
 @dataclass(frozen=True)
