@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessella.llm.common import LOWER, MOST_BROADCAST, WordHasher, cut, default_parallelism, mix, shingles, small, utf8
+from tessella.llm.common import LOWER, MOST_BROADCAST, WordHasher, cut, default_parallelism, mix, shingles, small, unused, utf8
 from tessella.llm.components import components
 
 TOKENS_PER_BUCKET = 3_000_000
@@ -510,12 +510,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, every
     return rows.drop("fp")
 
 
-def _with_digest(words: int, at: int):
+def _with_digest(words: int, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             own = [shingle_set(hasher, (t.as_py() or "").encode("utf-8", "replace"), words) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) if len(x) else None for x in own], pa.binary())], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) if len(x) else None for x in own], pa.binary())], names=[*batch.schema.names, name])
 
     return run
 
@@ -529,19 +529,20 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     first = groups.groupBy("label").agg(F.min(key).alias("first"))
     marked = groups.join(first, "label").select("doc_id", "fp", (key == F.col("first")).alias("stays"))
-    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")))
-    gone = cut(marked.where("not stays and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct().join(again, F.col("__gone") == F.col("__again"), "left_anti"))
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    twice, out, own, mine, digests = (unused(docs, n) for n in ("__again", "__gone", "__fp", "__id", "__own"))
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias(twice)))
+    gone = cut(marked.where("not stays and doc_id is not null").select(F.col("doc_id").alias(out)).distinct().join(again, F.col(out) == F.col(twice), "left_anti"))
+    kept = docs.join(small(gone), docs["doc_id"] == F.col(out), "left_anti")
     if not again.limit(1).count() and not groups.where("doc_id is null").limit(1).count():
         return kept
     several = small(again)
-    clear = kept.where("doc_id is not null").join(several, kept["doc_id"] == F.col("__again"), "left_anti")
-    unclear = docs.where("doc_id is null").unionByName(docs.join(several, docs["doc_id"] == F.col("__again"), "left_semi"))
-    unclear = unclear.mapInArrow(_with_digest(words, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
-    stays = marked.where("stays").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__own")).distinct()
-    chosen = unclear.where("__fp is not null").join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
-    chosen = chosen.groupBy("doc_id", "__fp").agg(F.min_by(F.struct(*docs.columns), "text").alias("row")).select("row.*")
-    return clear.unionByName(chosen).unionByName(unclear.where("__fp is null").drop("__fp"))
+    clear = kept.where("doc_id is not null").join(several, kept["doc_id"] == F.col(twice), "left_anti")
+    unclear = docs.where("doc_id is null").unionByName(docs.join(several, docs["doc_id"] == F.col(twice), "left_semi"))
+    unclear = unclear.mapInArrow(_with_digest(words, docs.columns.index("text"), own), StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    stays = marked.where("stays").select(F.col("doc_id").alias(mine), F.col("fp").alias(digests)).distinct()
+    chosen = unclear.where(F.col(own).isNotNull()).join(stays, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(digests)), "left_semi")
+    chosen = chosen.groupBy("doc_id", own).agg(F.min_by(F.struct(*docs.columns), "text").alias(unused(docs, "row"))).select(f"{unused(docs, 'row')}.*")
+    return clear.unionByName(chosen).unionByName(unclear.where(F.col(own).isNull()).drop(own))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,10 +152,12 @@ def plan(docs: DataFrame, seed: int = 17, bucket_rows: int = 20_000, quality: Co
 
 def mixed(docs: DataFrame, seed: int = 17, bucket_rows: int = 20_000, quality: Column | None = None, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    rows = _keyed(docs, seed, quality)
+    key = exponential_key("doc_id", text_quality("text") if quality is None else quality, seed)
+    # the row is one column, so its names meet none of those here
+    rows = docs.select("doc_id", "source", word_count("text").alias("__size"), key.alias("__key"), F.struct("*").alias("row"))
     budgets = _budgets(cut(rows.select("doc_id", "source", "__size", "__key")), bucket_rows, **options)
     taken = _copies(rows, budgets).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select([F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

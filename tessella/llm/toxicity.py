@@ -247,8 +247,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns pass."""
-    scored = docs.withColumn("__verdict", verdict(docs.sparkSession, model))
-    return scored.where(F.col("__verdict.score") < threshold).select([F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict(docs.sparkSession, model)["score"] < threshold)
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
