@@ -9,6 +9,7 @@ from tessella.functions import arrays, numbers, strings
 from tessella.operators import events, images, logs, similarity, stores, web
 from tessella.plans import image_pipeline, predicate
 from tessella.session import load, work_path
+from tessella.streaming import bus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -248,6 +249,36 @@ def evt1(spark: SparkSession, sf: str) -> DataFrame:
     return events.progress(r).drop("name")
 
 
+#: ts as an instant, whatever the session's time zone is.
+_UTC = "CAST(concat(CAST(ts AS STRING), '+00:00') AS TIMESTAMP)"
+#: Seconds that a bus event takes for a character.
+_PACE = 3600
+_BUS_KIND = "CASE event_type WHEN 'view' THEN 'yell' WHEN 'click' THEN 'compress' ELSE 'reverse' END"
+
+
+@query(
+    "evt7_bus",
+    f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT user_id AS id, epoch_us(ts) AS t, event_type = 'error' AS cancel, {_BUS_KIND} AS k, event_type || ' ' || event_id AS m FROM events),
+u AS (SELECT max(epoch_ms(ts)) * 1000 AS w FROM events), s AS MATERIALIZED (SELECT id, t, k, m, t + length(m) * {_PACE}000000 AS full_end FROM r WHERE NOT cancel),
+e AS MATERIALIZED (SELECT s.*, CASE WHEN c.t < full_end THEN c.t END AS cut FROM s ASOF LEFT JOIN (SELECT id, t FROM r WHERE cancel) c ON s.id = c.id AND s.t < c.t),
+n AS MATERIALIZED (SELECT e.*, f.t AS next FROM e ASOF LEFT JOIN (SELECT id, t FROM s) f ON e.id = f.id AND coalesce(e.cut, e.full_end) <= f.t),
+a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY t) = 1 UNION ALL SELECT n.* FROM a JOIN n ON n.id = a.id AND n.t = a.next),
+d AS (SELECT *, CASE WHEN cut IS NULL THEN length(m) ELSE (cut - t) // {_PACE}000000 END AS reached FROM a),
+x AS (
+  SELECT id, k, m[:i] AS part, 'RUNNING' AS status, i AS step, CAST(floor(i::DOUBLE / length(m) * 100) AS INT) AS percent, t + i * {_PACE}000000 AS at_us FROM d, LATERAL (SELECT unnest(range(1, reached + 1)) AS i)
+  UNION ALL SELECT id, 'cancel', '', 'CANCELED', reached + 1, NULL, cut FROM d WHERE cut IS NOT NULL
+  UNION ALL SELECT id, k, m[:reached], 'DONE', CASE WHEN cut IS NULL THEN reached + 1 ELSE reached + 2 END, NULL, coalesce(cut, full_end) FROM d)
+SELECT id, status, step::INT AS step, CASE k WHEN 'cancel' THEN 'cancelling' WHEN 'yell' THEN upper(part) WHEN 'compress' THEN regexp_replace(lower(part), '[^a-z]', '', 'g') ELSE reverse(part) END AS message, percent, status = 'DONE' AS complete, at_us FROM x, u WHERE at_us < w""",
+)
+def evt7(spark: SparkSession, sf: str) -> DataFrame:
+    requests = load(spark, sf, "events").select(F.col("user_id").alias("id"), F.expr(_BUS_KIND).alias("type"), F.concat_ws(" ", "event_type", "event_id").alias("message"), (F.col("event_type") == "error").alias("cancel"), F.expr(_UTC).alias("at"))
+    path = work_path(spark, "bus")
+    requests.write.parquet(f"{path}/requests")  # a stream reads folders
+    stream = spark.readStream.schema(requests.schema).parquet(f"{path}/requests")
+    return bus.replayed(spark, bus.bus(stream, _PACE), path).drop("name")
+
+
 @query("evt6_started", "SELECT user_id AS id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def evt6(spark: SparkSession, sf: str) -> DataFrame:
     return events.started(load(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id"), "event_id").select("id", "event_id")

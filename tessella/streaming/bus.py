@@ -1,20 +1,27 @@
 """A keyed event bus on Structured Streaming.
 
-Requests (id, type, message, cancel) come in; an event that is active ignores repeats of its id, a request with
-cancel ends it with the part it has reached, and each batch moves active events on by `pace` characters. State is one
-small row per active id, so the bus scales with its keys; a finished event's state is removed and its id free again."""
+Requests (id, type, message, cancel, at) come in; an event takes `pace` seconds for each character of its message and tells
+each one; an event that is active ignores further requests of its id, a request with cancel ends it with the part it has
+reached, and when it is done its id is free again.
+
+Each id has its own state: the event that is active, a list of requests whose turn hasn't come, and one timer for what is
+next. In event time a request's turn comes when the watermark has passed it, so requests may arrive in any order and
+batches of any size give the same updates; in processing time it comes at once. Nothing is left of an id without an active
+event or a waiting request, so state is bounded by the active ids. State and timers live in the checkpointed state store, and
+a restarted stream goes on where it was."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-UPDATES = "id long, name string, status string, message string, percent int, complete boolean"
-STATE = "kind string, message string, at int"
+#: at_us: microseconds since 1970.
+UPDATES = "id long, name string, status string, step int, message string, percent int, complete boolean, at_us long"
 NAMES = {"reverse": "ReverseMessage", "compress": "CompressMessage", "yell": "YellMessage"}
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def apply_kind(kind: str, text: str) -> str:
@@ -25,50 +32,111 @@ def apply_kind(kind: str, text: str) -> str:
     return text[::-1]
 
 
-def bus(requests: DataFrame, pace: int = 1, tick_ms: int = 1) -> DataFrame:
-    """Updates of a stream of requests."""
-
-    def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        kind, message, at = state.get if state.exists else (None, None, 0)
-
-        def tell(status: str, text: str, percent: int | None, complete: bool) -> None:
-            out.append((key[0], NAMES[kind], status, text, percent, complete))
-
-        def forward() -> bool:
-            nonlocal at
-            for _ in range(pace):
-                if at >= len(message):
-                    break
-                at += 1
-                tell("RUNNING", apply_kind(kind, message[:at]), int(at / len(message) * 100), False)
-            if at >= len(message):
-                tell("DONE", apply_kind(kind, message), None, True)
-                return False
-            return True
-
-        active = kind is not None
-        if state.hasTimedOut:
-            active = active and forward()
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if active and bool(row.cancel) and not pd.isna(row.cancel):
-                    tell("CANCELED", "cancelling", None, False)
-                    tell("DONE", apply_kind(kind, message[:at]), None, True)
-                    active = False
-                elif not active and not (bool(row.cancel) and not pd.isna(row.cancel)):
-                    kind = str(row.type or "").lower()
-                    kind = kind if kind in NAMES else "reverse"
-                    message, at = row.message or "", 0
-                    active = forward()
+class Bus(StatefulProcessor):
+    """Keeps one id's event; `turn` is all that happens."""
+
+    def __init__(self, pace_us: int, event_time: bool):
+        self.pace, self.event_time = pace_us, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "kind string, message string, start long, reached int")
+        self.waiting = handle.getListState("waiting", "at long, kind string, message string, cancel boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = None if self.event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
+        come = [(r.at_us if now is None else now, self._kind(r.type), r.message or "", bool(r.cancel)) for r in rows]
+        if now is None:
+            self.waiting.appendList(come)
+            self._wake(min(r[0] for r in come))
+        else:
+            yield from self.turn(key[0], come, now + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        come = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        yield from self.turn(key[0], come, now * 1000)
+
+    @staticmethod
+    def _kind(name: str | None) -> str:
+        low = (name or "").lower()
+        return low if low in NAMES else "reverse"
+
+    def _wake(self, at_us: int) -> None:
+        if at_us // 1000 not in list(self.handle.listTimers()):
+            self.handle.registerTimer(at_us // 1000)
+
+    def turn(self, id_, requests: list[tuple], now: int) -> Iterator[Row]:
+        """All that happens to the id before `now`: steps of its event and requests, in order of time."""
+        active = tuple(self.active.get()) if self.active.exists() else None
+        done = 0
+
+        def told(kind, status, step, text, percent, at) -> Row:
+            return Row(id=id_, name=NAMES[kind], status=status, step=step, message=text, percent=percent, complete=status == "DONE", at_us=at)
+
+        while True:
+            come = requests[done] if done < len(requests) else None
+            if active:
+                kind, message, start, reached = active
+                at = start + (reached + 1) * self.pace
+                if at < now and (come is None or at <= come[0]):
+                    reached += 1
+                    yield told(kind, "RUNNING", reached, apply_kind(kind, message[:reached]), int(reached / len(message) * 100), at)
+                    active = (kind, message, start, reached)
+                    if reached == len(message):
+                        yield told(kind, "DONE", reached + 1, apply_kind(kind, message), None, at)
+                        active = None
+                    continue
+            if come is None or come[0] >= now:
+                break
+            done += 1
+            at, kind, message, cancel = come
+            if cancel and active:
+                kind, message, _, reached = active
+                yield told(kind, "CANCELED", reached + 1, "cancelling", None, at)
+                yield told(kind, "DONE", reached + 2, apply_kind(kind, message[:reached]), None, at)
+                active = None
+            elif not cancel and not active:
+                if message:
+                    active = (kind, message, at, 0)
+                else:
+                    yield told(kind, "DONE", 1, "", None, at)
+        rest = requests[done:]
+        if rest:
+            self.waiting.put(rest)
+        elif self.waiting.exists():
+            self.waiting.clear()
         if active:
-            state.update((kind, message, at))
-            state.setTimeoutDuration(tick_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in UPDATES.split(", ")]).astype({"percent": "Int32"})
-
-    return requests.groupBy("id").applyInPandasWithState(handle, UPDATES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+            self.active.update(active)
+        elif self.active.exists():
+            self.active.clear()
+        nexts = [active[2] + (active[3] + 1) * self.pace] if active else []
+        if nexts := nexts + ([rest[0][0]] if rest else []):
+            self._wake(min(nexts))
+
+    def close(self) -> None:
+        pass
+
+
+def bus(requests: DataFrame, pace: float = 1.0, delay: str = "0 seconds", event_time: bool = True) -> DataFrame:
+    """Updates (UPDATES) of a stream of requests; at is a timestamp, and requests later than `delay` behind the newest are
+    lost. With event_time false, `at` isn't needed."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    columns = ["id", "type", "message", "cancel"]
+    if event_time:
+        rows = requests.select(*columns, "at", F.unix_micros("at").alias("at_us")).withWatermark("at", delay)
+    else:
+        rows = requests.select(*columns)
+    mode = "EventTime" if event_time else "ProcessingTime"
+    return rows.groupBy("id").transformWithState(Bus(int(pace * 1_000_000), event_time), UPDATES, "Append", mode)
+
+
+def replayed(spark: SparkSession, updates: DataFrame, path: str) -> DataFrame:
+    """A stream over stored requests run to its end into a table below path; run again on the same path, it goes on with
+    what is new."""
+    stream = updates.writeStream.format("parquet").option("path", f"{path}/updates").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(UPDATES).parquet(f"{path}/updates")
 
 
 def insert_if_absent_sink(stream: DataFrame, path: str, checkpoint: str, *keys: str):
