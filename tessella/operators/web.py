@@ -1,13 +1,11 @@
-"""Records from HTML: by patterns where a record is flat, by a table function on html.parser where it nests."""
+"""Records from HTML: by patterns where a record is flat, by what encloses tags where it nests."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.lazy import lazy_udf
+from tessella.operators.html import attribute, elements, has_class, inside, joined_text, links, tags
 
 
 def absolute(link: Column, base: str | Column) -> Column:
@@ -44,87 +42,57 @@ def quotes_of_class(links: DataFrame, pattern: str) -> DataFrame:
     return links.where(F.col("css").rlike(pattern)).select("label")
 
 
-EVENTS = "array<struct<title:string,year:string,topic:string,link:string>>"
-FEATURE = "struct<title:string,citation:map<string,struct<text:string,link:string>>,body:array<struct<text:string,links:array<string>>>>"
-
-
-class _Walk(HTMLParser):
-    """Text and first link by what encloses them."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.events, self.event, self.field = [], None, None
-        self.title, self.citation, self.body, self.term, self.part = "", {}, [], "", None
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        css = a.get("class") or ""
-        if tag == "article":
-            self.event = {"title": "", "year": "", "topic": "", "link": None}
-        if self.event is not None:
-            if "year" in css:
-                self.field = "year"
-            elif tag == "a":
-                self.field = "topic" if "topic" in css or "category" in css else "title"
-                if self.field == "title" and self.event["link"] is None:
-                    self.event["link"] = a.get("href")
-        if tag in ("h1", "dt", "dd", "p"):
-            self.part = tag
-            if tag == "dt":
-                self.term = ""
-            elif tag == "dd":
-                self.citation[self.term.strip()] = {"text": "", "link": None}
-            elif tag == "p":
-                self.body.append({"text": "", "links": []})
-        if tag == "a" and a.get("href"):
-            if self.part == "dd" and self.citation:
-                self.citation[self.term.strip()]["link"] = a["href"]
-            elif self.part == "p" and self.body:
-                self.body[-1]["links"].append(a["href"])
-
-    def handle_endtag(self, tag):
-        if tag == "article" and self.event is not None:
-            self.events.append({k: v.strip() if v else v for k, v in self.event.items()})
-            self.event = None
-        if tag in ("a", "span"):
-            self.field = None
-        if tag == self.part:
-            self.part = None
-
-    def handle_data(self, data):
-        if self.event is not None and self.field:
-            self.event[self.field] += data
-        if self.part == "h1":
-            self.title += data
-        elif self.part == "dt":
-            self.term += data
-        elif self.part == "dd" and self.citation:
-            self.citation[self.term.strip()]["text"] += data
-        elif self.part == "p" and self.body:
-            self.body[-1]["text"] += data
-
-
-def _walked(html: str | None) -> _Walk:
-    walk = _Walk()
-    walk.feed(html or "")
-    walk.close()
-    return walk
-
-
-@lazy_udf(EVENTS)
-def page_events(html):
-    """The records of a page's article nodes."""
-    return _walked(html).events
-
-
-@lazy_udf(FEATURE)
-def page_feature(html):
-    """Heading, definition list and paragraphs with their links."""
-    w = _walked(html)
-    return {"title": w.title.strip(), "citation": {k: v | {"text": v["text"].strip()} for k, v in w.citation.items()}, "body": [b | {"text": b["text"].strip()} for b in w.body]}
-
-
-def feature_of_first_event(pages: DataFrame, url: str = "url", html: str = "html", base: str = "") -> DataFrame:
-    """(url, link, feature): each page's first event, its link followed to another page of the table."""
-    first = pages.select(url, F.get(page_events(html), 0).alias("e")).where("e is not null").select(url, absolute(F.col("e.link"), base).alias("link"))
-    return first.join(pages.select(F.col(url).alias("link"), html), "link").select(url, "link", page_feature(html).alias("feature"))
+def paragraphs(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """(keys, n, text, links) of the paragraphs of each page."""
+    return elements(tags(pages, html, *keys), "p", *keys).drop("at")
+
+
+def definitions(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """(keys, n, term, text, link): the descriptions of definition lists with the term before them and their first link."""
+    rows = inside(inside(inside(tags(pages, html, *keys), "dl", *keys), "dt", *keys), "dd", *keys).where("in_dl is not null")
+    before = Window.partitionBy(*keys, "in_dl").orderBy("pos")
+    rows = rows.withColumn("term_at", F.last("in_dt", ignorenulls=True).over(before))
+    terms = rows.where("in_dt is not null").groupBy(*keys, F.col("in_dt").alias("term_at")).agg(joined_text().alias("term"))
+    texts = rows.where("in_dd is not null").groupBy(*keys, "term_at", F.col("in_dd").alias("at")).agg(joined_text().alias("text"), F.get(links(), 0).alias("link"))
+    joined = texts.join(terms, [*keys, "term_at"], "left")
+    return joined.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("n"), F.coalesce("term", F.lit("")).alias("term"), "text", "link")
+
+
+def articles(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """(keys, n, title, year, topic, link, heading, paragraphs, text) of the article nodes of each page. Of anchors and spans by
+    class: the year, the topic (or category), and the first other anchor's text and target; besides the first heading
+    and the number of paragraphs."""
+    rows = inside(inside(inside(tags(pages, html, *keys), "article", *keys), "a", *keys), "h1", *keys).where("in_article is not null")
+    # an element with a class names what is within it
+    opens = (~F.col("ends")) & F.col("tag").isin("a", "span", "p", "div", "time")
+    kind = F.when(opens & has_class("year"), "year").when(opens & (F.col("tag") == "a") & (has_class("topic") | has_class("category")), "topic").when(opens & (F.col("tag") == "a"), "title").when(F.col("ends") & F.col("tag").isin("a", "span", "p", "div", "time"), "")
+    within = Window.partitionBy(*keys, "in_article").orderBy("pos")
+    rows = rows.withColumn("field", F.last(kind, ignorenulls=True).over(within)).withColumn("heading_at", F.min("in_h1").over(Window.partitionBy(*keys, "in_article")))
+    opening = opens & (F.col("tag") == "a") & (F.col("field") == "title")
+    link = F.min(F.when(opening, F.struct("pos", attribute("href").alias("href"))))["href"]
+    grouped = rows.groupBy(*keys, F.col("in_article").alias("at")).agg(
+        *[joined_text(F.col("field") == f).alias(f) for f in ("title", "year", "topic")],
+        link.alias("link"),
+        joined_text(F.col("in_h1") == F.col("heading_at")).alias("heading"),
+        F.count_if((F.col("tag") == "p") & ~F.col("ends")).alias("paragraphs"),
+        joined_text().alias("text"),
+    )
+    return grouped.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("n"), "title", "year", "topic", "link", "heading", "paragraphs", "text")
+
+
+def features(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
+    """(keys, title, citation, body) of each page with a tag: first heading, a map of terms to text and link, and the paragraphs with
+    their links. Of equal terms the last one stays."""
+    tagged = tags(pages, html, *keys)
+    headings = elements(tagged, "h1", *keys).where("n = 1").select(*keys, F.col("text").alias("title"))
+    last = Window.partitionBy(*keys, "term").orderBy(F.col("n").desc())
+    cited = definitions(pages, html, *keys).withColumn("nth", F.row_number().over(last)).where("nth = 1")
+    citation = cited.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", F.struct("text", "link"))))).alias("citation"))
+    body = elements(tagged, "p", *keys).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "text", "links"))), lambda p: F.struct(p["text"].alias("text"), p["links"].alias("links"))).alias("body"))
+    return tagged.select(*keys).distinct().join(headings, list(keys), "left").join(citation, list(keys), "left").join(body, list(keys), "left")
+
+
+def features_of_first_articles(pages: DataFrame, url: str = "url", html: str = "html", base: str = "") -> DataFrame:
+    """(url, link, title, citation, body): each page's first article, its link followed to another page of the table."""
+    first = articles(pages, html, url).where("n = 1 and link is not null").select(url, absolute(F.col("link"), base).alias("link"))
+    return first.join(features(pages, html, url).withColumnRenamed(url, "link"), "link").select(url, "link", "title", "citation", "body")

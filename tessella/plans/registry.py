@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, numbers, strings
-from tessella.operators import events, images, logs, similarity, stores, web
+from tessella.operators import events, html, images, logs, similarity, stores, web
 from tessella.plans import image_pipeline, predicate
 from tessella.session import load, work_path
 from tessella.streaming import bus
@@ -594,10 +594,78 @@ def web2(spark: SparkSession, sf: str) -> DataFrame:
     return links.select("page_id", web.absolute(F.col("href"), "https://example.com").alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query("web4_feature")
+_BLOCKS = "|".join(html.BLOCKS)
+#: Paragraphs by cutting texts: from a start tag to the next tag that ends it.
+_PARAGRAPHS = rf"""c AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)', '', 'g') AS h FROM pages),
+p AS (SELECT page_id, unnest(ps[2:]) AS x, unnest(range(1, len(ps)))::INT AS n FROM (SELECT page_id, string_split_regex(h, '(?i)<p(?:\s[^>]*)?>') AS ps FROM c)),
+k AS (SELECT page_id, n, regexp_replace(x, '(?is)</?(?:p|{_BLOCKS})\b[^>]*>.*$', '') AS x FROM p)"""
+
+
+def _plain_sql(x: str) -> str:
+    """SQL for the text of a piece of HTML."""
+    out = rf"regexp_replace({x}, '</?[A-Za-z][^>]*>', '', 'g')"
+    for name, character in html.CHARACTERS.items():
+        out = "replace({}, '{}', '{}')".format(out, name, character.replace("'", "''"))
+    return f"trim({out})"
+
+
+@query("web4_paragraphs", rf"""WITH {_PARAGRAPHS} SELECT page_id, n, {_plain_sql("x")} AS text, len(regexp_extract_all(x, '(?i)<a\s[^>]*href')) ::INT AS links FROM k""")
+def web4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return web.paragraphs(load(spark, sf, "pages"), "html", "page_id").select("page_id", "n", "text", F.size("links").alias("links"))
+
+
+@query(
+    "web4_feature",
+    rf"""WITH {_PARAGRAPHS}, t AS (SELECT page_id, {_plain_sql("regexp_extract(h, '(?is)<h1[^>]*>(.*?)(?:</h1>|$)', 1)")} AS title FROM c)
+SELECT page_id, title, count(n)::INT AS paragraphs, coalesce(sum(len(regexp_extract_all(x, '(?i)<a\s[^>]*href'))), 0)::INT AS links FROM t LEFT JOIN k USING (page_id) GROUP BY ALL""",
+)
 def web4(spark: SparkSession, sf: str) -> DataFrame:
-    f = load(spark, sf, "pages").select("page_id", web.page_feature(F.col("html")).alias("f"))
-    return f.select("page_id", "f.title", F.size("f.body").alias("paragraphs"), F.aggregate(F.transform("f.body", lambda b: F.size(b["links"])), F.lit(0), lambda a, x: a + x).alias("links"))
+    f = web.features(load(spark, sf, "pages"), "html", "page_id")
+    number = F.aggregate(F.transform("body", lambda b: F.size(b["links"])), F.lit(0), lambda a, x: a + x)
+    return f.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.size("body"), F.lit(0)).alias("paragraphs"), F.coalesce(number, F.lit(0)).alias("links"))
+
+
+@query(
+    "web2_articles",
+    rf"""WITH {_PARAGRAPHS}, a AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<article\b[^>]*>(.*?)(?:</article\s*>|$)', 1)) AS x FROM c)
+SELECT page_id, {_plain_sql("regexp_extract(x, '(?is)<h1[^>]*>(.*?)(?:</h1>|$)', 1)")} AS heading, len(regexp_extract_all(x, '(?i)<p[\s>]')) AS paragraphs, {_plain_sql("x")} AS text FROM a""",
+)
+def web2_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return web.articles(load(spark, sf, "pages"), "html", "page_id").select("page_id", "heading", "paragraphs", "text")
+
+
+@query(
+    "web2_events",
+    """SELECT c_custkey, n, CASE n WHEN 1 THEN c_name || ' of note' ELSE 'inner' END AS title, CASE n WHEN 1 THEN '19' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') ELSE '' END AS year, CASE n WHEN 1 THEN c_mktsegment ELSE '' END AS topic, CASE n WHEN 1 THEN '/c/' || c_custkey ELSE '/inner' END AS link
+FROM customer, (VALUES (1), (2)) v(n)""",
+)
+def web2_events(spark: SparkSession, sf: str) -> DataFrame:
+    page = """concat('<div class="grid"><article><span class="p__year">19', lpad(c_custkey % 100, 2, '0'), '</span> <article><p>x<a href="/inner">inner</a></article><a class="p__link" href="/c/', c_custkey, '">', c_name, ' <b>of</b> note</a>, <a class="p__topic" href="/t">', c_mktsegment, '</a></article></div>')"""
+    pages = load(spark, sf, "customer").select("c_custkey", F.expr(page).alias("html"))
+    return web.articles(pages, "html", "c_custkey").select("c_custkey", "n", "title", "year", "topic", "link")
+
+
+@query("web4_definitions", "SELECT s_suppkey, 1 AS n, 'Name' AS term, s_name AS text, NULL AS link FROM supplier UNION ALL SELECT s_suppkey, 2, 'Nation', 'nation ' || s_nationkey, '/n/' || s_nationkey FROM supplier")
+def web4_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    page = """concat('<aside><dl><dt>Name<dd>', s_name, '<dt>Nation</dt><dd><a href="/n/', s_nationkey, '">nation</a> ', s_nationkey, '</dl>after</aside>')"""
+    return web.definitions(load(spark, sf, "supplier").select("s_suppkey", F.expr(page).alias("html")), "html", "s_suppkey")
+
+
+@query("web5_followed_links", "SELECT '/c/' || c_custkey AS url, '/n/' || c_nationkey AS link, n_name AS title, 'Region' AS term, r_name AS region, 2 AS paragraphs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def web5(spark: SparkSession, sf: str) -> DataFrame:
+    nations = load(spark, sf, "nation").join(F.broadcast(load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    linked = nations.select(F.concat(F.lit("/n/"), "n_nationkey").alias("url"), F.expr("concat('<h1>', n_name, '</h1><p>one<p>two<dl><dt>Region<dd>', r_name, '</dl>')").alias("html"))
+    linking = load(spark, sf, "customer").select(F.concat(F.lit("/c/"), "c_custkey").alias("url"), F.expr("""concat('<article><h2>', c_name, '</h2><a href="n/', c_nationkey, '">nation</a></article>')""").alias("html"))
+    found = web.features_of_first_articles(linking.unionByName(linked), base="/")
+    return found.select("url", "link", "title", F.explode("citation").alias("term", "v"), F.size("body").alias("paragraphs")).select("url", "link", "title", "term", F.col("v.text").alias("region"), "paragraphs")
+
+
+@query("web8_quotes_by_author", "SELECT s_nationkey, 'Author ' || (s_suppkey % 3) AS author, max_by(s_name, s_suppkey) AS quote FROM supplier GROUP BY 1, 2")
+def web8(spark: SparkSession, sf: str) -> DataFrame:
+    one = """concat('<a class="b-qt qt_', s_suppkey, ' oncl_q" href="#">', s_name, '</a> <a class="bq-aut qa_', s_suppkey, ' oncl_a" href="#">Author ', s_suppkey % 3, '</a>')"""
+    each = F.struct("s_suppkey", F.expr(one).alias("a"))
+    pages = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["a"]), "\n").alias("html"))
+    return web.quotes_by_author(web.anchors(pages, "html", "s_nationkey"), "s_nationkey")
 
 
 @query("web7_author", "SELECT c_custkey, c_mktsegment AS quote, c_name AS author FROM customer")

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import events, images, logs, similarity, stores, web
+from tessella.operators import events, html, images, logs, similarity, stores, web
 from tessella.plans import image_pipeline, predicate
 from tessella.sources import pdf, tail
 from tessella.streaming import bus
@@ -112,14 +112,36 @@ def test_stores(spark, tmp_path):
 
 
 def test_web(spark):
-    html = '<article><span class="p__year">1969</span><a href="/x">Moon <b>day</b></a><a class="p__topic" href="/t">Space</a></article><h1>Head</h1><dl><dt>Author</dt><dd><a href="/me">Me</a></dd></dl><p>One <a href="/1">l</a></p>'
+    page = '<article><span class="p__year">1969</span><a href="/x">Moon <b>day</b></a><a class="p__topic" href="/t">Space</a></article><h1>Head</h1><dl><dt>Author</dt><dd><a href="/me">Me</a></dd></dl><p>One <a href="/1">l</a></p>'
     quotes = '<a class="b-qt qt_1 oncl_q" href="#">Q one</a><a class="bq-aut qa_1 oncl_a" href="#">Ann</a><a class="b-qt qt_2 oncl_q" href="#">Q two</a><a class="bq-aut qa_2 oncl_a" href="#">Ann</a>'
-    d = spark.createDataFrame([("u", html), ("/x", quotes), ("n", None)], "url string, html string")
-    e = d.where("url = 'u'").select(web.page_events(F.col("html")).alias("e"), web.page_feature(F.col("html")).alias("f")).first()
-    assert e.e[0].asDict() == {"title": "Moon day", "year": "1969", "topic": "Space", "link": "/x"}
-    assert e.f.title == "Head" and e.f.citation["Author"].link == "/me" and e.f.body[0].links == ["/1"]
+    d = spark.createDataFrame([("u", page), ("/x", quotes), ("n", None)], "url string, html string")
+    e = web.articles(d, "html", "url").collect()
+    assert [(r.url, r.n, r.title, r.year, r.topic, r.link) for r in e] == [("u", 1, "Moon day", "1969", "Space", "/x")]
+    f = web.features(d, "html", "url").where("url = 'u'").first()
+    assert f.title == "Head" and f.citation["Author"].link == "/me" and f.body[0].links == ["/1"] and f.body[0].text == "One l"
     assert [tuple(r) for r in web.quotes_by_author(web.anchors(d, "html", "url"), "url").collect()] == [("/x", "Ann", "Q two")]
-    assert web.feature_of_first_event(d).count() == 1
+    assert web.features_of_first_articles(d).count() == 1
+
+
+NESTED = """before<div class=x>out</i><article data-x="a > b"><p>One <b>two</b> &amp;lt; 1 < 2<article><p class='y'>inner <A HREF="/i">in</A><ul><li>a<li>b</ul></article>behind
+</div></div><h1>H</h1><p>three<script>var p="</p><p>no";</script><!-- <p>no --> <a href=/q>four</a><div>five</div></article><p>last<dl><dt>T<dd>d one <a href="/t">t</a><dd>d two</dl><p>cut <style>p{"""
+
+
+def test_nested_elements(spark):
+    d = spark.createDataFrame([(1, NESTED), (2, "no tag"), (3, ""), (4, None), (5, "</p><p>x</p></p>y<p></p>")], "k int, html string")
+    assert [(r.k, r.n, r.text, r.links) for r in web.paragraphs(d, "html", "k").orderBy("k", "n").collect()] == [
+        (1, 1, "One two &lt; 1 < 2", []),
+        (1, 2, "inner in", ["/i"]),
+        (1, 3, "three four", ["/q"]),
+        (1, 4, "last", []),
+        (1, 5, "cut", []),
+        (5, 1, "x", []),
+        (5, 2, "", []),
+    ]
+    assert [(r.n, r.heading, r.paragraphs, r.title, r.link) for r in web.articles(d, "html", "k").orderBy("n").collect()] == [(1, "H", 2, "four", "/q"), (2, "", 1, "in", "/i")]
+    assert [(r.n, r.term, r.text, r.link) for r in web.definitions(d, "html", "k").orderBy("n").collect()] == [(1, "T", "d one t", "/t"), (2, "T", "d two", None)]
+    assert [r.text for r in html.elements(html.tags(d, "html", "k"), "li", "k").orderBy("n").collect()] == ["a", "b"]
+    assert web.features(d, "html", "k").where("k = 1").first().citation["T"].text == "d two"
 
 
 def image(spark, rows):
