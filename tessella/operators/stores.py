@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
-from tessella.functions.lazy import lazy_udf
 
 
 def normalised(config: DataFrame) -> DataFrame:
@@ -106,45 +105,6 @@ def in_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.orderBy(key)
 
 
-@lazy_udf("struct<pre:array<bigint>,post:array<bigint>,height:int,nodes:int,edges:int>")
-def tree_shape(keys):
-    """Traversals and measures of the search tree that keys, in order of insertion, make; repeats are ignored.
-
-    The parent of a key is the later inserted of its two neighbours in order, so the shape needs no pointers."""
-    import bisect
-
-    if keys is None:
-        return None
-    held, when, children, depth = [], {}, {}, {}
-    root = None
-    for k in keys:
-        if k is None or k in when:
-            continue
-        i = bisect.bisect_left(held, k)
-        near = [n for n in (held[i - 1] if i else None, held[i] if i < len(held) else None) if n is not None]
-        held.insert(i, k)
-        if near:
-            parent = max(near, key=when.get)
-            children.setdefault(parent, {})["r" if k > parent else "l"] = k
-            depth[k] = depth[parent] + 1
-        else:
-            root, depth[k] = k, 0
-        when[k] = len(when)
-    pre, todo = [], [root] if root is not None else []
-    while todo:
-        k = todo.pop()
-        pre.append(k)
-        c = children.get(k, {})
-        todo += [c[s] for s in ("r", "l") if s in c]
-    post, todo = [], [root] if root is not None else []
-    while todo:
-        k = todo.pop()
-        post.append(k)
-        c = children.get(k, {})
-        todo += [c[s] for s in ("l", "r") if s in c]
-    return pre, post[::-1], max(depth.values(), default=-1), len(when), max(len(when) - 1, 0)
-
-
 def precedes(a: Column, b: Column) -> Column:
     """Strict order of nodes by key."""
     return a < b

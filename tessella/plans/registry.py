@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, numbers, strings
-from tessella.operators import events, html, images, logs, similarity, stores, web
+from tessella.operators import events, html, images, logs, similarity, stores, trees, web
 from tessella.plans import image_pipeline, predicate
 from tessella.session import load, work_path
 from tessella.streaming import bus
@@ -577,11 +577,45 @@ def tree1(spark: SparkSession, sf: str) -> DataFrame:
     return stores.tree_insert(load(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("tree3_shape")
+#: Keys of orders in an order of insertion that looks like chance: a multiplication modulo a prime.
+_INSERTED = "o_orderkey * 48271 % 2147483647"
+#: Parents by comparing all nodes, then paths of L and R from the root, whose orders are the traversals.
+_TREE = f"""n AS MATERIALIZED (SELECT o_orderkey AS k, {_INSERTED} AS p FROM orders),
+l AS MATERIALIZED (SELECT v.k, max(u.k) AS l FROM n v JOIN n u ON u.k < v.k AND u.p < v.p GROUP BY 1), r AS MATERIALIZED (SELECT v.k, min(u.k) AS r FROM n v JOIN n u ON u.k > v.k AND u.p < v.p GROUP BY 1),
+e AS MATERIALIZED (SELECT n.k, CASE WHEN r.r IS NULL OR a.p > b.p THEN l.l ELSE r.r END AS up FROM n LEFT JOIN l USING (k) LEFT JOIN r USING (k) LEFT JOIN n a ON a.k = l.l LEFT JOIN n b ON b.k = r.r),
+t AS (SELECT k, up, '' AS path FROM e WHERE up IS NULL UNION ALL SELECT e.k, e.up, path || CASE WHEN e.k < e.up THEN 'a' ELSE 'c' END FROM t JOIN e ON e.up = t.k)"""
+
+
+def _order_tree(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "orders").select("o_orderkey", F.expr(_INSERTED).alias("p"))
+    return trees.tree_nodes(rows, "o_orderkey", "p")
+
+
+@query(
+    "tree3_traversals",
+    f"""WITH RECURSIVE {_TREE}
+SELECT k AS o_orderkey, up AS parent, length(path) AS depth, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY path || 'b') - 1 AS in_order, row_number() OVER (ORDER BY path || 'd') - 1 AS post FROM t""",
+)
+def tree3_traversals(spark: SparkSession, sf: str) -> DataFrame:
+    return _order_tree(spark, sf).select(F.col("key").alias("o_orderkey"), "parent", "depth", "pre", "in_order", "post")
+
+
+@query("tree4_metrics", f"WITH RECURSIVE {_TREE} SELECT max(length(path)) AS height, count(*) AS nodes, count(*) - 1 AS edges, max(k) FILTER (path = '') AS root FROM t")
+def tree4_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.tree_metrics(_order_tree(spark, sf)).drop("group")
+
+
+@query(
+    "tree3_shape",
+    """WITH RECURSIVE n AS MATERIALIZED (SELECT o_orderpriority AS g, o_custkey AS k, min(o_orderkey) AS p FROM orders GROUP BY ALL),
+l AS MATERIALIZED (SELECT v.g, v.k, max(u.k) AS l FROM n v JOIN n u ON u.g = v.g AND u.k < v.k AND u.p < v.p GROUP BY ALL), r AS MATERIALIZED (SELECT v.g, v.k, min(u.k) AS r FROM n v JOIN n u ON u.g = v.g AND u.k > v.k AND u.p < v.p GROUP BY ALL),
+e AS MATERIALIZED (SELECT n.g, n.k, CASE WHEN r.r IS NULL OR a.p > b.p THEN l.l ELSE r.r END AS up FROM n LEFT JOIN l USING (g, k) LEFT JOIN r USING (g, k) LEFT JOIN n a ON a.g = n.g AND a.k = l.l LEFT JOIN n b ON b.g = n.g AND b.k = r.r),
+t AS (SELECT g, k, 0 AS d FROM e WHERE up IS NULL UNION ALL SELECT e.g, e.k, d + 1 FROM t JOIN e ON e.g = t.g AND e.up = t.k)
+SELECT g AS o_orderpriority, max(d)::BIGINT AS height, count(*) AS nodes, count(*) - 1 AS edges, max(k) FILTER (d = 0) AS root FROM t GROUP BY g""",
+)
 def tree3(spark: SparkSession, sf: str) -> DataFrame:
-    keys = load(spark, sf, "orders").groupBy(F.col("o_orderpriority")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("o_orderkey").alias("h"), "o_custkey"))), lambda s: s["o_custkey"]).alias("keys"))
-    s = keys.select("o_orderpriority", stores.tree_shape(F.col("keys")).alias("s"))
-    return s.select("o_orderpriority", "s.height", "s.nodes", "s.edges", F.get("s.pre", 0).alias("root"))
+    nodes = trees.tree_nodes(load(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_orderpriority")
+    return trees.tree_metrics(nodes).withColumnRenamed("group", "o_orderpriority")
 
 
 @query(

@@ -107,8 +107,6 @@ def test_stores(spark, tmp_path):
     assert [tuple(r) for r in skipped.collect()] == [("S", "x", "9")]
     assert stores.read_ini(spark, str(tmp_path / "c.ini")).count() == 4
     assert stores.get_entry(merged, "s", "X").first().value == "1"
-    shape = spark.createDataFrame([([5, 2, 8, 1, 9, 5, 3],)], "k array<bigint>").select(stores.tree_shape(F.col("k")).alias("s")).first().s
-    assert (shape.pre, shape.post, shape.height, shape.nodes) == ([5, 2, 1, 3, 8, 9], [1, 3, 2, 9, 8, 5], 2, 6)
 
 
 def test_web(spark):
