@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.lazy import lazy_pandas_udf
+from tessella.session import cut
 
 
 def add_vectors(*vectors: Column) -> Column:
@@ -84,30 +82,56 @@ def determinant(rows: Column, n: int) -> Column:
     raise ValueError("use determinant_any for larger matrices")
 
 
-@lazy_pandas_udf("double")
-def determinant_any(rows: pd.Series) -> pd.Series:
-    """Of any size; null if not square."""
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, within lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: A pivot below this makes a matrix singular.
+LEAST_PIVOT = 1e-12
+
 
-    def one(m) -> float | None:
-        a = np.array([list(r) for r in m], float) if m is not None else np.zeros(0)
-        return float(np.linalg.det(a)) if a.ndim == 2 and a.shape[0] == a.shape[1] else None
+def eliminated(rows: Column) -> Column:
+    """struct<m, det>: the rows of a matrix, or of one with further columns on its right, after Gauss-Jordan elimination with the
+    largest pivot of each column (the first such row), and the determinant of its square left part. A fold over columns within
+    the row, of any size; where no pivot is left the determinant is 0."""
+    n = F.size(rows)
+    state = F.struct(F.transform(rows, lambda r: F.transform(r, lambda x: x.cast("double"))).alias("m"), F.lit(1.0).alias("det"))
 
-    return rows.map(one)
+    def step(s: Column, k: Column) -> Column:
+        size = F.transform(s["m"], lambda r, i: F.when(i >= k, F.abs(F.get(r, k))).otherwise(-1.0))
+        return let(size, lambda c: let(F.array_position(c, F.array_max(c)).cast("int") - 1, lambda p: apart(s, k, p)))
 
+    def apart(s: Column, k: Column, p: Column) -> Column:
+        pivot = F.get(F.get(s["m"], p), k)
+        lead = let(pivot, lambda v: F.transform(F.get(s["m"], p), lambda x: x / v))
+        swapped = F.transform(s["m"], lambda r, i: F.when(i == p, F.get(s["m"], k)).otherwise(r))
+        cleared = lambda one: F.transform(swapped, lambda r, i: F.when(i == k, one).otherwise(F.zip_with(r, one, lambda x, y: x - F.get(r, k) * y)))
+        done = F.struct(let(lead, cleared).alias("m"), (s["det"] * pivot * F.when(p == k, 1.0).otherwise(-1.0)).alias("det"))
+        return F.when((s["det"] == 0) | (F.abs(pivot) < LEAST_PIVOT), F.struct(s["m"].alias("m"), F.lit(0.0).alias("det"))).otherwise(done)
 
-@lazy_pandas_udf("struct<inverse:array<array<double>>,error:string>")
-def inverse(rows: pd.Series) -> pd.DataFrame:
-    """The inverse, or null and the reason."""
-    out = []
-    for m in rows:
-        a = np.array([list(r) for r in m], float) if m is not None else np.zeros(0)
-        if a.ndim != 2 or a.shape[0] != a.shape[1]:
-            out.append((None, "not square"))
-        elif abs(np.linalg.det(a)) < 1e-12:
-            out.append((None, "singular"))
-        else:
-            out.append((np.linalg.inv(a).tolist(), None))
-    return pd.DataFrame(out, columns=["inverse", "error"])
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), state, step)
+
+
+def is_square(rows: Column) -> Column:
+    return F.coalesce(F.forall(rows, lambda r: F.size(r) == F.size(rows)), F.lit(False))
+
+
+def determinant_any(rows: Column) -> Column:
+    """Of any size; null if not square."""
+    return F.when(is_square(rows), eliminated(rows)["det"])
+
+
+def inverse(rows: Column) -> Column:
+    """struct<inverse, error>: the inverse, or null and the reason."""
+    n = F.size(rows)
+    unit = lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(i == j, 1.0).otherwise(0.0))
+    beside = F.transform(rows, lambda r, i: F.concat(F.transform(r, lambda x: x.cast("double")), unit(i)))
+    right = lambda e: F.transform(e["m"], lambda r: F.slice(r, n + 1, n))
+    out = lambda m, error: F.struct(m.cast("array<array<double>>").alias("inverse"), F.lit(error).cast("string").alias("error"))
+    none = F.lit(None)
+    found = let(eliminated(beside), lambda e: F.when(e["det"] == 0, out(none, "singular")).otherwise(out(right(e), None)))
+    return F.when(is_square(rows) & (n > 0), found).otherwise(out(none, "not square"))
 
 
 def row_operation(row: Column, op) -> Column:
@@ -130,23 +154,68 @@ def magnitude(re: Column, im: Column, digits: int = 3) -> Column:
     return F.bround(F.sqrt(re * re + im * im), digits)
 
 
-@lazy_pandas_udf("struct<re:array<double>,im:array<double>>")
-def fast_spectrum(signals: pd.Series) -> pd.DataFrame:
-    """The transform of the signal cut to its largest power of two."""
-    out = []
-    for s in signals:
-        n = 1 << (len(s).bit_length() - 1) if s is not None and len(s) else 0
-        z = np.fft.fft(np.asarray(s[:n], float)) if n else np.zeros(0)
-        out.append((z.real.tolist(), z.imag.tolist()))
-    return pd.DataFrame(out, columns=["re", "im"])
-
+COMPLEX = "array<struct<re:double,im:double>>"
 
-def perceptron(points: Column, most_rounds: int = 100) -> Column:
-    """Weights that separate points array<struct<x: array<double>, y: int>>, by cyclic updates: a fold over rounds of
-    a fold over the points. Null components never occur; without a separator the last weights are given."""
-    zero = F.transform(F.element_at(points, 1)["x"], lambda _: F.lit(0.0))
 
-    def visit(w: Column, p: Column) -> Column:
-        return F.when(dot(w, p["x"]) * p["y"] > 0, w).otherwise(F.zip_with(w, p["x"], lambda a, b: a + b * p["y"]))
+def fast_transform(signal: Column) -> Column:
+    """The discrete Fourier transform of an array of complex numbers (re, im) whose length is a power of two: log n stages as a fold.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), zero, lambda w, _: F.aggregate(points, w, visit))
+    After stage s the place k n / 2^s + p holds frequency k of the 2^s samples that are n / 2^s apart from p on: each stage
+    puts two such transforms of half the length together, and the last one leaves frequencies in order."""
+    n = F.size(signal)
+    stages = F.when(n > 1, F.sequence(F.lit(1), F.round(F.log2(n.cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def stage(z: Column, s: Column) -> Column:
+        length = F.pow(F.lit(2), s).cast("int")  # of the transforms after the stage
+        return let(F.struct(length.alias("length"), (n / length).cast("int").alias("apart")), lambda c: F.transform(z, lambda _, i: joined(z, i, c["length"], c["apart"])))
+
+    def joined(z: Column, i: Column, length: Column, apart: Column) -> Column:
+        k, p = ((i - i % apart) / apart).cast("int"), i % apart
+        at = (k % (length / 2).cast("int")) * (2 * apart) + p
+        angle = k * (-2 * math.pi) / length
+        even, odd = F.get(z, at), F.get(z, at + apart)
+        return let(F.struct(F.cos(angle).alias("c"), F.sin(angle).alias("s"), even.alias("a"), odd.alias("b")), lambda t: F.struct(
+            (t["a"]["re"] + t["c"] * t["b"]["re"] - t["s"] * t["b"]["im"]).alias("re"), (t["a"]["im"] + t["c"] * t["b"]["im"] + t["s"] * t["b"]["re"]).alias("im")))
+
+    return F.aggregate(stages, signal.cast(COMPLEX), stage)
+
+
+def power_of_two(n: Column) -> Column:
+    """The largest power of two up to n, 0 for 0."""
+    return F.when(n > 0, F.pow(F.lit(2), F.length(F.bin(n.cast("long"))) - 1)).otherwise(0).cast("long")
+
+
+def fast_spectrum(signal: Column) -> Column:
+    """The transform of a real signal cut to its largest power of two, as complex numbers."""
+    cut_off = F.slice(signal, 1, power_of_two(F.size(signal)).cast("int"))
+    return fast_transform(F.transform(cut_off, lambda x: F.struct(x.cast("double").alias("re"), F.lit(0.0).alias("im"))))
+
+
+#: Up to so many signals their sizes are broadcast.
+MOST_SIGNALS = 1_000_000
+
+
+def long_spectrum(samples: DataFrame, key: str, place: str, value: str) -> DataFrame:
+    """(key, k, re, im): the transform of signals given as rows (key, place from 0, value), cut to their largest power of two, of any
+    length: the signal is a matrix of about sqrt(n) rows, whose columns are transformed, turned and transformed by rows, so a
+    group never holds more than about sqrt(n) samples. Missing samples count as 0."""
+    rows = samples.select(F.col(key).alias("signal"), F.col(place).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy("signal").agg(power_of_two(F.max("i") + 1).alias("n")).withColumn("rows", F.pow(F.lit(2), F.floor(F.log2(F.col("n").cast("double")) / 2 + 1e-9)).cast("long"))
+    sizes = cut(sizes.withColumn("columns", (F.col("n") / F.col("rows")).cast("long")))
+    # one long signal is one key: unless there are very many signals, no row is shuffled by it
+    sized = rows.join(F.broadcast(sizes) if sizes.count() <= MOST_SIGNALS else sizes, "signal").where("i < n")
+    number = lambda re, im: F.struct(re.alias("re"), im.alias("im"))
+
+    def transformed(df: DataFrame, group: str, at: str, size: str) -> DataFrame:
+        """The transforms of each group's numbers z in order of `at`, gaps as 0: a row (group, at, z) each."""
+        held = df.groupBy("signal", "n", "rows", "columns", group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("int").alias("at"), "z"))).alias("held"))
+        whole = F.transform(F.sequence(F.lit(0), F.col(size).cast("int") - 1), lambda i: F.coalesce(F.try_element_at("held", i), number(F.lit(0.0), F.lit(0.0))))
+        return held.select("signal", "n", "rows", "columns", group, F.posexplode(fast_transform(whole)).alias("k", "z"))
+
+    across = sized.select("signal", "n", "rows", "columns", (F.col("i") % F.col("columns")).alias("column"), F.floor(F.col("i") / F.col("columns")).alias("row"), number(F.col("v"), F.lit(0.0)).alias("z"))
+    columns = transformed(across, "column", "row", "rows")
+    angle = F.col("column") * F.col("k") * (-2 * math.pi) / F.col("n")
+    c, s, re, im = F.cos(angle), F.sin(angle), F.col("z.re"), F.col("z.im")
+    turned = columns.select("signal", "n", "rows", "columns", F.col("k").alias("low"), "column", number(c * re - s * im, c * im + s * re).alias("z"))
+    found = transformed(turned, "low", "column", "columns")
+    return found.select(F.col("signal").alias(key), (F.col("low") + F.col("rows") * F.col("k")).alias("k"), "z.re", "z.im")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, numbers, strings
-from tessella.operators import events, html, images, logs, similarity, stores, trees, web
+from tessella.operators import events, html, images, learning, logs, similarity, stores, trees, web
 from tessella.plans import image_pipeline, predicate
 from tessella.session import load, work_path
 from tessella.streaming import bus
@@ -457,10 +457,27 @@ def mat3(spark: SparkSession, sf: str) -> DataFrame:
     return _doubles(spark, sf).select("vec_id", F.round(arrays.determinant(_rows(2), 2), 6).alias("det2"), F.round(arrays.determinant(_rows(3), 3), 6).alias("det3"), arrays.is_identity(_rows(3)).alias("is_identity"))
 
 
-@query("mat5_inverse")
+#: Determinants of 8 x 8 by sums over sets of columns, one row of the matrix a level.
+_DET8 = """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+d(vec_id, i, cols, v) AS (
+  SELECT vec_id, 0, 0, 1.0::DOUBLE FROM e
+  UNION ALL SELECT d.vec_id, any_value(d.i) + 1, d.cols | (1 << j)::INT, sum(CASE WHEN bit_count(d.cols >> j) % 2 = 0 THEN 1 ELSE -1 END * e[d.i * 8 + j + 1] * d.v)
+  FROM d JOIN e USING (vec_id), range(0, 8) r(j) WHERE d.i < 8 AND (d.cols >> j) & 1 = 0 GROUP BY d.vec_id, d.cols | (1 << j)::INT
+)"""
+
+
+@query("mat3_determinant_8", f"{_DET8} SELECT vec_id, round(v * 1e6, 3) + 0.0 AS det_millionths FROM d WHERE i = 8")
+def mat3_8(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(spark, sf).select("vec_id", (F.round(arrays.determinant_any(_rows(8)) * 1e6, 3) + 0.0).alias("det_millionths"))
+
+
+@query("mat5_inverse", "SELECT vec_id, i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS product FROM embeddings, range(0, 8) a(i), range(0, 8) b(j)")
 def mat5(spark: SparkSession, sf: str) -> DataFrame:
-    r = _doubles(spark, sf).select("vec_id", arrays.inverse(_rows(3)).alias("r"), arrays.determinant_any(_rows(8)).alias("det8"))
-    return r.select("vec_id", F.to_json("r.inverse").alias("inverse"), "r.error", "det8")
+    """Each vector as a matrix of 8 x 8 times its inverse."""
+    m = _doubles(spark, sf).select("vec_id", _rows(8).alias("m"))
+    inverses = m.select("vec_id", arrays.inverse(F.col("m"))["inverse"].alias("m"))
+    product = arrays.multiply(arrays.entries(m, "vec_id", "m"), arrays.entries(inverses, "vec_id", "m"), "vec_id")
+    return product.select("vec_id", "i", "j", (F.round("v", 4) + 0.0).alias("product"))
 
 
 _SPECTRUM = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), k AS (SELECT vec_id, e, unnest(range(0, len(e))) AS k FROM e),
@@ -475,15 +492,38 @@ def sig1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sig2_fast_spectrum", _SPECTRUM)  # 64 numbers, a power of two: both transforms agree
 def sig2(spark: SparkSession, sf: str) -> DataFrame:
-    r = _doubles(spark, sf).select("vec_id", arrays.fast_spectrum(F.col("e")).alias("s"))
-    return r.select("vec_id", F.posexplode(F.arrays_zip("s.re", "s.im")).alias("k", "z")).select("vec_id", "k", arrays.magnitude(F.col("z.re"), F.col("z.im")).alias("magnitude"))
+    r = _doubles(spark, sf).select("vec_id", F.posexplode(arrays.fast_spectrum(F.col("e"))).alias("k", "z"))
+    return r.select("vec_id", "k", arrays.magnitude(F.col("z.re"), F.col("z.im")).alias("magnitude"))
+
+
+@query(
+    "sig3_long_spectrum",
+    """WITH o AS (SELECT o_orderkey AS i, o_totalprice / 1e6 AS v FROM orders), n AS (SELECT pow(2, floor(log2(count(*))))::BIGINT AS n FROM o), c AS (SELECT list(v ORDER BY i) AS x, n FROM o, n WHERE i < n GROUP BY n)
+SELECT k, round(sqrt(pow(list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * ((k * (i - 1)) % n) / n))), 2) + pow(list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * ((k * (i - 1)) % n) / n))), 2)), 3) AS magnitude FROM c, range(0, n) r(k)""",
+)
+def sig3(spark: SparkSession, sf: str) -> DataFrame:
+    """The prices of all orders as one signal."""
+    samples = load(spark, sf, "orders").select(F.lit(0).alias("signal"), "o_orderkey", (F.col("o_totalprice") / 1e6).alias("v"))
+    return arrays.long_spectrum(samples, "signal", "o_orderkey", "v").select("k", arrays.magnitude(F.col("re"), F.col("im")).alias("magnitude"))
+
+
+_CLASS = "CASE WHEN vec_id % 3 = 0 THEN 1 ELSE -1 END"
 
 
-@query("ml1_perceptron")
+@query("ml1_perceptron", f"SELECT vec_id, {_CLASS} AS predicted, 0::BIGINT AS wrong FROM embeddings")
 def ml1(spark: SparkSession, sf: str) -> DataFrame:
-    point = F.struct(F.slice("e", 1, 8).alias("x"), F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1).alias("y"))
-    groups = _doubles(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", point.alias("p")))).alias("g"))
-    return groups.select("label", F.to_json(arrays.perceptron(F.transform("g", lambda g: g["p"]), 5)).alias("weights"))
+    """Vectors moved apart by their class, so that a plane separates them: the trained one puts all on their side."""
+    points = _doubles(spark, sf).withColumn("y", F.expr(_CLASS)).select("vec_id", "y", F.transform("e", lambda v: v + F.col("y") * 0.1).alias("x"))
+    model = learning.train_perceptron(points)
+    return points.select("vec_id", model.predicted("x").alias("predicted"), F.lit(model.wrong).cast("long").alias("wrong"))
+
+
+@query("ml1_end_without_plane", "SELECT 5 AS rounds, count(*) AS points, true AS some_wrong FROM embeddings")
+def ml1_end(spark: SparkSession, sf: str) -> DataFrame:
+    """No plane separates a vector from itself, so the training ends after the stated rounds."""
+    points = _doubles(spark, sf).select(F.col("e").alias("x"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("y"))
+    model = learning.train_perceptron(points, most_rounds=5)
+    return _doubles(spark, sf).agg(F.lit(model.rounds).alias("rounds"), F.count("*").alias("points"), F.lit(model.wrong > 0).alias("some_wrong"))
 
 
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays, numbers, strings
+from tessella.operators import learning
 
 
 def one(spark, **columns):
@@ -119,13 +120,60 @@ def test_arrays(spark):
     r = d.select(arrays.determinant_any(F.col("m")).alias("det"), arrays.inverse(F.col("m")).alias("inv"), arrays.fast_spectrum(F.col("s")).alias("f"), "s").first()
     assert abs(r.det - np.linalg.det(m)) < 1e-9
     assert np.allclose(np.array([list(x) for x in r.inv.inverse]) @ m, np.eye(5))
-    assert np.allclose(np.array(r.f.re) + 1j * np.array(r.f.im), np.fft.fft(r.s[:16]))
+    assert np.allclose([complex(z.re, z.im) for z in r.f], np.fft.fft(r.s[:16]))
     singular = one(spark, m=([[1.0, 2.0], [2.0, 4.0]], "array<array<double>>")).select(arrays.inverse(F.col("m")).alias("inv")).first().inv
     assert singular.inverse is None and singular.error == "singular"
     assert value(d, arrays.is_identity(arrays.identity(3)))
 
 
+def test_elimination(spark):
+    rng = np.random.default_rng(4)
+    matrices = [rng.normal(size=(n, n)) for n in (1, 2, 3, 5, 9)] + [np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([[0.0, 2.0, 1.0], [0.0, 0.0, 3.0], [4.0, 5.0, 6.0]])]
+    rows = [(i, m.tolist()) for i, m in enumerate(matrices)]
+    odd = [(90, [[1.0, 2.0], [2.0, 4.0]]), (91, [[1.0, 2.0]]), (92, None), (93, []), (94, [[0.0, 0.0], [0.0, 0.0]]), (95, [[1.0], [2.0]])]
+    d = spark.createDataFrame(rows + odd, "i int, m array<array<double>>").select("i", arrays.determinant_any(F.col("m")).alias("det"), arrays.inverse(F.col("m")).alias("inv"))
+    found = {r.i: r for r in d.collect()}
+    for i, m in enumerate(matrices):
+        assert abs(found[i].det - np.linalg.det(m)) < 1e-9
+        assert np.allclose(np.array([list(x) for x in found[i].inv.inverse]) @ m, np.eye(len(m))) and found[i].inv.error is None
+    assert {i: (found[i].det, found[i].inv.error) for i, _ in odd} == {90: (0.0, "singular"), 91: (None, "not square"), 92: (None, "not square"), 93: (1.0, "not square"), 94: (0.0, "singular"), 95: (None, "not square")}
+
+
+def test_fast_transform(spark):
+    rng = np.random.default_rng(5)
+    signals = [rng.normal(size=n).tolist() for n in (1, 2, 3, 8, 100, 257)]
+    d = spark.createDataFrame(list(enumerate(signals)) + [(90, []), (91, None)], "i int, s array<double>")
+    found = {r.i: r.z for r in d.select("i", arrays.fast_spectrum(F.col("s")).alias("z")).collect()}
+    for i, s in enumerate(signals):
+        n = 1 << (len(s).bit_length() - 1)
+        assert np.allclose([complex(z.re, z.im) for z in found[i]], np.fft.fft(s[:n]))
+    assert found[90] == [] and found[91] is None
+
+
+def test_long_spectrum(spark):
+    rng = np.random.default_rng(6)
+    signals = {"a": rng.normal(size=1000), "b": rng.normal(size=64), "c": rng.normal(size=1), "d": rng.normal(size=2), "e": rng.normal(size=37)}
+    rows = [(k, i, float(v)) for k, s in signals.items() for i, v in enumerate(s) if (k, i) != ("b", 5)]
+    signals["b"][5] = 0
+    got = {}
+    for r in arrays.long_spectrum(spark.createDataFrame(rows, "n string, i int, v double"), "n", "i", "v").collect():
+        got.setdefault(r[0], {})[r.k] = complex(r.re, r.im)
+    for k, s in signals.items():
+        n = 1 << (len(s).bit_length() - 1)
+        assert sorted(got[k]) == list(range(n)) and np.allclose([got[k][i] for i in range(n)], np.fft.fft(s[:n]))
+
+
 def test_perceptron(spark):
-    points = [([-1.0, 1.0], 1), ([0.0, -1.0], -1), ([10.0, 1.0], 1)]
-    w = value(one(spark, p=(points, "array<struct<x:array<double>,y:int>>")), arrays.perceptron(F.col("p")))
-    assert all(np.dot(w, x) * y > 0 for x, y in points)
+    rng = np.random.default_rng(7)
+    plane = rng.normal(size=5)
+    x = rng.normal(size=(400, 5))
+    x = x[np.abs(x @ plane + 0.3) > 0.2]
+    y = np.where(x @ plane + 0.3 > 0, 1, -1)
+    d = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)] + [(None, 1), ([1.0, None, 1.0, 1.0, 1.0], 1), ([1.0] * 5, None)], "x array<double>, y int").repartition(5)
+    model = learning.train_perceptron(d)
+    assert model.wrong == 0 and model.rounds < 100
+    assert d.where("y is not null and x is not null and x[1] is not null").where(model.predicted("x") != F.col("y")).count() == 0
+    both = spark.createDataFrame([([1.0, 2.0], 1), ([1.0, 2.0], -1)], "x array<double>, y int")
+    model = learning.train_perceptron(both, most_rounds=4)
+    assert model.rounds == 4 and model.wrong >= 1
+    assert learning.train_perceptron(both.limit(0)) == learning.Perceptron([], 0.0, 0, 0)
