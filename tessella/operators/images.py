@@ -1,15 +1,17 @@
 """Small grey images as rows (key, x, y, v) with v in 0..255: relational pixel operations.
 
-Pixels meet their neighbours by exploding each into the cells it reaches, an equi-join's worth of rows per kernel cell
-without a join; borders use the pixels that exist."""
+Images are full rectangles. Means of boxes come from running sums along rows and columns, so a kernel of any size costs four
+look-ups; kernels that are no boxes explode each pixel into the cells it reaches. Connected areas grow by whole runs of
+pixels until nothing changes. Borders use the pixels that exist."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 
 def pixels(df: DataFrame, key: str, values: str, width: int = 8) -> DataFrame:
     """Arrays of values in rows of `width`, scaled to 0..255 by each array's own range."""
@@ -68,10 +70,28 @@ def neighbourhood(image: DataFrame, key: str, size: int = 3, shape: str = "rect"
     return moved.groupBy(key, "x", "y").agg(F.array_sort(F.collect_list("v")).alias("near"), F.max("own").alias("inside"), F.max(F.when(F.col("own"), F.col("v"))).alias("v")).where("inside").drop("inside")
 
 
+def _odd(size: int) -> int:
+    if size % 2 == 0:
+        raise ValueError("a kernel's size must be odd")
+    return size // 2
+
+
+def box_sums(image: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, x, y, v, total, n): the sum of the pixels within a box around each one, and how many there are; a summed-area table
+    made and read along x, then along y: of each running sum the one at the box's end less the one before its start."""
+    r = _odd(size)
+    out = image.select(key, "x", "y", "v", F.col("v").cast("long").alias("total"), F.lit(1).cast("long").alias("n"))
+    for along, other in (("x", "y"), ("y", "x")):
+        line = Window.partitionBy(key, other).orderBy(along)
+        whole = Window.partitionBy(key, other)
+        within = lambda c: F.coalesce(F.lead(f"tsl_{c}", r).over(line), F.sum(c).over(whole)) - F.coalesce(F.lag(f"tsl_{c}", r + 1).over(line), F.lit(0))  # noqa: B023, E731
+        out = out.withColumns({f"tsl_{c}": F.sum(c).over(line) for c in ("total", "n")})
+        out = out.select(key, "x", "y", "v", within("total").alias("total"), within("n").alias("n"))
+    return out
+
+
 def average_blur(image: DataFrame, key: str, size: int = 3) -> DataFrame:
-    near = neighbourhood(image, key, size)
-    mean = F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x) / F.size("near")
-    return near.select(key, "x", "y", F.floor(mean).cast("int").alias("v"))
+    return box_sums(image, key, size).select(key, "x", "y", F.floor(F.col("total") / F.col("n")).cast("int").alias("v"))
 
 
 def median_blur(image: DataFrame, key: str, size: int = 3) -> DataFrame:
@@ -79,13 +99,29 @@ def median_blur(image: DataFrame, key: str, size: int = 3) -> DataFrame:
     return near.select(key, "x", "y", F.element_at("near", F.floor((F.size("near") + 1) / 2).cast("int")).alias("v"))
 
 
+def gaussian_mean(image: DataFrame, key: str, size: int = 5, sigma: float = 0.0) -> DataFrame:
+    """(key, x, y, v, mean): the mean weighted by distance, along rows and then along columns, as the weights are products; with the
+    usual sigma for a kernel's size, 0.3 ((size - 1) / 2 - 1) + 0.8, if none is given."""
+    s, r = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8, _odd(size)
+    out = image.select(key, "x", "y", "v", F.col("v").cast("double").alias("mean"))
+    for along, other in (("x", "y"), ("y", "x")):
+        line = Window.partitionBy(key, other).orderBy(along)
+        near = [(F.lag("mean", d).over(line) if d > 0 else F.lead("mean", -d).over(line) if d else F.col("mean"), float(np.exp(-d * d / (2 * s * s)))) for d in range(-r, r + 1)]
+        value = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in near), F.lit(0.0))
+        weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in near), F.lit(0.0))
+        out = out.select(key, "x", "y", "v", (value / weight).alias("mean"))
+    return out
+
+
 def gaussian_blur(image: DataFrame, key: str, size: int = 5, sigma: float = 0.0) -> DataFrame:
-    """Weighted mean with the usual sigma for a kernel's size, 0.3 ((size - 1) / 2 - 1) + 0.8, if none is given."""
-    s, r = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(np.exp(-(i * i + j * j) / (2 * s * s)))).alias("w")) for i in range(-r, r + 1) for j in range(-r, r + 1)]
-    moved = image.select(key, "x", "y", "v", F.explode(F.array(*cells)).alias("d")).select(key, (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), "v", "d.w", ((F.col("d.i") == 0) & (F.col("d.j") == 0)).alias("own"))
-    mean = F.sum(F.col("v") * F.col("w")) / F.sum("w")
-    return moved.groupBy(key, "x", "y").agg(F.round(mean).cast("int").alias("v"), F.max("own").alias("inside")).where("inside").drop("inside")
+    return gaussian_mean(image, key, size, sigma).select(key, "x", "y", F.round("mean").cast("int").alias("v"))
+
+
+def unsharp(image: DataFrame, key: str, amount: float = 2.0, blurred: float = 0.5, plus: float = 0.0, size: int = 3) -> DataFrame:
+    """amount times the image and `blurred` times its blurred form, plus a constant, cut to 0..255."""
+    mean = F.floor(F.col("total") / F.col("n"))
+    value = F.round(amount * F.col("v") + blurred * mean + plus)
+    return box_sums(image, key, size).select(key, "x", "y", F.greatest(F.lit(0), F.least(F.lit(255), value)).cast("int").alias("v"))
 
 
 def bilateral_blur(image: DataFrame, key: str, size: int = 7, colour: float = 75.0, space: float = 75.0) -> DataFrame:
@@ -98,25 +134,63 @@ def bilateral_blur(image: DataFrame, key: str, size: int = 7, colour: float = 75
     return both.groupBy(key, "x", "y").agg(F.round(F.sum(F.col("other") * w) / F.sum(w)).cast("int").alias("v"))
 
 
-def adaptive_threshold(image: DataFrame, key: str, size: int = 11, minus: float = 2.0, most: int = 255) -> DataFrame:
-    """Whether a pixel is over its neighbourhood's mean less a constant."""
-    near = neighbourhood(image, key, size)
-    mean = F.aggregate("near", F.lit(0).cast("long"), lambda s, x: s + x) / F.size("near")
-    return near.select(key, "x", "y", F.when(F.col("v") > mean - minus, most).otherwise(0).alias("v"))
+def adaptive_threshold(image: DataFrame, key: str, size: int = 11, minus: float = 2.0, most: int = 255, kind: str = "mean") -> DataFrame:
+    """Whether a pixel is over its neighbourhood's mean, or its gaussian mean, less a constant."""
+    if kind not in ("mean", "gaussian"):
+        raise ValueError(f"no mean {kind}")
+    near = box_sums(image, key, size).withColumn("mean", F.col("total") / F.col("n")) if kind == "mean" else gaussian_mean(image, key, size)
+    return near.select(key, "x", "y", F.when(F.col("v") > F.col("mean") - minus, most).otherwise(0).alias("v"))
+
+
+def clahe(image: DataFrame, key: str, clip: float = 4.0, tiles: int = 8) -> DataFrame:
+    """Histogram equalisation by tiles with limited contrast: of each tile's histogram what is over the limit is dealt evenly to
+    all values, its running sums give the tile's new values, and a pixel's is interpolated between the four tiles around."""
+    size = image.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    wide, high = F.ceil(F.col("w") / tiles), F.ceil(F.col("h") / tiles)
+    sized = image.join(size.select(key, wide.alias("tw"), high.alias("th"), F.ceil(F.col("w") / wide).alias("nx"), F.ceil(F.col("h") / high).alias("ny")), key)
+    placed = sized.select("*", F.floor(F.col("x") / F.col("tw")).alias("tx"), F.floor(F.col("y") / F.col("th")).alias("ty"))
+    counts = placed.groupBy(key, "tx", "ty", "v").agg(F.count("*").alias("c"))
+    held = counts.groupBy(key, "tx", "ty").agg(F.sum("c").alias("area"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("c"))  # 256 values at most
+    limit = F.greatest(F.lit(1), F.floor(clip * F.col("area") / 256)).cast("long")
+    clipped = held.select(key, "tx", "ty", "area", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.least(F.coalesce(F.try_element_at("c", v), F.lit(0)), limit)).alias("h"))
+    kept = F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + x)
+    dealt = clipped.withColumn("over", F.col("area") - kept).withColumns({"each": F.floor(F.col("over") / 256), "rest": F.col("over") % 256})
+    step = F.greatest(F.floor(256 / F.greatest(F.col("rest"), F.lit(1))), F.lit(1))
+    bins = F.transform("h", lambda n, v: n + F.col("each") + F.when((v % step == 0) & (v / step < F.col("rest")), 1).otherwise(0))
+    sums = F.aggregate(bins, F.array().cast("array<long>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0).cast("long")), s), -1), F.lit(0)) + x)))
+    table = dealt.select(key, F.col("tx").alias("ax"), F.col("ty").alias("ay"), F.transform(sums, lambda s: F.round(s * 255 / F.col("area"))).alias("table"))
+    fx, fy = F.col("x") / F.col("tw") - 0.5, F.col("y") / F.col("th") - 0.5
+    four = placed.select(key, "x", "y", "v", "nx", "ny", F.floor(fx).alias("x0"), F.floor(fy).alias("y0"), (fx - F.floor(fx)).alias("a"), (fy - F.floor(fy)).alias("b"))
+    corner = lambda i, j: F.struct(
+        F.greatest(F.lit(0), F.least(F.col("nx") - 1, F.col("x0") + i)).alias("ax"),
+        F.greatest(F.lit(0), F.least(F.col("ny") - 1, F.col("y0") + j)).alias("ay"),
+        ((F.col("a") if i else 1 - F.col("a")) * (F.col("b") if j else 1 - F.col("b"))).alias("weight"),
+    )
+    each = four.select(key, "x", "y", "v", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("t")).select(key, "x", "y", "v", "t.*")
+    looked = each.join(table, [key, "ax", "ay"])
+    return looked.groupBy(key, "x", "y").agg(F.round(F.sum(F.col("weight") * F.get("table", F.col("v")))).cast("int").alias("v"))
 
 
 def _extreme(image: DataFrame, key: str, size: int, shape: str, f) -> DataFrame:
     return neighbourhood(image, key, size, shape).select(key, "x", "y", f("near").alias("v"))
 
 
+def _extreme_of_box(image: DataFrame, key: str, size: int, f) -> DataFrame:
+    """Of a box: along rows, then along columns."""
+    r, out = _odd(size), image.select(key, "x", "y", "v")
+    for along, other in (("x", "y"), ("y", "x")):
+        out = out.withColumn("v", f("v").over(Window.partitionBy(key, other).orderBy(along).rowsBetween(-r, r)))
+    return out
+
+
 def _minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b.withColumnRenamed("v", "w"), [key, "x", "y"]).select(key, "x", "y", F.greatest(F.col("v") - F.col("w"), F.lit(0)).alias("v"))
 
 
 def morph(image: DataFrame, key: str, kind: str = "dilate", size: int = 3, shape: str = "rect") -> DataFrame:
     """dilate, erode, open, close, gradient, tophat, blackhat."""
-    dilate = lambda d: _extreme(d, key, size, shape, F.array_max)
-    erode = lambda d: _extreme(d, key, size, shape, F.array_min)
+    box = lambda f, g: (lambda d: _extreme_of_box(d, key, size, f) if shape == "rect" else _extreme(d, key, size, shape, g))
+    dilate, erode = box(F.max, F.array_max), box(F.min, F.array_min)
     if kind in ("dilate", "erode"):
         return (dilate if kind == "dilate" else erode)(image)
     if kind in ("open", "tophat"):
@@ -190,39 +264,73 @@ def rotate(image: DataFrame, key: str, degrees: float) -> DataFrame:
     return source.join(values, [key, "sx", "sy"], "left").select(key, "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+#: Lines along which pixels touch: what is equal on a line, and the order on it.
+STRAIGHT = (("y", "x"), ("x", "y"))
+SLANTED = (("x - y", "x"), ("x + y", "x"))
+
+
+def areas(image: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
+    """(key, x, y, v, area): the pixels over 0 with the least place (y, then x) of their connected area, by their four neighbours or
+    all eight. In a round each run of pixels on a line, of rows, columns and with diagonal of slants, takes its least place, so
+    a round passes whole runs; it ends when nothing changes."""
+    found = cut(image.where("v > 0").select(key, "x", "y", "v", F.struct("y", "x").alias("area")))
+    measure = lambda d: d.agg(F.sum(F.xxhash64(key, "x", "y", "area").cast("decimal(38,0)"))).first()[0]
+    state = measure(found)
+    while True:
+        for line, along in (*STRAIGHT, *(SLANTED if diagonal else ())):
+            on = Window.partitionBy(key, F.expr(line))
+            # places of a run less their numbers are equal
+            runs = found.withColumn("tsl_run", F.col(along) - F.row_number().over(on.orderBy(along)))
+            found = runs.withColumn("area", F.min("area").over(Window.partitionBy(key, F.expr(line), "tsl_run"))).drop("tsl_run")
+        found = cut(found)
+        state, before = measure(found), state
+        if state == before:
+            return found
+
+
 def contours(image: DataFrame, key: str) -> DataFrame:
-    """(key, label, n, x0, y0, x1, y1): boxes of 4-connected areas of pixels over 0, largest first by n. One image is
-    handled in one Arrow group."""
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        left = {(int(x), int(y)) for x, y, v in zip(rows["x"], rows["y"], rows["v"], strict=True) if v > 0}
-        out = []
-        while left:
-            area, todo = [], [left.pop()]
-            while todo:
-                x, y = todo.pop()
-                area.append((x, y))
-                for near in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-                    if near in left:
-                        left.remove(near)
-                        todo.append(near)
-            xs, ys = [p[0] for p in area], [p[1] for p in area]
-            out.append((len(area), min(xs), min(ys), max(xs), max(ys)))
-        out.sort(key=lambda r: (-r[0], r[1:]))
-        return pd.DataFrame([(rows[key].iloc[0], i, *r) for i, r in enumerate(out)], columns=[key, "label", "n", "x0", "y0", "x1", "y1"])
-
-    kind = image.schema[key].dataType.simpleString()
-    return image.groupBy(key).applyInPandas(label, f"{key} {kind}, label int, n long, x0 int, y0 int, x1 int, y1 int")
+    """(key, label, n, x0, y0, x1, y1): boxes of 4-connected areas of pixels over 0, largest first by n."""
+    box = areas(image, key).groupBy(key, "area").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "x0", "y0", "x1", "y1")
+    return box.select(key, (F.row_number().over(order) - 1).alias("label"), "n", "x0", "y0", "x1", "y1")
 
 
-def edges(image: DataFrame, key: str, at: int = 100) -> DataFrame:
-    """Pixels whose Sobel gradient's length is over a threshold; missing neighbours count as the border's own value."""
+def gradient(image: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, gx, gy) by Sobel's weights; missing neighbours count as the border's own value."""
     weights = {(-1, -1): (-1, -1), (0, -1): (0, -2), (1, -1): (1, -1), (-1, 0): (-2, 0), (1, 0): (2, 0), (-1, 1): (-1, 1), (0, 1): (0, 2), (1, 1): (1, 1)}
     cells = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b")) for (i, j), (a, b) in weights.items()])
     moved = image.select(key, "x", "y", "v", F.explode(cells).alias("d")).select(key, (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), F.col("v").alias("w"), "d.a", "d.b")
     both = image.join(moved, [key, "x", "y"], "left")
-    gx, gy = F.sum(F.col("a") * (F.col("w") - F.col("v"))), F.sum(F.col("b") * (F.col("w") - F.col("v")))
-    return both.groupBy(key, "x", "y").agg(F.when(F.sqrt(gx * gx + gy * gy) > at, 255).otherwise(0).alias("v"))
+    part = lambda c: F.coalesce(F.sum(F.col(c) * (F.col("w") - F.col("v"))), F.lit(0)).alias(f"g{'x' if c == 'a' else 'y'}")
+    return both.groupBy(key, "x", "y").agg(part("a"), part("b"))
+
+
+def edges(image: DataFrame, key: str, at: int = 100) -> DataFrame:
+    """Pixels whose gradient's length is over a threshold."""
+    length = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    return gradient(image, key).select(key, "x", "y", F.when(length > at, 255).otherwise(0).alias("v"))
+
+
+def canny(image: DataFrame, key: str, low: float = 100, high: float = 200, straight: bool = True) -> DataFrame:
+    """Edges: pixels whose gradient is no shorter than its neighbour's before it and longer than that behind it, across the edge, if it
+    is over `high`, or over `low` and linked with one over `high` through such pixels, diagonals too. straight: the length is that of
+    the vector, else the sum of both parts."""
+    gx, gy = F.col("gx"), F.col("gy")
+    length = F.sqrt((gx * gx + gy * gy).cast("double")) if straight else (F.abs(gx) + F.abs(gy)).cast("double")
+    # across: along x, along y, or along a slant
+    flat, steep = F.abs(gy) <= F.abs(gx) * 0.41421356, F.abs(gy) >= F.abs(gx) * 2.41421356
+    dx = F.when(flat, 1).when(steep, 0).otherwise(1)
+    dy = F.when(flat, 0).when(steep, 1).when(gx * gy > 0, 1).otherwise(-1)
+    lengths = cut(gradient(image, key).select(key, "x", "y", length.alias("m"), dx.alias("dx"), dy.alias("dy")))
+    near = lambda sign, name: lengths.select(key, F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("m").alias(name)).withColumn("side", F.lit(sign))
+    out = lengths
+    for sign, name in ((-1, "before"), (1, "behind")):
+        out = out.withColumns({"nx": F.col("x") + sign * F.col("dx"), "ny": F.col("y") + sign * F.col("dy")}).join(near(sign, name).drop("side"), [key, "nx", "ny"], "left").drop("nx", "ny")
+    crest = out.where((F.col("m") > low) & (F.col("m") >= F.coalesce("before", F.lit(0.0))) & (F.col("m") > F.coalesce("behind", F.lit(0.0))))
+    linked = areas(crest.select(key, "x", "y", F.when(F.col("m") > high, 2).otherwise(1).alias("v")), key, diagonal=True)
+    strong = linked.groupBy(key, "area").agg(F.max("v").alias("most")).where("most = 2").select(key, "area")
+    kept = linked.join(strong, [key, "area"]).select(key, "x", "y", F.lit(255).alias("edge"))
+    return image.select(key, "x", "y").join(kept, [key, "x", "y"], "left").select(key, "x", "y", F.coalesce("edge", F.lit(0)).alias("v"))
 
 
 def skew_angle(image: DataFrame, key: str) -> DataFrame:

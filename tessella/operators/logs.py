@@ -144,11 +144,11 @@ def wanted_pieces(wanted: dict) -> dict[str, set[str]]:
 def search(lines: DataFrame, wanted: dict | None, column: str = "value", timestamp: str = "iso8601-local") -> DataFrame:
     """The records of lines that a filter lets through. A line is tested by one anchored pattern, made from the filter, before
     it is taken apart, so lines that the filter rejects cost no captures."""
-    if not wanted:
-        return parse_mongo(lines, column, timestamp)
-    pattern = logfile.line_pattern(wanted_pieces(wanted), timestamp == "ctime", "")
-    likely = F.col(column).rlike(f"^{pattern}") if pattern else F.lit(False)
-    return parse_mongo(lines.where(likely), column, timestamp).where(mongo_filter(wanted))
+    if pieces := wanted_pieces(wanted or {}):
+        pattern = logfile.line_pattern(pieces, timestamp == "ctime", "")
+        lines = lines.where(F.col(column).rlike(f"^{pattern}") if pattern else F.lit(False))
+    records = parse_mongo(lines, column, timestamp)
+    return records.where(mongo_filter(wanted)) if wanted else records
 
 
 def scan_logs(spark: SparkSession, path: str, wanted: dict | None = None, timestamp: str = "iso8601-local", range_bytes: int = 64 << 20) -> DataFrame:

@@ -45,13 +45,16 @@ OPERATIONS = {
     "bilateral_blur": lambda d, key, size=7: images.bilateral_blur(d, key, size),
     "morph": lambda d, key, kind="dilate", size=3, shape="rect": images.morph(d, key, kind, size, shape),
     "threshold": lambda d, key, kind="binary", at=127: d.withColumn("v", images.threshold(F.col("v"), kind, at)),
-    "adaptive_threshold": lambda d, key, size=11, minus=2: images.adaptive_threshold(d, key, size, minus),
+    "adaptive_threshold": lambda d, key, size=11, minus=2, kind="mean": images.adaptive_threshold(d, key, size, minus, kind=kind),
+    "clahe": lambda d, key, clip=4.0, tiles=8: images.clahe(d, key, clip, tiles),
+    "unsharp": lambda d, key, amount=2.0, blurred=0.5, plus=0, size=3: images.unsharp(d, key, amount, blurred, plus, size),
     "bitwise": lambda d, key, op="not": d.withColumn("v", images.bitwise(op, F.col("v"))),
     "mask": lambda d, key, x=0, y=0, w=1, h=1: images.mask(d, x, y, w, h).drop("mask"),
     "decimate": lambda d, key: images.decimate(d),
     "rotate": lambda d, key, degrees=0: images.rotate(d, key, degrees),
     "make_square": lambda d, key: images.make_square(d, key),
-    "canny": lambda d, key, at=100: images.edges(d, key, at),
+    "edges": lambda d, key, at=100: images.edges(d, key, at),
+    "canny": lambda d, key, low=100, high=200: images.canny(d, key, low, high),
     "gain_bias": lambda d, key, mean=127, deviation=50: images.gain_bias(d, key, mean, deviation),
     # contrast by the deviation, local threshold, then closing: text stands out of uneven light
     "document": lambda d, key: images.morph(images.adaptive_threshold(images.gain_bias(d, key), key), key, "close"),
@@ -61,7 +64,7 @@ OPERATIONS = {
 
 def _crop(d: DataFrame, key: str) -> DataFrame:
     """To the largest area of closed edges."""
-    box = images.contours(images.morph(images.edges(d, key), key, "close"), key).where("label = 0").select(key, "x0", "y0", "x1", "y1")
+    box = images.contours(images.morph(images.canny(d, key), key, "close"), key).where("label = 0").select(key, "x0", "y0", "x1", "y1")
     inside = d.join(box, key).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
     return inside.select(key, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "v")
 

@@ -585,6 +585,49 @@ def img15(spark: SparkSession, sf: str) -> DataFrame:
     return images.contours(_pixels(spark, sf).withColumn("v", images.threshold(F.col("v"))), "vec_id")
 
 
+@query("img15_canny", f"""
+WITH RECURSIVE px AS MATERIALIZED ({_PX} SELECT vec_id, x::INT AS x, y::INT AS y, v FROM px),
+w(i, j, a, b) AS (VALUES (-1, -1, -1, -1), (0, -1, 0, -2), (1, -1, 1, -1), (-1, 0, -2, 0), (1, 0, 2, 0), (-1, 1, -1, 1), (0, 1, 0, 2), (1, 1, 1, 1)),
+g AS MATERIALIZED (SELECT p.vec_id, p.x, p.y, coalesce(sum(a * (q.v - p.v)), 0)::DOUBLE AS gx, coalesce(sum(b * (q.v - p.v)), 0)::DOUBLE AS gy FROM px p, w LEFT JOIN px q ON q.vec_id = p.vec_id AND q.x = p.x + i AND q.y = p.y + j GROUP BY ALL),
+m AS MATERIALIZED (SELECT vec_id, x, y, sqrt(gx * gx + gy * gy) AS m, CASE WHEN abs(gy) <= abs(gx) * 0.41421356 THEN 'h' WHEN abs(gy) >= abs(gx) * 2.41421356 THEN 'v' WHEN gx * gy > 0 THEN 'd' ELSE 'u' END AS way FROM g),
+n AS (SELECT m.*, CASE way WHEN 'v' THEN 0 ELSE 1 END AS dx, CASE way WHEN 'h' THEN 0 WHEN 'u' THEN -1 ELSE 1 END AS dy FROM m),
+c AS MATERIALIZED (SELECT n.vec_id, n.x, n.y, n.m > 300 AS strong FROM n LEFT JOIN m f ON f.vec_id = n.vec_id AND f.x = n.x - dx AND f.y = n.y - dy LEFT JOIN m t ON t.vec_id = n.vec_id AND t.x = n.x + dx AND t.y = n.y + dy
+  WHERE n.m > 120 AND n.m >= coalesce(f.m, 0) AND n.m > coalesce(t.m, 0)),
+e AS (SELECT vec_id, x, y FROM c WHERE strong UNION SELECT c.vec_id, c.x, c.y FROM e JOIN c ON c.vec_id = e.vec_id AND abs(c.x - e.x) <= 1 AND abs(c.y - e.y) <= 1)
+SELECT px.vec_id, px.x, px.y, CASE WHEN e.x IS NULL THEN 0 ELSE 255 END AS v FROM px LEFT JOIN e ON e.vec_id = px.vec_id AND e.x = px.x AND e.y = px.y""")
+def img15_canny(spark: SparkSession, sf: str) -> DataFrame:
+    return images.canny(_pixels(spark, sf), "vec_id", 120, 300)
+
+
+@query("img17_clahe", f"""
+{_PX}, b AS (SELECT vec_id, x, y, v, (x // 4)::INT AS tx, (y // 4)::INT AS ty FROM px), h AS (SELECT vec_id, tx, ty, v, count(*) AS c FROM b GROUP BY ALL),
+t AS MATERIALIZED (SELECT vec_id, tx, ty, sum(c) AS area, sum(least(c, 1)) AS kept FROM h GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, (area - kept) // 256 AS each, (area - kept) % 256 AS rest, greatest(256 // greatest((area - kept) % 256, 1), 1) AS step FROM t),
+l AS MATERIALIZED (SELECT o.vec_id, o.tx, o.ty, u, round((coalesce(sum(least(h.c, 1)) FILTER (h.v <= u), 0) + any_value(each) * (u + 1) + least(any_value(rest), u // any_value(step) + 1)) * 255 / any_value(area)) AS new FROM o JOIN h ON h.vec_id = o.vec_id AND h.tx = o.tx AND h.ty = o.ty, range(256) r(u) GROUP BY o.vec_id, o.tx, o.ty, u),
+f AS (SELECT vec_id, x, y, v, x / 4.0::DOUBLE - 0.5 AS fx, y / 4.0::DOUBLE - 0.5 AS fy FROM b),
+q AS (SELECT vec_id, x, y, v, least(greatest(floor(fx) + i, 0), 1)::INT AS tx, least(greatest(floor(fy) + j, 0), 1)::INT AS ty, (CASE i WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE j WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS weight FROM f, range(2) a(i), range(2) c(j))
+SELECT vec_id, x::INT AS x, y::INT AS y, round(sum(weight * new))::INT AS v FROM q JOIN l ON l.vec_id = q.vec_id AND l.tx = q.tx AND l.ty = q.ty AND l.u = q.v GROUP BY q.vec_id, x, y""".replace("SELECT vec_id, x::INT", "SELECT q.vec_id, x::INT"))
+def img17_clahe(spark: SparkSession, sf: str) -> DataFrame:
+    return images.clahe(_pixels(spark, sf), "vec_id", 4.0, 2)
+
+
+@query("img7_adaptive_threshold", f"{_PX}, nb AS (SELECT a.vec_id, a.x, a.y, a.v AS own, b.v FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3) SELECT vec_id, x::INT AS x, y::INT AS y, CASE WHEN own > sum(v) / count(*) - 2 THEN 255 ELSE 0 END AS v FROM nb GROUP BY vec_id, x, y, own")
+def img7(spark: SparkSession, sf: str) -> DataFrame:
+    return images.adaptive_threshold(_pixels(spark, sf), "vec_id", 7)
+
+
+@query(
+    "img8_gaussian_blur",
+    f"""{_PX}, nb AS (SELECT a.vec_id, a.x, a.y, b.v, exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (2 * 1.1 * 1.1)) AS w FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2)
+SELECT vec_id, x::INT AS x, y::INT AS y, round(sum(v * w) / sum(w))::INT AS v FROM nb GROUP BY vec_id, x, y""",
+)
+def img8_gaussian(spark: SparkSession, sf: str) -> DataFrame:
+    return images.gaussian_blur(_pixels(spark, sf), "vec_id", 5)
+
+
+@query("img17_unsharp", f"{_NEAR} SELECT vec_id, x::INT AS x, y::INT AS y, greatest(0, least(255, round(2.0 * own + 0.5 * floor(sum(v) / count(*)))))::INT AS v FROM nb GROUP BY vec_id, x, y, own")
+def img17_unsharp(spark: SparkSession, sf: str) -> DataFrame:
+    return images.unsharp(_pixels(spark, sf), "vec_id")
 
 
 def _config(spark: SparkSession, sf: str, half: int) -> DataFrame:

@@ -39,6 +39,7 @@ def lines_of(n, seed=1):
 
 FILTERS = [
     {},
+    {"severity": {}},
     {"date": ("2021",)},
     {"date": ("2021", "02"), "time": ("01", "04")},
     {"severity": {"name": "Error"}},
