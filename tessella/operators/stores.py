@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from tessella.session import cut
+
 
 
 def normalised(config: DataFrame) -> DataFrame:
@@ -78,11 +80,10 @@ def merge_files(spark: SparkSession, changes: str, target: str, output: str | No
     that is a path; the skipped rows."""
     read = lambda c: parse_ini(spark.createDataFrame([(c,)], "text string"), "text") if "\n" in c or c.lstrip().startswith("[") else read_ini(spark, c)
     merged, skipped = merge(read(changes), read(target))
-    skipped = spark.createDataFrame(skipped.collect(), skipped.schema)  # a configuration is small
+    merged, skipped = cut(merged), cut(skipped)  # read before the target is overwritten
     path = output or (target if "\n" not in target and not target.lstrip().startswith("[") else None)
     if path:
-        rows = spark.createDataFrame(merged.collect(), merged.schema)  # read before the target is overwritten
-        write_ini(rows, path)
+        write_ini(merged, path)
     return skipped
 
 

@@ -78,9 +78,25 @@ def dyn5(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.select("l_orderkey", F.size("items").cast("long").alias("n_items"), numbers.subset_counts(F.col("items"), 50).alias("ways"))
 
 
-@query("dyn6_fibonacci", "WITH RECURSIVE f(n, fib, nxt) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, nxt, fib + nxt FROM f WHERE n < 60) SELECT n, fib FROM f")
+@query("dyn6_fibonacci", "WITH RECURSIVE f(n, fib, nxt) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, nxt, fib + nxt FROM f WHERE n < 60) SELECT p_partkey, fib FROM part JOIN f ON n = p_size")
 def dyn6(spark: SparkSession, sf: str) -> DataFrame:
-    return numbers.fibonacci(spark, 60)
+    """The number of each part's size."""
+    return load(spark, sf, "part").join(F.broadcast(numbers.fibonacci(spark, 60)), F.col("p_size") == F.col("n")).select("p_partkey", "fib")
+
+
+@query(
+    "dyn1_similar_pairs",
+    """
+WITH w AS (SELECT turn_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT conv_id * 1000 + turn AS turn_id, regexp_split_to_array(lower(text), '[^a-z'']+') AS ws FROM conversations)),
+n AS MATERIALIZED (SELECT turn_id, i, word, lead(word, 1) OVER o AS n1, lead(word, 2) OVER o AS n2, CASE WHEN i > 1 THEN lag(word, 1) OVER o END AS p1, CASE WHEN i > 2 THEN lag(word, 2) OVER o END AS p2 FROM w WINDOW o AS (PARTITION BY turn_id ORDER BY i)),
+p AS (SELECT a.turn_id, a.i::INT AS i, b.i::INT AS j, 63 * ((b.n1 IS NOT DISTINCT FROM b.word)::INT + (b.n2 IS NOT DISTINCT FROM b.word)::INT + (b.p1 IS NOT DISTINCT FROM b.word)::INT + (b.p2 IS NOT DISTINCT FROM b.word)::INT
+  + coalesce((b.n1 = a.n1)::INT, 0) + coalesce((b.n2 = a.n2)::INT, 0) + coalesce((b.p1 = a.p1)::INT, 0) + coalesce((b.p2 = a.p2)::INT, 0)) AS strength FROM n a JOIN n b ON a.turn_id = b.turn_id AND a.word = b.word AND a.i <> b.i)
+SELECT turn_id, i, j, strength::BIGINT AS strength FROM p WHERE strength > 0""",
+)
+def dyn1_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of the similarity picture of each turn of a conversation."""
+    turns = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return similarity.similar_pairs(turns, "turn_id", "text")
 
 
 _LINES = """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), '-0000 ', CASE event_type WHEN 'error' THEN 'E' WHEN 'signup' THEN 'W' ELSE 'I' END, ' ', CASE WHEN event_type = 'view' THEN '-' ELSE upper(event_type) END, ' [conn', user_id, '] event:', event_id, ' k.', get_json_object(props, '$.k'))"""
@@ -377,9 +393,12 @@ def num4(spark: SparkSession, sf: str) -> DataFrame:
     return numbers.cycles(parts.select(F.col("p_partkey").alias("node"), F.pmod(F.col("p_partkey") * step + 3, F.lit(n)).alias("next")))
 
 
-@query("num7_primes", "SELECT x AS prime FROM range(2, 10000) a(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 100) b(d) WHERE d < x AND x % d = 0)")
+@query("num7_primes", "SELECT o_orderkey FROM orders, (SELECT sqrt(max(o_orderkey))::BIGINT + 1 AS r FROM orders) WHERE o_orderkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 2000) d(d) WHERE d < o_orderkey AND d <= r AND o_orderkey % d = 0)")
 def num7(spark: SparkSession, sf: str) -> DataFrame:
-    return numbers.primes(spark, 10_000)
+    """The orders with prime keys, by a sieve as long as the table."""
+    orders = load(spark, sf, "orders")
+    most = orders.agg(F.coalesce(F.max("o_orderkey"), F.lit(0))).first()[0]
+    return orders.join(numbers.primes(spark, most + 1), F.col("o_orderkey") == F.col("prime"), "left_semi").select("o_orderkey")
 
 
 @query(
@@ -394,9 +413,9 @@ def num12(spark: SparkSession, sf: str) -> DataFrame:
     return parts.join(by_size, "p_size").select("p_partkey", "angle")
 
 
-@query("num10_better_guess", "SELECT i AS guess, CAST([4, 4, 1, 1, 6, 6, 3, 3][i + 1] AS INT) AS answer FROM range(0, 8) r(i)")
+@query("num10_better_guess", "SELECT c_custkey, CAST([4, 4, 1, 1, 6, 6, 3, 3][c_custkey % 8 + 1] AS INT) AS answer FROM customer")
 def num10(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(8).select(F.col("id").alias("guess"), numbers.better_guess(F.col("id")).alias("answer"))
+    return load(spark, sf, "customer").select("c_custkey", numbers.better_guess(F.col("c_custkey") % 8).alias("answer"))
 
 
 _E = "embedding"
@@ -417,10 +436,12 @@ def vec(spark: SparkSession, sf: str) -> DataFrame:
     return _doubles(spark, sf).select("vec_id", F.round(arrays.dot(a, b), 6).alias("dot"), F.round(add(arrays.linear_combination([2.0, -3.0], [a, b])), 6).alias("combined"))
 
 
-@query("vec2_span", "SELECT DISTINCT i * 1 + j * 2 AS x, i * 3 + j * 1 AS y FROM range(-5, 5) a(i), range(-5, 5) b(j)")
+@query("vec2_span", "SELECT DISTINCT n_nationkey, i * n_nationkey + j AS x, i * n_regionkey + j * 2 AS y FROM nation, range(-5, 5) a(i), range(-5, 5) b(j)")
 def vec2(spark: SparkSession, sf: str) -> DataFrame:
-    one = spark.range(1).select(F.explode(arrays.vector_span(F.array(F.lit(1), F.lit(3)), F.array(F.lit(2), F.lit(1)))).alias("v"))
-    return one.select(F.element_at("v", 1).cast("long").alias("x"), F.element_at("v", 2).cast("long").alias("y"))
+    """The span of two vectors of each nation."""
+    v, w = F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    each = load(spark, sf, "nation").select("n_nationkey", F.explode(arrays.vector_span(v, w)).alias("v"))
+    return each.select("n_nationkey", F.element_at("v", 1).alias("x"), F.element_at("v", 2).alias("y"))
 
 
 def _rows(n: int, size: int = 8):
@@ -644,6 +665,16 @@ def cfg6(spark: SparkSession, sf: str) -> DataFrame:
     return merged.withColumn("part", F.lit("merged")).unionByName(skipped.withColumn("part", F.lit("skipped")))
 
 
+@query("cfg7_merge_files", f"WITH t AS ({_HALF.format(0)}), c AS ({_HALF.format(1)}) SELECT *, 'merged' AS part FROM t UNION ALL SELECT *, 'merged' FROM c ANTI JOIN t USING (section, entry) UNION ALL SELECT *, 'skipped' FROM c SEMI JOIN t USING (section, entry)")
+def cfg7(spark: SparkSession, sf: str) -> DataFrame:
+    """Two configurations written as files, merged into a third, which is read back."""
+    path = work_path(spark, "config")
+    for half in (0, 1):
+        stores.write_ini(_config(spark, sf, half), f"{path}/{half}")
+    skipped = stores.merge_files(spark, f"{path}/1", f"{path}/0", f"{path}/merged")
+    return stores.read_ini(spark, f"{path}/merged").withColumn("part", F.lit("merged")).unionByName(skipped.withColumn("part", F.lit("skipped")))
+
+
 @query("cfg2_upsert", f"WITH t AS ({_HALF.format(0)}), c AS ({_HALF.format(1)}) SELECT section, entry, coalesce(c.value, t.value) AS value FROM t FULL JOIN c USING (section, entry) WHERE NOT (section = 'ERROR')")
 def cfg2(spark: SparkSession, sf: str) -> DataFrame:
     return stores.delete(stores.upsert(_config(spark, sf, 0), _config(spark, sf, 1), overwrite=True), "error")
