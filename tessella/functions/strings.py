@@ -43,13 +43,12 @@ def _characters(message: Column) -> Column:
 def rail_fence(message: Column, rows: int = 3, lead: int = 1, keep_case: bool = True) -> Column:
     """Every rows-th character, starting with rail `lead`, white space left out (a stride, not a zigzag)."""
     text = F.regexp_replace(message if keep_case else F.lower(message), r"\s", "")
-    chars = _characters(text)
-    rails = [_rail(chars, rows, (lead - 1 + k) % rows) for k in range(rows)]
-    return F.array_join(F.concat(*rails), "")
+    return F.concat(*[_rail(text, rows, (lead - 1 + k) % rows) for k in range(rows)])
 
 
-def _rail(chars: Column, rows: int, rail: int) -> Column:
-    return F.filter(chars, lambda _, i: i % rows == rail)
+def _rail(text: Column, rows: int, rail: int) -> Column:
+    """Of the text from place `rail` on the first of each `rows` characters."""
+    return F.regexp_replace(F.substring(text, rail + 1, 1 << 30), f"(?s)(.).{{0,{rows - 1}}}", "$1")
 
 
 def rail_fence_back(cipher: Column, rows: int = 3, lead: int = 1) -> Column:

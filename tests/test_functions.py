@@ -15,6 +15,16 @@ def one(spark, **columns):
     return spark.createDataFrame([tuple(v for v, _ in columns.values())], ", ".join(f"{k} {t}" for k, (_, t) in columns.items()))
 
 
+def test_rails_of_any_characters(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "ab", None] + ["".join(rng.choice("ab \n\té😀中'") for _ in range(n)) for n in (3, 7, 50, 401)]
+    for rows, lead in ((1, 1), (2, 2), (3, 1), (5, 4)):
+        found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", strings.rail_fence(F.col("t"), rows, lead).alias("c")).collect()
+        for i, c in found:
+            clean = None if texts[i] is None else "".join(texts[i].split())
+            assert c == (None if clean is None else "".join(clean[(lead - 1 + k) % rows :: rows] for k in range(rows)))
+
+
 def value(df, column):
     return df.select(column.alias("x")).first()["x"]
 
