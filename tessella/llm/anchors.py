@@ -41,7 +41,7 @@ ROUNDS = 4
 SCALE = 1024
 #: Vectors of a block, and points up to which a ball is a leaf.
 BLOCK = 4096
-LEAF = 24
+LEAF = 96
 #: Whole components are below this, so the distance of two parts of up to 2,048 components is below 2 ** 63.
 MOST = 1 << 25
 
