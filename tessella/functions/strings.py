@@ -7,7 +7,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.lazy import lazy_udf
 
 LETTERS = string.ascii_lowercase
 
@@ -137,24 +136,18 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.length(a) + F.length(b) - 2 * common_subsequence(a, b)
 
 
-@lazy_udf("string")
-def common_subsequence_text(a: str | None, b: str | None) -> str | None:
-    """One longest common subsequence; on ties the walk back goes to the left in b."""
-    if a is None or b is None:
-        return None
-    table = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row = table[-1], [0]
-        for j, y in enumerate(b, 1):
-            row.append(above[j - 1] + 1 if x == y else max(above[j], row[-1]))
-        table.append(row)
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append(a[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return "".join(reversed(out))
+def common_subsequence_text(a: Column, b: Column) -> Column:
+    """One longest common subsequence; where both ways are as long, that of the shorter start of b. A fold over rows of the table of
+    texts, so for texts of words and lines, not of pages."""
+    width = F.length(b)
+    none = F.transform(F.sequence(F.lit(0), width), lambda _: F.lit(""))
+
+    def row(above: Column, x: Column) -> Column:
+        def cell(line: Column, j: Column) -> Column:
+            up, left = F.get(above, j), F.element_at(line, -1)
+            longest = F.when(F.substring(b, j, F.lit(1)) == x, F.concat(F.get(above, j - 1), x)).when(F.length(up) > F.length(left), up).otherwise(left)
+            return F.concat(line, F.array(longest))
+
+        return F.aggregate(F.when(width > 0, F.sequence(F.lit(1), width)).otherwise(F.array().cast("array<int>")), F.array(F.lit("")), cell)
+
+    return F.element_at(F.aggregate(_characters(a), none, row), -1)

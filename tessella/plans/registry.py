@@ -62,7 +62,16 @@ def dyn2(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", strings.common_subsequence(a, b).cast("long").alias("lcs"), strings.edit_distance(a, b).cast("long").alias("distance"))
 
 
-@query("dyn4_common_subsequence")
+@query(
+    "dyn4_common_subsequence",
+    """WITH RECURSIVE c AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part),
+s(p_partkey, i, above, line) AS (
+  SELECT p_partkey, 1, list_transform(range(0, length(b) + 1), lambda x: ''), [''] FROM c
+  UNION ALL SELECT s.p_partkey, CASE WHEN len(line) > length(b) THEN i + 1 ELSE i END, CASE WHEN len(line) > length(b) THEN line ELSE above END,
+    CASE WHEN len(line) > length(b) THEN [''] ELSE list_append(line, CASE WHEN a[i] = b[len(line)] THEN above[len(line)] || a[i] WHEN length(above[len(line) + 1]) > length(line[len(line)]) THEN above[len(line) + 1] ELSE line[len(line)] END) END
+  FROM s JOIN c USING (p_partkey) WHERE i <= length(a))
+SELECT p_partkey, above[length(b) + 1] AS lcs FROM s JOIN c USING (p_partkey) WHERE i = length(a) + 1 AND len(line) = 1""",
+)
 def dyn4(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", strings.common_subsequence_text(F.col("p_name"), F.col("p_type")).alias("lcs"))
 
