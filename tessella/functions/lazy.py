@@ -7,10 +7,6 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 
-def lazy_udf(kind: str):
-    return lambda f: wraps(f)(lambda *columns: F.udf(f, kind)(*columns))
-
-
 def lazy_pandas_udf(kind: str):
     def wrap(f):
         @wraps(f)
