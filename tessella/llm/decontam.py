@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, mix
+from tessella.llm.common import WordHasher, lean, mix
 
 #: Marked positions. The first two allow a substitution in any one place of seven words, the last is for short items.
 MASKS = ("11101101", "1101011011", "111101")
@@ -204,12 +205,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
 
 
 def _leaking(index: Broadcast, limits: Limits):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, held = WordHasher(BLANKS), index.value
         for texts in batches:
-            yield texts.map(lambda t: bool(limits.leaks(word_hashes(hashes, t if isinstance(t, str) else None), held))).astype(bool)
+            yield pa.array([bool(limits.leaks(word_hashes(hashes, t.as_py()), held)) for t in texts], pa.bool_())
 
-    return F.pandas_udf(run, "boolean")
+    return F.arrow_udf(lean(run), "boolean")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), block_words: int = 2_000_000, masks: tuple[str, ...] = MASKS) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessella.llm.common import LOWER, MOST_BROADCAST, WordHasher, cut, default_parallelism, mix, shingles, small, unused, utf8
+from tessella.llm.common import LOWER, MOST_BROADCAST, WordHasher, cut, default_parallelism, lean, mix, shingles, small, unused, utf8
 from tessella.llm.components import components
 
 TOKENS_PER_BUCKET = 3_000_000
@@ -381,13 +381,13 @@ def _verify(percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a binary, b binary, shared long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a binary, b binary, shared long")
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, fp (digest of its set; null if empty), n, n_region."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_describe(words, percent, SAMPLED), f"doc_id {kind}, fp binary, n long, n_region long, sampled array<long>"))
+    return cut(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(lean(_describe(words, percent, SAMPLED)), f"doc_id {kind}, fp binary, n long, n_region long, sampled array<long>"))
 
 
 def hot_tokens(found: DataFrame, total: int) -> np.ndarray:
@@ -406,13 +406,13 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     buckets = max(buckets, min(4 * buckets, default_parallelism(spark)))
     text = utf8("text").alias("text")
     often = spark.sparkContext.broadcast(hot_tokens(found, total))
-    dealt = docs.select(text).mapInArrow(_deal(words, percent, buckets, often), "bucket int, fps binary, counts binary, tokens binary, hot boolean")
-    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(buckets), "part int, fps binary, counts binary, tokens binary, dfs binary")
-    few = shared.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(_by_class, "fp binary, shared binary")
+    dealt = docs.select(text).mapInArrow(lean(_deal(words, percent, buckets, often)), "bucket int, fps binary, counts binary, tokens binary, hot boolean")
+    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared_tokens(buckets)), "part int, fps binary, counts binary, tokens binary, dfs binary")
+    few = shared.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(lean(_by_class), "fp binary, shared binary")
     # a class whose unshared tokens fill its prefix has no partner
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     able = few.join(per_class, "fp").where(F.col("n_region") - F.octet_length("shared") / 16 < prefix).select("fp", "n", "n_region", "shared")
-    tiles = cut(able.mapInPandas(_tiles(percent), "token long, band int, home boolean, fp binary, n long"))
+    tiles = cut(able.mapInPandas(lean(_tiles(percent)), "token long, band int, home boolean, fp binary, n long"))
 
     sizes = tiles.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("homes"), (_in_blocks(F.count("*"), F.sum("n")) > 1).alias("large")).where("rows > 1 and homes").drop("homes")
     tiles = cut(tiles.join(sizes, ["token", "band"]))
@@ -423,7 +423,7 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
         reps = F.broadcast(reps)
     # the texts of the classes that are left; null or repeated ids may bring other texts along, which the digest tells
     chosen = docs.select("doc_id", text).join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("fp", "text")
-    sets = cut(chosen.mapInArrow(_sets(words), "fp binary, own binary, tokens binary, sig binary").where("own = fp").drop("own").dropDuplicates(["fp"]))
+    sets = cut(chosen.mapInArrow(lean(_sets(words)), "fp binary, own binary, tokens binary, sig binary").where("own = fp").drop("own").dropDuplicates(["fp"]))
 
     largest, smallest = F.max(F.struct("rows", "token")), F.min(F.struct("rows", "token"))
     done, label = [], None
@@ -442,7 +442,7 @@ def links(docs: DataFrame, found: DataFrame, words: int = 4, percent: int = 85,
     if large:
         open_ = open_.unionByName(_dealt(rows.where("large"), by_tokens=False).select(*KEYS, *OWN))
     open_ = open_.join(sets.drop("tokens"), "fp").select(*KEYS, *OWN, "sig")
-    maybe = cut(open_.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=False), "a binary, b binary, token long, band int"))
+    maybe = cut(open_.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(lean(_compare(percent, every_link, exact=False)), "a binary, b binary, token long, band int"))
     sparse = maybe.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done.append(cut(_verified(sparse, sets, percent)))
     dense = maybe.where("b is null").select("token", "band", F.col("a").alias("fp")).distinct()
@@ -487,7 +487,7 @@ def _dealt(rows: DataFrame, by_tokens: bool) -> DataFrame:
 def _linked(rows: DataFrame, percent: int, every_link: bool) -> DataFrame:
     """Links within the groups of rows (KEYS, OWN, sig, tokens)."""
     rows = rows.select(*KEYS, *OWN, "sig", "tokens")
-    pairs = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(_compare(percent, every_link, exact=True), "a binary, b binary, shared long")
+    pairs = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(lean(_compare(percent, every_link, exact=True)), "a binary, b binary, shared long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
 
@@ -538,7 +538,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     several = small(again)
     clear = kept.where("doc_id is not null").join(several, kept["doc_id"] == F.col(twice), "left_anti")
     unclear = docs.where("doc_id is null").unionByName(docs.join(several, docs["doc_id"] == F.col(twice), "left_semi"))
-    unclear = unclear.mapInArrow(_with_digest(words, docs.columns.index("text"), own), StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    unclear = unclear.mapInArrow(lean(_with_digest(words, docs.columns.index("text"), own)), StructType([*docs.schema.fields, StructField(own, BinaryType())]))
     stays = marked.where("stays").select(F.col("doc_id").alias(mine), F.col("fp").alias(digests)).distinct()
     chosen = unclear.where(F.col(own).isNotNull()).join(stays, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(digests)), "left_semi")
     chosen = chosen.groupBy("doc_id", own).agg(F.min_by(F.struct(*docs.columns), "text").alias(unused(docs, "row"))).select(f"{unused(docs, 'row')}.*")

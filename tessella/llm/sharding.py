@@ -25,6 +25,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -179,7 +180,7 @@ class ShardStore:
         for run, pieces in runs:
             names += [(self._name(s["path"]), tasks, pieces) for s in run]
             tasks += pieces
-        places = self.spark.createDataFrame(names, "tsl_name string, tsl_first int, tsl_pieces int")
+        places = self._places(names, tsl_first=pa.int32(), tsl_pieces=pa.int32())
         rows = self._rows(base["schema"], [s["path"] for run, _ in runs for s in run])
         columns = [F.col(f"`{c}`") for c in rows.columns]
         piece = F.col("tsl_first") + F.pmod(F.col("tsl_index"), F.col("tsl_pieces")).cast("int")
@@ -217,6 +218,11 @@ class ShardStore:
     def _row_name(rows: DataFrame) -> Column:
         return F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], r"^.*/data/(.*)$", 1).alias("tsl_name")
 
+    def _places(self, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+        """Rows of tsl_name and the columns of kinds, as an Arrow table: of tuples, Python workers would make a DataFrame."""
+        schema = pa.schema({"tsl_name": pa.string()} | kinds)
+        return self.spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema))
+
     @staticmethod
     def _few(places: DataFrame, size: int) -> DataFrame:
         return F.broadcast(places) if size <= MOST_BROADCAST else places
@@ -236,7 +242,7 @@ class ShardStore:
         if not held["shards"]:
             return self.read(version).select("*", F.lit(0).cast("long").alias("tsl_shard"), F.lit(0).cast("long").alias("tsl_bytes"))
         order = sorted(held["shards"], key=lambda s: s["seq"])
-        places = self.spark.createDataFrame([(self._name(s["path"]), i, s["bytes"]) for i, s in enumerate(order)], "tsl_name string, tsl_shard long, tsl_bytes long")
+        places = self._places([(self._name(s["path"]), i, s["bytes"]) for i, s in enumerate(order)], tsl_shard=pa.int64(), tsl_bytes=pa.int64())
         rows = self._rows(held["schema"], [s["path"] for s in order])
         placed = rows.select("*", self._row_name(rows)).join(self._few(places, len(order)), "tsl_name", "left")
         number = F.when(F.col("tsl_shard").isNull(), F.raise_error(F.concat(F.lit("no shard is named "), "tsl_name"))).otherwise(F.col("tsl_shard"))

@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHasher, cut, mix
+from tessella.llm.common import WordHasher, cut, lean, mix
 
 BLANKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 STEMS = (4, 5)
@@ -141,7 +142,7 @@ def _count(rows: DataFrame) -> pd.DataFrame:
             if parts:
                 yield pd.concat(parts).groupby(["kind", "key", "parent"], as_index=False).sum().astype({"kind": "int32"})
 
-    counted = rows.select("text", "toxic").mapInPandas(run, "kind int, key long, parent long, toxic long, clean long")
+    counted = rows.select("text", "toxic").mapInPandas(lean(run), "kind int, key long, parent long, toxic long, clean long")
     summed = counted.groupBy("kind", "key", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     return summed.where("toxic + clean >= 2").toPandas()  # bounded: features of at most about most_labelled documents
 
@@ -192,7 +193,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             found = [shared.value.segments(hasher, t) for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in found], "scores": [[s for _, _, s in x] for _, x in found]})
 
-    held = rows.select("text", "toxic").mapInPandas(run, "toxic int, n long, scores array<double>").toPandas()
+    held = rows.select("text", "toxic").mapInPandas(lean(run), "toxic int, n long, scores array<double>").toPandas()
     if not len(held):
         return
     n, label = held["n"].to_numpy(float), (held["toxic"] == 1).to_numpy(float)
@@ -245,9 +246,21 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def score_of(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """The score of a text column alone; texts are taken from their Arrow batch one by one."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher, own = WordHasher(BLANKS), shared.value
+        for batch in texts:
+            yield pa.array([own.score(own.evidence(*own.segments(hasher, t.as_py()))) for t in batch], pa.float64())
+
+    return F.arrow_udf(lean(run), "double")(F.col(text))
+
+
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns pass."""
-    return docs.where(verdict(docs.sparkSession, model)["score"] < threshold)
+    return docs.where(score_of(docs.sparkSession, model) < threshold)
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
