@@ -259,3 +259,25 @@ def test_similarity_totals(spark):
         got = similarity.similarity_totals(one).collect()
         assert [r.strength for r in got] == ([] if text is None else [pairs])
     assert similarity.similarity_totals(docs).count() == 4
+
+
+def test_similar_pairs_by_ranges(spark, monkeypatch):
+    """Nothing is joined or gathered by the driver, and long texts are dealt out and paired in parts."""
+    import pyarrow as pa
+
+    texts = ["a a a b a a", "the cat the cat the the dog " * 5, "", "x y x y x"]
+    d = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "a a"), (5, None)], "doc_id long, text string")
+    pairs = similarity.similar_pairs(d)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    want = sorted(tuple(r) for r in pairs.collect())
+    assert len(want) == len(set(want)) + len({r for r in want if r[0] == 3})  # the row with a known key is a text of its own
+    monkeypatch.setattr(similarity, "ROW_PAIRS", 40)
+    monkeypatch.setattr(similarity, "MOST_PAIRS", 30)
+    monkeypatch.setattr(similarity, "MOST_BYTES", 20)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([0, 1, 2, 3, 3]), "text": pa.array([*texts, texts[3]])})
+    dealt = list(similarity._dealt([batch]))
+    assert sum(map(len, dealt)) > 8
+    found = list(similarity._paired(dealt[::-1]))
+    assert max(map(len, found)) < 200
+    assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == want
