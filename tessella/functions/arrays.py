@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
+from tessella.functions import signals
 from tessella.session import cut
 
 
@@ -197,25 +199,15 @@ MOST_SIGNALS = 1_000_000
 
 def long_spectrum(samples: DataFrame, key: str, place: str, value: str) -> DataFrame:
     """(key, k, re, im): the transform of signals given as rows (key, place from 0, value), cut to their largest power of two, of any
-    length: the signal is a matrix of about sqrt(n) rows, whose columns are transformed, turned and transformed by rows, so a
-    group never holds more than about sqrt(n) samples. Missing samples count as 0."""
-    rows = samples.select(F.col(key).alias("signal"), F.col(place).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
-    sizes = rows.groupBy("signal").agg(power_of_two(F.max("i") + 1).alias("n")).withColumn("rows", F.pow(F.lit(2), F.floor(F.log2(F.col("n").cast("double")) / 2 + 1e-9)).cast("long"))
-    sizes = cut(sizes.withColumn("columns", (F.col("n") / F.col("rows")).cast("long")))
+    length. Missing samples and null values count as 0; a place that occurs twice is an error. See signals."""
+    rows = samples.select(F.col(key).alias("signal"), F.col(place).cast("long").alias("i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")).where("i >= 0")
+    sizes = cut(rows.groupBy("signal").agg(power_of_two(F.max("i") + 1).alias("n")).withColumn("number", F.monotonically_increasing_id()))
     # one long signal is one key: unless there are very many signals, no row is shuffled by it
-    sized = rows.join(F.broadcast(sizes) if sizes.count() <= MOST_SIGNALS else sizes, "signal").where("i < n")
-    number = lambda re, im: F.struct(re.alias("re"), im.alias("im"))
-
-    def transformed(df: DataFrame, group: str, at: str, size: str) -> DataFrame:
-        """The transforms of each group's numbers z in order of `at`, gaps as 0: a row (group, at, z) each."""
-        held = df.groupBy("signal", "n", "rows", "columns", group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("int").alias("at"), "z"))).alias("held"))
-        whole = F.transform(F.sequence(F.lit(0), F.col(size).cast("int") - 1), lambda i: F.coalesce(F.try_element_at("held", i), number(F.lit(0.0), F.lit(0.0))))
-        return held.select("signal", "n", "rows", "columns", group, F.posexplode(fast_transform(whole)).alias("k", "z"))
-
-    across = sized.select("signal", "n", "rows", "columns", (F.col("i") % F.col("columns")).alias("column"), F.floor(F.col("i") / F.col("columns")).alias("row"), number(F.col("v"), F.lit(0.0)).alias("z"))
-    columns = transformed(across, "column", "row", "rows")
-    angle = F.col("column") * F.col("k") * (-2 * math.pi) / F.col("n")
-    c, s, re, im = F.cos(angle), F.sin(angle), F.col("z.re"), F.col("z.im")
-    turned = columns.select("signal", "n", "rows", "columns", F.col("k").alias("low"), "column", number(c * re - s * im, c * im + s * re).alias("z"))
-    found = transformed(turned, "low", "column", "columns")
-    return found.select(F.col("signal").alias(key), (F.col("low") + F.col("rows") * F.col("k")).alias("k"), "z.re", "z.im")
+    sized = rows.join(F.broadcast(sizes) if sizes.count() <= MOST_SIGNALS else sizes, "signal").where("i < n").select("number", "signal", "n", "i", "v")
+    kind = lambda at: StructType([sized.schema["number"], sized.schema["signal"], StructField("n", LongType()), StructField("block", LongType()), StructField("at", at), StructField("z", BinaryType())])
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda pieces: pieces.repartition(tasks, "number", "block").sortWithinPartitions("number", "block")
+    columns = dealt(sized.mapInArrow(signals.packed, kind(BinaryType())))
+    lines = dealt(columns.mapInArrow(signals.by_columns, kind(LongType())))
+    found = lines.mapInArrow(signals.by_lines, StructType([sized.schema["signal"], StructField("k", LongType()), StructField("re", DoubleType()), StructField("im", DoubleType())]))
+    return found.withColumnRenamed("signal", key)

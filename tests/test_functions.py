@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,30 @@ def test_long_spectrum(spark):
         assert sorted(got[k]) == list(range(n)) and np.allclose([got[k][i] for i in range(n)], np.fft.fft(s[:n]))
 
 
+def test_long_spectrum_by_blocks(spark):
+    """Blocks of columns and lines go through pieces of bounded size; nothing gathers a line as an array of rows."""
+    from tessella.functions import signals
+
+    rng = np.random.default_rng(8)
+    n = 1 << 13
+    signal = rng.normal(size=n + 5)
+    signal[(np.arange(n + 5) % 128) // 16 == 3] = 0
+    rows = [(float("nan"), i, float(v)) for i, v in enumerate(signal) if v] + [(float("nan"), 3 * 16, None), (0.0, 0, 2.0), (0.0, 1, None), (0.0, -1, 7.0), (1.0, None, 1.0), (None, 0, 1.0)]
+    found = arrays.long_spectrum(spark.createDataFrame(rows, "n double, i int, v double").repartition(3), "n", "i", "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("MapInArrow") == 3
+    got = found.collect()
+    assert sorted((r.k, r.re, r.im) for r in got if r.n == 0) == [(0, 2.0, 0.0), (1, 2.0, 0.0)]
+    long = {r.k: complex(r.re, r.im) for r in got if r.n != r.n}
+    assert len(got) == n + 2 and sorted(long) == list(range(n)) and np.allclose([long[k] for k in range(n)], np.fft.fft(signal[:n]))
+    twice = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0), (1, 1, 2.0)], "n int, i int, v double")
+    with pytest.raises(Exception, match="more than once"):
+        arrays.long_spectrum(twice, "n", "i", "v").collect()
+    samples = pa.RecordBatch.from_pydict({"number": np.zeros(n, int), "signal": np.zeros(n, int), "n": np.full(n, n), "i": rng.permutation(n), "v": signal[:n]})
+    pieces = list(signals.packed([samples, samples.slice(0, 0)]))
+    assert sum(map(len, pieces)) == 16 and max(len(z) for b in pieces for z in b.column("z").to_pylist()) == 512 * 8
+
+
 def test_perceptron(spark):
     rng = np.random.default_rng(7)
     plane = rng.normal(size=5)
